@@ -315,3 +315,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = told.select("doc_id", "n_shingles").join(member.join(comp, member["rep"] == comp["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("c")), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps; of rows with one doc_id one stays."""
+    told = common.materialize(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
+    out = docs.join(common.few(common.materialize(told.filter("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
+    if told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter("doc_id is null").union(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))

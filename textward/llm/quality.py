@@ -28,20 +28,25 @@ DELTA = 0.05
 PRICE = 5
 
 
+def row_key():
+    """What the verdict depends on, hashed, with the doc_id."""
+    return F.struct(F.xxhash64("doc_id", "lang", "text").alias("x"), F.hash("text", "lang").alias("y"))
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (lang, null: "und") and the base numbers of each whole text; null is the empty text."""
+    """doc_id, stratum (lang, null: "und"), row_key and the base numbers of each whole text; null is the empty text."""
     rows = common.columns(docs, doc_id="long", lang="string", text="string")
-    rows = rows.select("doc_id", F.coalesce("lang", F.lit("und")).alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", row_key().alias("row_key"), F.coalesce("lang", F.lit("und")).alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
     words = common.words(F.col("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD))
     rows = rows.select(
-        "doc_id", "stratum",
+        "doc_id", "row_key", "stratum",
         words.alias("w"),
         F.size(F.regexp_extract_all("text", F.lit(SYMBOLS), F.lit(0))).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))[0].alias("lines"),
     )
-    rows = rows.select("doc_id", "stratum", "n_symbols", "lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    return rows.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", F.col("lines.d").alias("n_dup_lines"), F.col("lines.n").alias("n_lines"), repeated(F.col("h")).alias("n_repeat_words"))
+    rows = rows.select("doc_id", "row_key", "stratum", "n_symbols", "lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return rows.select("doc_id", "row_key", "stratum", "n_words", "word_chars", "n_symbols", F.col("lines.d").alias("n_dup_lines"), F.col("lines.n").alias("n_lines"), repeated(F.col("h")).alias("n_repeat_words"))
 
 
 def repeated(hashes):
@@ -51,7 +56,6 @@ def repeated(hashes):
     def count(all_):
         # sorted by window and place: one that equals a neighbour is repeated
         by = F.sort_array(F.transform(all_, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        first = F.struct(F.lit(None).cast("long").alias("x"), F.lit(-1).alias("i"), F.array().cast("array<int>").alias("at"))
 
         def places(own):
             before = F.concat(F.array(F.lit(None).cast("struct<x:bigint,i:int>")), F.slice(own, F.lit(1), F.size(own) - 1))
@@ -64,7 +68,6 @@ def repeated(hashes):
             step = F.aggregate(at, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")))
             return step["n"]
 
-        del first
         return F.transform(F.transform(F.array(by), places), covered)[0]
 
     def split(all_):
@@ -114,13 +117,8 @@ def cutoffs(numbers: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
     return usable.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, the base numbers, base_failed, kept.
-
-    Null and empty texts have no words and fail. A stratum without cutoffs keeps all that passes the base rules. Rows with
-    one doc_id are judged each by its own text and count each on the holdout if labelled. Other columns are ignored; an
-    empty table gives no rows, empty labels no cutoffs.
-    """
+def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The measures of each row with base_failed and kept."""
     numbers = common.materialize(measures(docs), "measures")
     # a row for each stratum: as many as there are languages
     cuts = common.materialize(cutoffs(numbers, labels, risk, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select("stratum", *(F.col(r).alias(f"cut_{r}") for r in RULES)), "cutoffs")
@@ -128,7 +126,23 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     for name, v in values().items():
         over = over | F.coalesce(v > F.col(f"cut_{name}"), F.lit(False))
     failed = base_failed()
-    return numbers.join(common.few(cuts, 100_000), "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+    return numbers.join(common.few(cuts, 100_000), "stratum", "left").withColumns({"base_failed": failed, "kept": ~failed & ~over})
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, the base numbers, base_failed, kept.
+
+    Null and empty texts have no words and fail. A stratum without cutoffs keeps all that passes the base rules. Rows with
+    one doc_id are judged each by its own text and count each on the holdout if labelled. Other columns are ignored; an
+    empty table gives no rows, empty labels no cutoffs.
+    """
+    return verdicts(docs, labels, risk, delta).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`judge` keeps."""
+    out = common.materialize(verdicts(docs, labels, risk, delta).filter("not kept").select("row_key").distinct(), "rejected")
+    return docs.withColumn("row_key", row_key()).join(common.few(out), "row_key", "left_anti").drop("row_key")
 
 
 def oracle(risk: float = RISK, delta: float = DELTA) -> str:

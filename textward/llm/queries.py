@@ -12,6 +12,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark, sf_dir):
+    from . import sentencepiece
+
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op2_html_text(spark, sf_dir):
+    from . import htmltext
+
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark, sf_dir):
     from . import tokenids
 
@@ -31,6 +43,25 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark, sf_dir):
+    from . import warc
+
+    index = warc.write(table(spark, sf_dir, "pages"), common.new_dir(spark, "warc"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_hilbert_neighbours(spark, sf_dir):
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op8_language_id(spark, sf_dir):
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark, sf_dir):
     from . import neardup
 
@@ -48,6 +79,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, quality
+    from . import linededup, quality, warc
 
-    return {"op5_quality_rules": quality.oracle(), "op10_line_dedup": linededup.oracle()}
+    return {"op5_quality_rules": quality.oracle(), "op6_warc": warc.oracle(), "op10_line_dedup": linededup.oracle()}
