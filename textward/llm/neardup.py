@@ -104,7 +104,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def documents_of(batches, span: int = 8 << 20):
+def documents_of(batches, span: int = 1 << 20):
     """(doc_ids, hashes of all words, ends of each document's words) for Arrow batches of doc_id and text, about ``span`` bytes at a time."""
     for batch in batches:
         text = batch.column(1).cast(pa.large_string())
