@@ -1,11 +1,439 @@
-"""All registered queries."""
+"""All registered queries of the guardrail engine, each with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import functions as F
+
+from textward.functions.spans import cut, hit, top_score
+from textward.operators import redactor, scanners, screen
+from textward.plans import config as conf
+from textward.plans import guard
+from textward.sources import catalogs as C
+from textward.sources import fixtures
+
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL of what the columns do
+
+def q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def matches(col: str, p: str) -> str:
+    return f"regexp_matches({col}, {q(p)})"
+
+
+def score_sql(col: str, rows: list[tuple]) -> str:
+    by: dict[float, list[str]] = {}
+    for _, p, s, *_ in rows:
+        by.setdefault(C.SEVERITY[s], []).append(matches(col, p))
+    return "case " + " ".join(f"when {' or '.join(by[s])} then {s}::double" for s in sorted(by, reverse=True)) + " else 0.0::double end"
+
+
+def values_sql(name: str, cols: list[str], rows: list[tuple]) -> str:
+    lit = lambda x: "null" if x is None else q(x) if isinstance(x, str) else str(x).lower()
+    return f"{name}({', '.join(cols)}) as (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+def spans_sql(source: str, key: str, col: str, rows: list[tuple]) -> str:
+    """(key, type, ord, severity, category, start_, end_, value) of all matches."""
+    one = lambda k, r: f"select {key}, {q(r[0])} as type, {k} as ord, {q(r[2])} as severity, {q(r[3])} as category, regexp_extract_all({col}, {q(r[1])}) as v, regexp_split_to_array({col}, {q(r[1])}) as g from {source} where {matches(col, r[1])}"
+    each = " union all ".join(one(k, r) for k, r in enumerate(rows))
+    at = "coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(v[1:k - 1], lambda x: length(x))), 0)"
+    return f"select {key}, type, ord, severity, category, ({at})::int as start_, ({at} + length(v[k]))::int as end_, v[k] as value from (select *, unnest(range(1, len(v) + 1)) as k from ({each}))"
+
+
+def masked_sql(style: str, value: str, rows: list[tuple]) -> str:
+    if style == "full":
+        return "'[REDACTED]'"
+    if style == "hash":
+        return f"'[PII:' || substr(sha256({value}), 1, 8) || ']'"
+    case = []
+    for i, _, _, t in rows:
+        first = f"replace({q(t)}, '{{first}}', substr({value}, 1, 1))" if "{first}" in t else q(t)
+        case.append(f"when {q(i)} then " + (f"case when length({value}) >= 4 then replace({q(t)}, '{{last4}}', right({value}, 4)) else {first} end" if "{last4}" in t else first))
+    return f"case type {' '.join(case)} end"
+
+
+def redact_sql(style: str) -> str:
+    return f"""with s as ({spans_sql("documents", "doc_id", "text", C.PII)}),
+l as (select doc_id, list(struct_pack(s := start_, e := end_, n := {masked_sql(style, "value", C.PII)}, t := '') order by start_ desc, ord, k) as found from (select *, row_number() over (partition by doc_id, ord order by start_) as k from s) group by doc_id)
+select doc_id, case when found is null then text else list_reduce(found, lambda a, x: struct_pack(s := 0, e := 0, n := '', t := substr(a.t, 1, x.s) || x.n || substr(a.t, x.e + 1)), struct_pack(s := 0, e := 0, n := '', t := text)).t end as redacted from documents left join l using (doc_id)"""
+
+
+def phrases_sql(col: str, listed: list[str]) -> str:
+    return f"list_filter([{', '.join(map(q, listed))}], lambda p: contains(lower({col}), p))"
+
+
+def phrase_score_sql(n: str, base: float, most: float) -> str:
+    return f"case when {n} > 0 then least({most}::double, {base}::double + {n} * 0.15::double) else 0.0::double end"
+
+
+def grade_sql(s: str) -> str:
+    return f"case when {s} >= 0.9 then 'critical' when {s} >= 0.7 then 'high' when {s} >= 0.5 then 'medium' else 'low' end"
+
+
+KIND = f"case when list_has_any(m, [{', '.join(map(q, C.JAILBREAK))}]) then 'jailbreak_attempt' when list_has_any(m, [{', '.join(map(q, C.EXTRACTION))}]) then 'prompt_extraction' when list_has_any(m, [{', '.join(map(q, C.OVERRIDE))}]) then 'instruction_override' else 'prompt_injection' end"
+CODE_ROWS = [(f"code_{i:03d}", t) for i, t in enumerate(fixtures.CODE)]
+PII_ROWS = [(f"pii_{i:03d}", t) for i, t in enumerate(fixtures.PII)]
+SECRET_ROWS = [(f"secret_{i:03d}", t) for i, t in enumerate(fixtures.SECRETS)]
+PHRASE_ROWS = [(f"phrase_{i:03d}", t) for i, t in enumerate(fixtures.PHRASES)]
+ALL_ROWS = CODE_ROWS + PII_ROWS + SECRET_ROWS + PHRASE_ROWS
+CASES = "case_id string, text string"
+
+
+# ---- personal data
+
+@query(f"select doc_id, score, score >= 0.6 as blocked from (select doc_id, {score_sql('text', C.PII)} as score from documents)")
+def pii_score_block(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", top_score(F.col("text"), C.PII).alias("score")).withColumn("blocked", F.col("score") >= 0.6)
+
+
+@query("select doc_id, " + ", ".join(f"{matches('text', p)} as {i}" for i, p, *_ in C.PII) + " from documents")
+def pii_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *(hit(F.col("text"), p).alias(i) for i, p, *_ in C.PII))
+
+
+@query(f"select type, severity, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by all")
+def pii_findings_by_type(spark, sf_dir):
+    rows = guard.findings_table(table(spark, sf_dir, "documents"), "doc_id", kinds=("pii",))
+    return rows.groupBy("type", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"select doc_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('documents', 'doc_id', 'text', C.PII)})")
+def pii_spans(spark, sf_dir):
+    rows = guard.findings_table(table(spark, sf_dir, "documents"), "doc_id", kinds=("pii",), style="partial")
+    return rows.select("doc_id", "type", F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
+
+
+def _redact(style):
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "documents").select("doc_id", scanners.pii_redacted(F.col("text"), style).alias("redacted"))
+
+    run.__name__ = f"pii_redact_{style}"
+    return query(redact_sql(style))(run)
+
+
+for _style in ("full", "partial", "hash"):
+    _redact(_style)
+
+
+@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS) + f" select case_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('c', 'case_id', 'text', C.PII)})")
+def pii_cases(spark, sf_dir):
+    rows = guard.findings_table(spark.createDataFrame(PII_ROWS, CASES), "case_id", kinds=("pii",), style="partial")
+    return rows.select("case_id", "type", F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
+
+
+@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS) + f" select case_id, {score_sql('text', C.fallback_pii())} as score from c")
+def pii_fallback_cases(spark, sf_dir):
+    return spark.createDataFrame(PII_ROWS, CASES).select("case_id", top_score(F.col("text"), C.fallback_pii()).alias("score"))
+
+
+# ---- code
+
+@query(f"select page_id, score, score >= 0.7 as blocked from (select page_id, {score_sql('html', C.CODE)} as score from pages)")
+def code_score_block(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", top_score(F.col("html"), C.CODE).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
+
+
+@query(f"select type, category, severity, count(*)::bigint as n from ({spans_sql('pages', 'page_id', 'html', C.CODE)}) group by all")
+def code_findings_by_type(spark, sf_dir):
+    rows = guard.findings_table(table(spark, sf_dir, "pages"), "page_id", "html", ("code_injection",))
+    return rows.groupBy("type", F.col("detail").alias("category"), "severity").agg(F.count("*").alias("n"))
+
+
+@query("with " + values_sql("c", ["case_id", "text"], CODE_ROWS) + f" select case_id, type, category, start_, end_, case when length(value) > 100 then substr(value, 1, 100) || '...' else value end as value from ({spans_sql('c', 'case_id', 'text', C.CODE)})")
+def code_cases(spark, sf_dir):
+    rows = guard.findings_table(spark.createDataFrame(CODE_ROWS, CASES), "case_id", kinds=("code_injection",))
+    return rows.select("case_id", "type", F.col("detail").alias("category"), F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
+
+
+def _categories_sql(col):
+    by: dict[str, list[str]] = {}
+    for _, p, _, c in C.CODE:
+        by.setdefault(c, []).append(matches(col, p))
+    return "array_to_string(list_filter([" + ", ".join(f"case when {' or '.join(by[c])} then {q(c)} end" for c in sorted(by)) + "], lambda x: x is not null), ',')"
+
+
+@query("with " + values_sql("c", ["case_id", "text"], CODE_ROWS) + f" select case_id, {_categories_sql('text')} as categories, {score_sql('text', C.CODE)} as score, {score_sql('text', C.fallback_code())} as fallback_score from c")
+def code_categories(spark, sf_dir):
+    t = F.col("text")
+    return spark.createDataFrame(CODE_ROWS, CASES).select("case_id", F.array_join(scanners.categories(t), ",").alias("categories"), top_score(t, C.CODE).alias("score"), top_score(t, C.fallback_code()).alias("fallback_score"))
+
+
+# ---- credentials (reconstructed)
+
+@query("with " + values_sql("c", ["case_id", "text"], SECRET_ROWS) + f" select case_id, type, category, start_, end_, substr(value, 1, 4) || '***' as value from ({spans_sql('c', 'case_id', 'text', C.SECRETS)})")
+def secrets_cases(spark, sf_dir):
+    rows = guard.findings_table(spark.createDataFrame(SECRET_ROWS, CASES), "case_id", kinds=("secrets",))
+    return rows.select("case_id", "type", F.col("detail").alias("category"), F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
+
+
+@query(f"select doc_id, score, score >= 0.7 as blocked from (select doc_id, {score_sql('text', C.SECRETS)} as score from documents)")
+def secrets_score_block(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", top_score(F.col("text"), C.SECRETS).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
+
+
+# ---- phrases
+
+def _phrase_query(name, source, key, col, fill, build):
+    listed, base, most = (C.INJECTION, 0.4, 0.95) if name.startswith("injection") else (C.TOXIC, 0.3, 0.9)
+    kind = KIND if name.startswith("injection") else "'toxic'"
+    sql = f"select {', '.join(key)}, s as score, array_to_string(m, '|') as matched, case when s > 0.3 then {kind} end as type, case when s > 0.3 then {grade_sql('s')} end as severity from (select *, {phrase_score_sql('len(m)', base, most)} as s from (select {', '.join(key)}, {phrases_sql(col, listed)} as m from {source[0]}))"
+
+    def run(spark, sf_dir):
+        df = source[1](spark, sf_dir)
+        x = build(F.coalesce(F.col(col), F.lit("")))
+        first = F.get(F.col("x.findings"), 0)
+        return df.withColumn("x", x).select(*key, F.col("x.score").alias("score"), F.array_join("x.matched", "|").alias("matched"), first["type"].alias("type"), first["severity"].alias("severity"))
+
+    run.__name__ = name
+    return query(fill + sql)(run)
+
+
+_cases = "with " + values_sql("c", ["case_id", "text"], PHRASE_ROWS) + " "
+_phrase_query("injection_heuristic", ("conversations", lambda s, d: table(s, d, "conversations")), ["conv_id", "turn"], "text", "", scanners.injection)
+_phrase_query("toxicity_heuristic", ("documents", lambda s, d: table(s, d, "documents")), ["doc_id"], "text", "", scanners.toxicity)
+_phrase_query("injection_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.injection)
+_phrase_query("toxicity_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.toxicity)
+
+
+@query(f"select toxic, detected, count(*)::bigint as n from (select toxic, {phrase_score_sql('len(m)', 0.3, 0.9)} > 0.5 as detected from (select l.toxic, {phrases_sql('text', C.TOXIC)} as m from documents d join labels l using (doc_id))) group by all")
+def toxicity_vs_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (scanners.toxicity(F.col("text"))["score"] > 0.5).alias("detected"))
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "detected").agg(F.count("*").alias("n"))
+
+
+# ---- claims without support
+
+PAIRS = "select conv_id, turn, text as input_text, lead(role) over w as r, lead(text) over w as output_text, role from conversations window w as (partition by conv_id order by turn)"
+
+
+def _simple_sql(source: str, key: str, text: str, context: str) -> str:
+    words = lambda x: f"list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+    gap = []
+    for p in C.FABRICATION:
+        at = f"strpos(lower({text}), {q(p)})"
+        start = f"greatest(0, {at} - 51)"
+        claim = words(f"lower(substr({text}, {start} + 1, {at} - 1 + {len(p) + 100} - {start}))")
+        gap.append(f"case when contains(lower({text}), {q(p)}) and coalesce({context} <> '', false) and len({claim}) > 0 and len(list_intersect({claim}, {words(f'lower({context})')}))::double / len({claim}) < 0.3 then 1 else 0 end")
+    cited = " + ".join(f"len(regexp_extract_all({text}, {q('(?i)' + p)}))" for p in C.CITATIONS)
+    return f"""select {key}, least(0.9::double, s) as score, array_to_string(m, '|') as indicators, c::bigint as citations, g > 0 as mismatch, case when len(m) > 0 or (c > 0 and not h) then case when s < 0.5 then 'medium' else 'high' end end as severity
+from (select *, least(0.5::double, 0.1::double * len(m)) + least(0.3::double, 0.1::double * c) + 0.2::double * g as s from (select {key}, {phrases_sql(text, C.FABRICATION)} as m, {cited} as c, {' + '.join(gap)} as g, coalesce({context} <> '', false) as h from {source}))"""
+
+
+def _simple(df, key):
+    x = scanners.hallucination_simple(F.col("output_text"), F.col("input_text"))
+    return df.withColumn("x", x).select(*key, F.round("x.score", 9).alias("score"), F.array_join("x.indicators", "|").alias("indicators"), F.col("x.citations").alias("citations"), F.col("x.mismatch").alias("mismatch"), F.get(F.col("x.findings"), 0)["severity"].alias("severity"))
+
+
+@query("select * replace (round(score, 9) as score) from (" + _simple_sql(f"(select * from ({PAIRS}) where role = 'user' and r = 'assistant')", "conv_id, turn", "output_text", "input_text") + ")")
+def hallucination_simple(spark, sf_dir):
+    return _simple(guard.pairs(table(spark, sf_dir, "conversations")), ["conv_id", "turn"])
+
+
+CLAIM_ROWS = [(f"claim_{i:03d}", c, t) for i, (c, t) in enumerate(fixtures.CLAIMS)]
+
+
+@query("with " + values_sql("c", ["case_id", "input_text", "output_text"], CLAIM_ROWS) + " select * replace (round(score, 9) as score) from (" + _simple_sql("c", "case_id", "output_text", "input_text") + ")")
+def hallucination_cases(spark, sf_dir):
+    return _simple(spark.createDataFrame(CLAIM_ROWS, "case_id string, input_text string, output_text string"), ["case_id"])
+
+
+JUDGE_ROWS = [(f"judge_{i:03d}", p) for i, p in enumerate(fixtures.JUDGE)]
+
+
+@query("with " + values_sql("c", ["case_id", "payload"], JUDGE_ROWS) + """, j as (select case_id, case when json_valid(payload) then payload else '{}' end as p from c),
+v as (select case_id, coalesce((p->>'$.faithful')::boolean, true) as f, coalesce((p->>'$.confidence')::double, 0.5) as s, coalesce(json_array_length(p->'$.hallucinations'), 0)::bigint as n from j)
+select case_id, round(case when not s between 0 and 1 then 0.0 when f then 1.0 - s else s end, 9)::double as score, case when s between 0 and 1 then n else 0 end as n_findings from v""")
+def judge_parse(spark, sf_dir):
+    df = spark.createDataFrame(JUDGE_ROWS, "case_id string, payload string")
+    x = scanners.judged(F.lit("source"), F.col("payload"))
+    return df.withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"))
+
+
+# ---- verdicts
+
+def _verdict_sql(source: str, key: str, col: str, direction: str, config: conf.Config) -> str:
+    rows = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}
+    phr = {"injection": (C.INJECTION, 0.4, 0.95), "toxicity": (C.TOXIC, 0.3, 0.9)}
+    score = {i: score_sql(col, r) for i, r in rows.items()} | {i: phrase_score_sql(f"len({phrases_sql(col, p)})", b, m) for i, (p, b, m) in phr.items()}
+    plan = guard.planned(config, direction)
+    fast, slow = ([i for i, t in plan if t == tier] for tier in ("fast", "slow"))
+    stop = " or ".join(f"{i} >= 0.9" for i in fast) if config.early_exit else "false"
+    kept = [f"case when stop then null else {i} end as {i}" for i in slow]
+    ids = fast + slow
+    block = " or ".join(f"coalesce({i} >= {config.threshold(i)}, false)" for i in ids)
+    names = ", ".join(f"case when {i} is not null then {q(i)} end" for i in sorted(ids))
+    return f"""with raw as (select {key}, {', '.join(f'{score[i]} as {i}' for i in ids)} from {source}), st as (select *, {stop} as stop from raw), v as (select {key}, {', '.join(fast + kept)} from st)
+select {key}, {block} as blocked, greatest({', '.join(ids)}, 0.0) as risk_score, array_to_string(list_filter([{names}], lambda x: x is not null), ',') as checks_run from v"""
+
+
+@query(_verdict_sql("(select conv_id, turn, coalesce(text, '') as text from conversations where role = 'user')", "conv_id, turn", "text", "input", conf.Config()))
+def guard_input_verdict(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return guard.verdict(df, direction="input").select("conv_id", "turn", "blocked", "risk_score", "checks_run")
+
+
+@query(_verdict_sql("(select doc_id, coalesce(text, '') as text from documents)", "doc_id", "text", "output", conf.Config()))
+def guard_output_verdict(spark, sf_dir):
+    return guard.verdict(table(spark, sf_dir, "documents"), direction="output").select("doc_id", "blocked", "risk_score", "checks_run")
+
+
+@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select * from (" + _verdict_sql("cases", "case_id", "text", "input", conf.Config()) + ")")
+def early_exit_checks_run(spark, sf_dir):
+    return guard.verdict(spark.createDataFrame(ALL_ROWS, CASES), direction="input").select("case_id", "blocked", "risk_score", "checks_run")
+
+
+@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select * from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config(early_exit=False, sensitivity="strict")) + ")")
+def strict_verdict_without_exit(spark, sf_dir):
+    df = spark.createDataFrame(ALL_ROWS, CASES)
+    return guard.verdict(df, direction="output", config=conf.Config(early_exit=False, sensitivity="strict")).select("case_id", "blocked", "risk_score", "checks_run")
+
+
+@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select case_id, blocked, risk_score, checks_run from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config()) + ")")
+def guard_scan_cases(spark, sf_dir):
+    df = guard.scan(spark.createDataFrame(ALL_ROWS, CASES), direction="output")
+    return df.select("case_id", F.col("scan.blocked").alias("blocked"), F.col("scan.risk_score").alias("risk_score"), F.array_join(F.array_sort(F.map_keys("scan.checks")), ",").alias("checks_run"))
+
+
+@query(f"""with p as (select conv_id, turn, input_text, output_text from ({PAIRS}) where role = 'user' and r = 'assistant'),
+i as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, input_text as text from p)', 'conv_id, turn', 'text', 'input', conf.Config())})),
+o as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, output_text as text from p)', 'conv_id, turn', 'text', 'output', conf.Config())}))
+select conv_id, turn, i.blocked as input_blocked, o.blocked as output_blocked, i.blocked or o.blocked as blocked from i join o using (conv_id, turn)""")
+def full_scan_pairs(spark, sf_dir):
+    df = guard.scan_pairs(guard.pairs(table(spark, sf_dir, "conversations")))
+    return df.select("conv_id", "turn", F.col("input_scan.blocked").alias("input_blocked"), F.col("output_scan.blocked").alias("output_blocked"), "blocked")
+
+
+@query("with t(sensitivity, threshold) as (values " + ", ".join(f"({q(s)}, {own['pii']}::double)" for s, own in C.THRESHOLDS.items()) + f") select sensitivity, lang, count(*)::bigint as n, count(*) filter (where score >= threshold)::bigint as n_blocked from (select lang, {score_sql('text', C.PII)} as score from documents), t group by all")
+def sensitivity_matrix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", top_score(F.col("text"), C.PII).alias("score"), F.lit("pii").alias("scanner_id"))
+    # three rows for each scanner
+    return docs.join(F.broadcast(C.thresholds(spark)), "scanner_id").groupBy("sensitivity", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("n_blocked"))
+
+
+TENANTS = [("org0", '{"sensitivity":"strict"}'), ("org1", '{"sensitivity":"low"}'), ("org2", '{"thresholds":{"pii":0.3}}'), ("org3", "{}")]
+
+
+@query("with " + values_sql("t", ["org_id", "config"], TENANTS) + f", d as (select doc_id, 'org' || (doc_id % 5)::varchar as org_id, {score_sql('text', C.PII)} as score from documents) select doc_id, org_id, score, score >= case org_id when 'org0' then 0.4 when 'org1' then 0.8 when 'org2' then 0.3 else 0.6 end as blocked from d left join t using (org_id)")
+def tenant_config(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org"), (F.col("doc_id") % 5).cast("string")).alias("org_id"), top_score(F.col("text"), C.PII).alias("score"))
+    rows = conf.with_tenant(docs, F.broadcast(spark.createDataFrame(TENANTS, "org_id string, config string")))
+    return rows.select("doc_id", "org_id", "score", (F.col("score") >= F.coalesce(conf.tenant_threshold(F.col("tenant_config"), "pii"), F.lit(0.6))).alias("blocked"))
+
+
+# ---- the second screen, the general redactor
+
+def _screen_sql(source: str, key: str, col: str) -> str:
+    hits = [(n, matches(col, screen.pattern(p, i)), lv, f"regexp_extract({col}, {q(screen.pattern(p, i))})") for n, p, i, lv in C.SCREEN]
+    shown = ", ".join(f"case when {m} then 'pii_{n}:{lv}:' || case when length({x}) > 4 then substr({x}, 1, 4) || '***' else '***' end end" for n, m, lv, x in hits)
+    return f"select {key}, len(t) > 0 as blocked, case when len(t) > 0 then 1.0 else 0.0 end::double as risk_score, array_to_string(t, '|') as threats from (select {key}, list_filter([{shown}], lambda x: x is not null) as t from {source})"
+
+
+def _screened(df, key):
+    shown = F.transform("screen.threats", lambda t: F.concat(t["type"], F.lit(":"), t["level"], F.lit(":"), t["matched"]))
+    return screen.screen(df).select(key, F.col("screen.blocked").alias("blocked"), F.col("screen.risk_score").alias("risk_score"), F.array_join(shown, "|").alias("threats"))
+
+
+@query(_screen_sql("documents", "doc_id", "text"))
+def screen_verdict(spark, sf_dir):
+    return _screened(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS + SECRET_ROWS) + " select * from (" + _screen_sql("c", "case_id", "text") + ")")
+def screen_cases(spark, sf_dir):
+    return _screened(spark.createDataFrame(PII_ROWS + SECRET_ROWS, CASES), "case_id")
+
+
+REDACT_ROWS = [(f"value_{i:03d}", k, v) for i, (k, v) in enumerate(fixtures.VALUES)]
+
+
+@query("with " + values_sql("c", ["case_id", "kind", "value"], REDACT_ROWS) + """ select case_id, '[' || upper(kind) || ':' || substr(sha256(value), 1, 8) || ']' as hashed, case
+when length(value) <= 4 then repeat('*', length(value)) when kind = 'ssn' then '***-**-' || right(value, 4) when starts_with(kind, 'credit_card') then '****-****-****-' || right(value, 4)
+when starts_with(kind, 'phone') then '(***) ***-' || right(value, 4) when kind = 'email' then substr(value, 1, 1) || case when strpos(value, '@') > 1 then '***@***.***' else '***' end
+when length(value) > 6 then substr(value, 1, 2) || repeat('*', length(value) - 4) || right(value, 2) else repeat('*', length(value) - 2) || right(value, 2) end as partial from c""")
+def redactor_defaults(spark, sf_dir):
+    df = spark.createDataFrame(REDACT_ROWS, "case_id string, kind string, value string")
+    v, k = F.col("value"), F.col("kind")
+    return df.select("case_id", redactor.redact_value(v, k, "hash").alias("hashed"), redactor.redact_value(v, k, "partial").alias("partial"))
+
+
+@query("select doc_id, regexp_replace(text, 'src[0-9]+|[0-9]{3,}', '[REDACTED]', 'g') as redacted, len(regexp_extract_all(text, 'src[0-9]+|[0-9]{3,}'))::bigint as n from documents")
+def redact_pattern(spark, sf_dir):
+    x = redactor.redact_pattern(F.col("text"), "src[0-9]+|[0-9]{3,}")
+    return table(spark, sf_dir, "documents").withColumn("x", x).select("doc_id", F.col("x.redacted_text").alias("redacted"), F.col("x.redaction_count").cast("long").alias("n"))
+
+
+# ---- analytics
+
+@query(f"select lang, type, count(*)::bigint as n from (select d.lang, s.type from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) s join documents d using (doc_id)) group by rollup (lang, type)")
+def corpus_profile(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.explode(scanners.pii_findings(F.col("text"))).alias("f"))
+    return docs.rollup("lang", F.col("f.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"select source, n_blocked, n, rank from (select *, row_number() over (order by n_blocked desc, source) as rank from (select source, count(*) filter (where s >= 0.6)::bigint as n_blocked, count(*)::bigint as n from (select source, {score_sql('text', C.PII)} as s from documents) group by source)) where rank <= 10")
+def worst_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", top_score(F.col("text"), C.PII).alias("s"))
+    top = docs.groupBy("source").agg(F.count_if(F.col("s") >= 0.6).alias("n_blocked"), F.count("*").alias("n")).orderBy(F.desc("n_blocked"), "source").limit(10)
+    from pyspark.sql import Window as W
+
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n_blocked"), "source")).cast("long"))
+
+
+LABELLED = [(t, s, d) for s, t, d in fixtures.LABELLED]
+
+
+@query("with " + values_sql("c", ["text", "scanner", "expected"], LABELLED) + f""", s as (select scanner, expected, case scanner when 'pii' then {score_sql('text', C.PII)} when 'code_injection' then {score_sql('text', C.CODE)} when 'secrets' then {score_sql('text', C.SECRETS)}
+when 'injection' then {phrase_score_sql(f'len({phrases_sql("text", C.INJECTION)})', 0.4, 0.95)} else {phrase_score_sql(f'len({phrases_sql("text", C.TOXIC)})', 0.3, 0.9)} end > 0.3 as detected from c)
+select scanner, count(*)::bigint as n, count(*) filter (where detected = expected)::bigint as n_right from s group by all""")
+def harness_accuracy(spark, sf_dir):
+    df = spark.createDataFrame(LABELLED, "text string, scanner string, expected boolean")
+    t = F.col("text")
+    score = F.when(F.col("scanner") == "pii", top_score(t, C.PII)).when(F.col("scanner") == "code_injection", top_score(t, C.CODE)).when(F.col("scanner") == "secrets", top_score(t, C.SECRETS)).when(F.col("scanner") == "injection", scanners.injection(t)["score"]).otherwise(scanners.toxicity(t)["score"])
+    return df.withColumn("detected", score > 0.3).groupBy("scanner").agg(F.count("*").alias("n"), F.count_if(F.col("detected") == F.col("expected")).alias("n_right"))
+
+
+@query("with " + values_sql("c", ["scanner_id", "tier", "direction", "needs_judge", "threshold"], [(i, t, d, j, C.THRESHOLDS["balanced"][i]) for i, t, d, j in C.SCANNERS]) + " select scanner_id, tier, direction, needs_judge, threshold::double as threshold from c")
+def scanner_info(spark, sf_dir):
+    return C.scanners(spark)
+
+
+@query(f"select conv_id, turn, case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as shown from conversations")
+def truncated_projection(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cut(F.col("text"), 100).alias("shown"))
+
+
+@query(f"select role, blocked, count(*)::bigint as n from ({_verdict_sql('(select role, conv_id, turn, coalesce(text, chr(32)) as text from conversations)', 'role, conv_id, turn', 'text', 'input', conf.Config())}) group by all")
+def stream_scan_counts(spark, sf_dir):
+    """The verdicts of a stream over the table's files, stopped when all was read."""
+    from textward.streaming.table import drained
+
+    return drained(spark, f"{sf_dir}/conversations.parquet").groupBy("role", "blocked").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
