@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: A text holding this has a space beside other white space or at an end; there a cut before a space isn't known to be safe.
 LOOSE = r"[\s\x1c-\x1f\x{85}\p{Z}] | [\s\x1c-\x1f\x{85}\p{Z}]|^ | $"
 #: Stands between pieces that are encoded together. Pieces that hold it are encoded alone.
@@ -48,6 +48,38 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class Store:
+    """The ids of pieces seen before: at most ``kept``, then all are forgotten."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def slots(self, coded: pa.DictionaryArray, make) -> np.ndarray:
+        """The slot of each value; ``make`` gives ids and sizes of a list of new ones."""
+        unique = coded.dictionary.to_pylist()
+        if len(self.slot) > self.kept:
+            self.forget()
+        new = [p for p in unique if p not in self.slot]
+        if new:
+            flat, sizes = make(new)
+            n = len(self.sizes)
+            self.slot.update(zip(new, range(n, n + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        return np.fromiter(map(self.slot.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
+
+
+def parts(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0, and the values."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+
+
 class Encoder:
     """``encode(texts)``: the ids of all texts one after another, and each text's number of ids.
 
@@ -61,15 +93,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.rule = cut_rule(json.load(f))
-        self.kept = kept
+        self.store = Store(kept)
         self.lead = " " if self.rule == "space" else ""
         bar = self.tokenizer.encode(self.lead + BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,31 +134,14 @@ class Encoder:
 
     def cut(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of texts in which every cut is safe."""
-        if self.rule == "word":
-            lists = pc.ascii_split_whitespace(col)
-            heads = None
-        else:
-            lists = pc.split_pattern(col, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets = offsets - offsets[0]
-        unique, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.slot) > self.kept:
-            self.forget()
-        new = [p for p in unique if p not in self.slot]
-        if new:
-            flat, sizes = self.pieces(new)
-            n = len(self.sizes)
-            self.slot.update(zip(new, range(n, n + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        slots = np.fromiter(map(self.slot.__getitem__, unique), np.int64, len(unique))[codes]
-        starts, sizes, flat = self.starts[slots], self.sizes[slots], self.flat
+        offsets, values = parts(pc.ascii_split_whitespace(col) if self.rule == "word" else pc.split_pattern(col, " "))
+        slots = self.store.slots(values.dictionary_encode(), self.pieces)
+        starts, sizes, flat = self.store.starts[slots], self.store.sizes[slots], self.store.flat
         if self.rule == "space":  # a text's first piece has no space before it
             first = offsets[:-1]
-            heads, n = self.plain(lists.values.take(pa.array(first + lists.offsets[0].as_py())).to_pylist())
+            heads, n = self.plain(values.take(pa.array(first)).to_pylist())
             flat = np.concatenate([flat, heads])
-            starts[first], sizes[first] = len(self.flat) + np.cumsum(n) - n, n
+            starts[first], sizes[first] = len(self.store.flat) + np.cumsum(n) - n, n
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ragged(flat, starts, sizes), np.diff(ends[offsets])
 
@@ -166,14 +176,18 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches, path: str):
     """(doc_id, ids) of Arrow batches of doc_id and text, as (list of doc_ids, list of byte strings) of about CHUNK of text each."""
-    coder = encoder(path)
+    yield from by_text(batches, encoder(path).encode)
+
+
+def by_text(batches, encode):
+    """Rows of Arrow batches of doc_id and text with what ``encode`` makes of the texts, CHUNK bytes at a time."""
     for batch in batches:
         text = batch.column(1).cast(pa.string())
         size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
-            flat, n = coder.encode(text.slice(lo, hi - lo))
+            flat, n = encode(text.slice(lo, hi - lo))
             data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
             yield batch.column(0).slice(lo, hi - lo).to_pylist(), [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             lo = hi

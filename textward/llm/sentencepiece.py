@@ -15,10 +15,13 @@ import struct
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
+from .encode import Store, by_text, parts, ragged
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -87,9 +90,10 @@ class Model:
         self.unk = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.id = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
+        self.plain_ids = None
         self.least = min((self.scores[i] for i in self.id.values()), default=0.0) - PENALTY
         self.words = all(SPACE not in p.lstrip(SPACE) for p in self.id)
-        self.kept, self.memo, self.pairs = kept, {}, {}
+        self.kept, self.store, self.pairs = kept, Store(kept), {}
         self.auto = ahocorasick.Automaton()
         for p, i in self.id.items():
             # a piece that its own merges don't make never comes out of them
@@ -188,26 +192,47 @@ class Model:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> list[int]:
         text = self.normalize(text)
         words = self.cut(text) if self.words else [text] if text else []
-        out, memo = array("I"), self.memo
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = array("I", self.segment(w))
-                if len(w) <= 48:
-                    if len(memo) > self.kept:
-                        memo.clear()
-                    memo[w] = ids
-            out.extend(ids)
-        return out
+        return [i for w in words for i in self.segment(w)]
+
+    def several(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.segment(SPACE + w) for w in words]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def encode_many(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and each text's number of ids; equal words are encoded once."""
+        col = pc.fill_null(col, "")
+        plain = self.words and self.dummy and self.escape and not self.squeeze
+        # where spaces follow each other or stand at an end, or the mark is in the text, words aren't what is between spaces
+        loose = pc.match_substring_regex(col, f"  |^ | $|{SPACE}|^$").to_numpy(zero_copy_only=False) if plain else np.ones(len(col), bool)
+        sizes, starts = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64)
+        flat, own = [np.zeros(0, np.uint32)], np.flatnonzero(~loose)
+        if len(own):
+            offsets, values = parts(pc.split_pattern(col.take(pa.array(own)), " "))
+            slots = self.store.slots(values.dictionary_encode(), self.several)
+            n = self.store.sizes[slots]
+            flat.append(ragged(self.store.flat, self.store.starts[slots], n))
+            sizes[own] = np.diff(np.concatenate([[0], np.cumsum(n)])[offsets])
+            starts[own] = np.cumsum(sizes[own]) - sizes[own]
+        at = sum(map(len, flat))
+        for k in np.flatnonzero(loose).tolist():
+            ids = np.array(self.encode(col[k].as_py()), np.uint32)
+            flat.append(ids)
+            starts[k], sizes[k], at = at, len(ids), at + len(ids)
+        return ragged(np.concatenate(flat), starts, sizes), sizes
 
     def decode(self, ids) -> str:
         """The text of ids. Bytes that aren't UTF-8 become replacement characters, unknown pieces the model's mark."""
-        out, raw = [], bytearray()
-        of = {i: b for b, i in self.bytes.items()} if not hasattr(self, "_byte") else self._byte
-        self._byte = of
+        if self.plain_ids is None:
+            self.of = {i: b for b, i in self.bytes.items()}
+            self.plain_ids = [p if t == NORMAL else None for p, t in zip(self.pieces, self.types, strict=True)]
+        words = [self.plain_ids[i] for i in ids]
+        if None not in words:
+            text = "".join(words).replace(SPACE, " ")
+            return text[1:] if self.dummy and text.startswith(" ") else text
+        out, raw, of = [], bytearray(), self.of
         for i in ids:
             if i in of:
                 raw.append(of[i])
@@ -243,9 +268,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches):
-        m = load(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.encode(t or "").tolist() for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for doc_ids, ids in by_text(batches, load(model).encode_many):
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return common.columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -270,12 +294,14 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         m = load(model)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = m.encode(text or "")
-                back = m.decode(ids)
-                rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")))
-            kinds = [pa.int64()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")]) if rows else batch.slice(0, 0)
+            texts, at = batch.column(1), 0
+            for doc_ids, found in by_text([batch], m.encode_many):
+                rows = []
+                for doc_id, ids, text in zip(doc_ids, found, texts.slice(at, len(doc_ids)).to_pylist(), strict=True):
+                    back = m.decode(array("I", ids))
+                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")))
+                at += len(doc_ids)
+                kinds = [pa.int64()] * 4 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")])
 
     return common.columns(docs, doc_id="long", text="string").mapInArrow(run, ROW)
