@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded at once.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: A text holding this has a space beside other white space or at an end; there a cut before a space isn't known to be safe.
 LOOSE = r"[\s\x1c-\x1f\x{85}\p{Z}] | [\s\x1c-\x1f\x{85}\p{Z}]|^ | $"
 #: Stands between pieces that are encoded together. Pieces that hold it are encoded alone.
@@ -64,14 +64,17 @@ class Store:
         unique = coded.dictionary.to_pylist()
         if len(self.slot) > self.kept:
             self.forget()
-        new = [p for p in unique if p not in self.slot]
-        if new:
+        n, got = len(self.sizes), list(map(self.slot.get, unique))
+        gaps = [i for i, k in enumerate(got) if k is None]
+        if gaps:
+            new = [unique[i] for i in gaps]
             flat, sizes = make(new)
-            n = len(self.sizes)
+            for k, i in enumerate(gaps, n):
+                got[i] = k
             self.slot.update(zip(new, range(n, n + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        return np.fromiter(map(self.slot.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
+        return np.array(got, np.int64)[coded.indices.to_numpy()]
 
 
 def parts(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -86,7 +89,7 @@ class Encoder:
     Equal pieces are encoded once. ``kept`` bounds the pieces that a worker remembers; it forgets all when they are more.
     """
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,40 +100,56 @@ class Encoder:
         self.lead = " " if self.rule == "space" else ""
         bar = self.tokenizer.encode(self.lead + BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        # ids that begin with a space, or end a word: one for each piece of which that is known
+        mark = (lambda t: t.startswith("Ġ")) if self.rule == "space" else (lambda t: t.endswith("</w>"))
+        self.edge[[i for t, i in vocabulary.items() if mark(t)]] = True
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
 
     def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many pieces in few calls: put between bars, whose id then parts them."""
-        if self.bar is None:
-            return self.plain([self.lead + p for p in new])
-        alone = [i for i, p in enumerate(new) if BAR in p or "<|" in p or not p]
-        rest = sorted(set(range(len(new))).difference(alone)) if alone else range(len(new))
-        flat, sizes = [], np.zeros(len(new), np.int64)
-        order = np.concatenate([np.array(rest, np.int64), np.array(alone, np.int64)])
-        between = f" {BAR} "
-        for lo in range(0, len(rest), 2000):
-            part = [new[i] for i in rest[lo : lo + 2000]]
-            text = f"{self.lead}{between.join(part)} {BAR}"
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(ids == self.bar)
-            if len(at) != len(part):  # not expected: then one by one
-                own, n = self.plain([self.lead + p for p in part])
-            else:
-                own, n = ids[ids != self.bar], np.diff(at, prepend=-1) - 1
-            flat.append(own)
-            sizes[order[lo : lo + len(part)]] = n
+        """Many pieces in few calls, parted again by the ids at their edges.
+
+        With the rule "space" each piece's first id, and no other, begins with a space. With the rule "word" a piece of
+        letters alone is one word, with one last id; other pieces are put between bars.
+        """
+        alone = [i for i, p in enumerate(new) if "<|" in p or not p or BAR in p and self.rule == "word"]
+        rest = sorted(set(range(len(new))).difference(alone)) if alone else list(range(len(new)))
+        flat, order, sizes = [], [], np.zeros(len(new), np.int64)
+        if self.rule == "space":
+            plain, barred = rest, []
+        else:  # a dotted capital I becomes two characters
+            plain = [i for i in rest if new[i].isalpha() and "İ" not in new[i]]
+            barred = sorted(set(rest).difference(plain))
+        for own, barring in ((plain, False), (barred, True)):
+            for lo in range(0, len(own), 2000):
+                part = [new[i] for i in own[lo : lo + 2000]]
+                text = f" {BAR} ".join(part) + f" {BAR}" if barring else self.lead + " ".join(part)
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                if barring:
+                    at = np.flatnonzero(ids == self.bar) if self.bar is not None else []
+                    n, ids = np.diff(at, prepend=-1) - 1, ids[ids != self.bar] if self.bar is not None else ids
+                else:
+                    at = np.flatnonzero(self.edge[ids])
+                    n = np.diff(at, append=len(ids)) if self.rule == "space" else np.diff(at, prepend=-1)
+                if len(at) != len(part) or n.sum() != len(ids):  # not expected: then one by one
+                    ids, n = self.plain([self.lead + p for p in part])
+                flat.append(ids)
+                sizes[own[lo : lo + len(part)]] = n
+            order += own
         if alone:
-            own, n = self.plain([self.lead + new[i] if new[i] else "" for i in alone])
-            flat.append(own)
-            sizes[order[len(rest) :]] = n
-        joined = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            ids, n = self.plain([self.lead + new[i] if new[i] else "" for i in alone])
+            flat.append(ids)
+            sizes[alone] = n
+            order += alone
+        order = np.array(order, np.int64)
         n = sizes[order]
         starts = np.empty(len(new), np.int64)
         starts[order] = np.cumsum(n) - n
-        return ragged(joined, starts, sizes), sizes
+        return ragged(np.concatenate(flat) if flat else np.zeros(0, np.uint32), starts, sizes), sizes
 
     def cut(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of texts in which every cut is safe."""

@@ -64,7 +64,7 @@ def fields(data: bytes):
 class Model:
     """A model file's pieces, and the automaton over them. ``kept`` bounds the words that are remembered."""
 
-    def __init__(self, data: bytes, kept: int = 400_000):
+    def __init__(self, data: bytes, kept: int = 1_000_000):
         import ahocorasick
 
         self.pieces, self.scores, self.types = [], [], []
