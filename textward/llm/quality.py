@@ -111,9 +111,10 @@ def cutoffs(numbers: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
     long = rows.select("stratum", "q", F.explode(rules).alias("r")).select("stratum", "q", "r.rule", F.col("r.value").alias("value"), F.explode("r.cuts").alias("cutoff"))
     hit = F.col("value") > F.col("cutoff")
     seen = long.groupBy("stratum", "rule", "cutoff").agg(F.count_if(F.col("q") == 1).alias("n"), F.count_if((F.col("q") == 1) & hit).alias("k"), F.count_if((F.col("q") == 0) & hit).alias("bad"))
-    tests = seen.agg(F.count("*").alias("tests"))
+    seen = common.materialize(seen, "tests")  # a row for each stratum, rule and cutoff
+    tests = max(1, seen.count())
     p = risk / len(RULES)
-    usable = seen.withColumn("gain", F.col("bad") - PRICE * F.col("k")).filter("gain > 0").crossJoin(F.broadcast(tests)).filter(F.col("k") <= F.col("n") * p).filter(tail(F.col("k"), F.col("n"), p) <= delta / F.col("tests"))
+    usable = seen.withColumn("gain", F.col("bad") - PRICE * F.col("k")).filter("gain > 0").filter(F.col("k") <= F.col("n") * p).filter(tail(F.col("k"), F.col("n"), p) <= delta / tests)
     return usable.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
 
 
