@@ -62,7 +62,8 @@ def remove(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True)
         hits = hits.filter("first is null or doc_id is null or doc_id != first")
     # a row without a doc_id finds its lines under a number that no document has twice: its text's hash
     hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("x", "y")).alias("_out"))
-    hits = common.few(common.materialize(hits, "removed"), 20_000)
+    # one plan at every size: what is removed grows with the documents, so it is never broadcast
+    hits = common.materialize(hits, "removed").hint("merge")
     rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
     rows = rows.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("_id").eqNullSafe(F.col("_hit")), "left") if has_null(hits) else rows.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("_id") == F.col("_hit"), "left")
     parts = F.split("text", "\n", -1)
