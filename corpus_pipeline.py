@@ -16,7 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go."""
-    return langid.keep(docs)
+    with common.batches(spark, 2000):
+        return common.materialize(langid.keep(docs), "known")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all that is left, in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with common.batches(spark, 2000):
+        return common.materialize(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("packing", pack)]

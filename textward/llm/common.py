@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +68,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict[str, object] = {}
+
+
+def only(name: str, make=lambda: True):
+    """What ``make`` gives, kept by a Python worker from task to task until another name is asked for.
+
+    Workers serve one stage after another; so what one has remembered doesn't stand in the next one's way.
+    """
+    if name not in _held:
+        _held.clear()
+        tidy()
+        _held[name] = make()
+    return _held[name]
+
+
+def tidy() -> None:
+    """Gives memory that isn't used back to the system: Arrow's, Python's and, where there is glibc, the C library's."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int):
+    """What is written within goes to Python in Arrow batches of so many rows at most: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def open_in(uri: str):
     """A random-access file on any file system that pyarrow knows."""
     from pyarrow import fs

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Bytes of text that are cut and encoded at once.
 CHUNK = 8 << 20
 #: A text holding this has a space beside other white space or at an end; there a cut before a space isn't known to be safe.
@@ -183,29 +185,25 @@ class Encoder:
         return ragged(np.concatenate([got[0][0], got[1][0]]), starts, sizes), sizes
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int) -> Encoder:
+    """One for each worker, while it encodes with this vocabulary."""
+    return common.only(f"encoder {path} {kept}", lambda: Encoder(path, kept))
 
 
-def encoded(batches, path: str):
-    """(doc_id, ids) of Arrow batches of doc_id and text, as (list of doc_ids, list of byte strings) of about CHUNK of text each."""
-    yield from by_text(batches, encoder(path).encode)
+def encoded(batches, path: str, kept: int = 1_200_000, chunk: int = CHUNK):
+    """(doc_id, ids) of Arrow batches of doc_id and text, as (list of doc_ids, list of byte strings) of about ``chunk`` bytes of text each."""
+    yield from by_text(batches, encoder(path, kept).encode, chunk)
+    common.tidy()
 
 
-def by_text(batches, encode):
-    """Rows of Arrow batches of doc_id and text with what ``encode`` makes of the texts, CHUNK bytes at a time."""
+def by_text(batches, encode, chunk: int = CHUNK):
+    """Rows of Arrow batches of doc_id and text with what ``encode`` makes of the texts, about ``chunk`` bytes at a time."""
     for batch in batches:
         text = batch.column(1).cast(pa.string())
         size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + chunk, "right")))
             flat, n = encode(text.slice(lo, hi - lo))
             data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
             yield batch.column(0).slice(lo, hi - lo).to_pylist(), [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]

@@ -56,6 +56,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of the documents each hashed n-gram occurs, over all of them; a row for each task comes back."""
 
     def count(batches):
+        common.only("languages")
         total, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train(rows))
 
     def run(batches):
+        common.only("languages")
         m = shared.value
         for batch in batches:
             out = [m.predict(t) for t in batch.column(2).to_pylist()]
@@ -182,6 +184,7 @@ def keep(docs: DataFrame, min_score: float = 0.35, model: Model | None = None) -
     at = docs.columns.index("text")
 
     def run(batches):
+        common.only("languages")
         m = shared.value
         for batch in batches:
             good = []

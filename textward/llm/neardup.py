@@ -125,6 +125,7 @@ def features(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, n_shingles, 128 bits that name its set of shingles, and its bands' keys (none for an empty set)."""
 
     def run(batches):
+        common.only("shingles")
         for ids, words, ends in documents_of(batches):
             out, lo = [], 0
             for doc_id, hi in zip(ids, ends.tolist(), strict=True):
@@ -139,6 +140,7 @@ def features(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, cols[4])])
             bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(cols[4]), pa.int64()))
             yield pa.RecordBatch.from_arrays([*(pa.array([None if x is None else int(x) for x in c], pa.int64()) for c in cols[:4]), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+        common.tidy()
 
     return docs.mapInArrow(run, FEATURES)
 
@@ -152,10 +154,12 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """Each document's sorted distinct shingle hashes, as bytes, and their :func:`parity` as eight numbers."""
 
     def run(batches):
+        common.only("shingles")
         for ids, words, ends in documents_of(batches):
             sets = [shingles(words[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             bits = pa.array(np.concatenate([parity(s) for s in sets]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(range(0, 8 * len(sets) + 1, 8), pa.int32()), bits)], names=["doc_id", "s", "bits"])
+        common.tidy()
 
     return docs.mapInArrow(run, "doc_id long, s binary, bits array<long>")
 
@@ -164,6 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     """Of the pairs (a, b), those whose whole sets are at least so similar."""
 
     def run(batches):
+        common.only("shingles")
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
@@ -257,7 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket is lost, and no group sends out all its pairs.
     """
     docs = common.columns(docs, doc_id="long", text="string")
-    told = common.materialize(features(docs), "features")
+    spark = docs.sparkSession
+    with common.batches(spark, 2000):
+        told = common.materialize(features(docs), "features")
     real = told.filter("n_shingles > 0 and doc_id is not null")
     if not told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         docs = common.materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
@@ -273,7 +280,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.select("band", "doc_id")
     # the sets of all that is in some bucket: the ids are broadcast if they are few
     wanted = common.materialize(rest.select("doc_id").distinct(), "wanted")
-    sets = common.materialize(sets_of(docs.join(common.few(wanted), "doc_id", "left_semi")), "sets")
+    with common.batches(spark, 2000):
+        sets = common.materialize(sets_of(docs.join(common.few(wanted), "doc_id", "left_semi")), "sets")
     tested, comp = None, None
 
     def compare(pairs):
@@ -283,7 +291,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        good = common.materialize(confirmed(pairs, sets), "links")
+        with common.batches(spark, 500):  # two whole sets in each row
+            good = common.materialize(confirmed(pairs, sets), "links")
         if comp is None or not good.isEmpty():
             comp = common.materialize(components(good if comp is None else good.union(comp.toDF("a", "b"))), "components")
 

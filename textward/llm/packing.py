@@ -86,7 +86,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, gr
             count += bins
             held, n_held = kept, sum(len(h[2]) // 4 for h in kept)
 
-        for chunk in encoded(batches, vocabulary):
+        for chunk in encoded(batches, vocabulary, 400_000, 4 << 20):
             for doc_id, ids in zip(*chunk, strict=True):
                 ids += end
                 total = len(ids) // 4

@@ -250,15 +250,14 @@ class Model:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_models: dict[str, Model] = {}
-
-
 def load(path: str) -> Model:
-    """One for each worker and model file."""
-    if path not in _models:
+    """One for each worker, while it works with this model."""
+
+    def make():
         with open(path, "rb") as f:
-            _models[path] = Model(f.read())
-    return _models[path]
+            return Model(f.read())
+
+    return common.only(f"pieces {path}", make)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
