@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from textward.functions import sql as sql_functions
 from textward.functions.spans import cut, hit, top_score
 from textward.operators import redactor, scanners, screen
 from textward.plans import config as conf
@@ -270,6 +271,25 @@ def judge_parse(spark, sf_dir):
     return df.withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"))
 
 
+# ---- the same for SQL users
+
+@query("select doc_id, " + ", ".join(f"{score_sql('text', r)} as {k}" for k, r in (("pii", C.PII), ("code", C.CODE), ("secrets", C.SECRETS))) + " from (select doc_id, coalesce(text, '') as text from documents)")
+def sql_scores(spark, sf_dir):
+    """The scores by the session's SQL functions."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT doc_id, pii_score(text) AS pii, code_score(text) AS code, secrets_score(text) AS secrets FROM {docs}", docs=table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
+_found = " union all ".join(f"select case_id, '{k}' as catalog, type, severity, start_, end_, value from ({spans_sql('c', 'case_id', 'text', r)})" for k, r in sql_functions.CATALOGS.items())
+
+
+@query("with " + values_sql("c", ["case_id", "text"], ALL_ROWS) + f" {_found}")
+def sql_lateral_findings(spark, sf_dir):
+    """The findings by the table function in a LATERAL join."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT case_id, catalog, type, severity, start AS start_, end AS end_, value FROM {cases}, LATERAL scan_findings(text)", cases=spark.createDataFrame(ALL_ROWS, CASES))
+
+
 # ---- verdicts
 
 def _verdict_sql(source: str, key: str, col: str, direction: str, config: conf.Config) -> str:

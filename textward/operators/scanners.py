@@ -178,3 +178,9 @@ def register_scanner(name: str, build: Callable[[Column], Column], tier: str = "
     if tier not in ("fast", "slow", "cloud") or direction not in ("input", "output", "both"):
         raise ValueError("tier is fast, slow or cloud; direction input, output or both")
     registered[name] = (tier, direction, build)
+
+
+def register_patterns(name: str, rows: list[tuple], tier: str = "fast", direction: str = "both", confidence: float = 0.9) -> None:
+    """A scanner of a catalog of one's own: rows of (id, pattern, severity, category). Patterns that don't compile are left out."""
+    good = C.valid(rows)
+    register_scanner(name, lambda text: F.struct(top_score(text, good).alias("score"), matched_findings(text, good, confidence).alias("findings")), tier, direction)

@@ -53,6 +53,17 @@ class Config:
         Path(path).write_text(self.to_json(), encoding="utf-8")
 
 
+def default() -> dict:
+    """What holds where nothing is set, with every scanner and threshold named."""
+    c = Config()
+    return replace(c, scanners=dict.fromkeys(IDS, True), thresholds={i: c.threshold(i) for i in IDS}).to_dict()
+
+
+def save_template(path: str) -> None:
+    """A configuration file to start from."""
+    Path(path).write_text(json.dumps(default(), indent=2), encoding="utf-8")
+
+
 def from_dict(data: dict, strict_compat: bool = False) -> Config:
     """``strict_compat`` ignores thresholds in files and dicts, as an older implementation did."""
     pii = data.get("pii") or {}

@@ -120,6 +120,18 @@ def pairs(conversations: DataFrame) -> DataFrame:
     return rows.filter("role = 'user' and _role = 'assistant'").select("conv_id", "turn", "input_text", "output_text")
 
 
+def as_json(df: DataFrame, scan: str = "scan", out: str = "scan_json") -> DataFrame:
+    """Adds a scan's struct as JSON, nulls included, for sinks of text."""
+    return df.withColumn(out, F.to_json(F.col(scan), {"ignoreNullFields": "false"}))
+
+
+def status(config: Config | None = None) -> list[dict]:
+    """For each scanner, built in or registered: its tier, its direction, whether it is on, and its threshold."""
+    config = config or Config()
+    rows = [(i, t, d, config.enabled(i)) for i, t, d, _ in C.SCANNERS] + [(i, t, d, True) for i, (t, d, _) in S.registered.items()]
+    return [{"scanner_id": i, "tier": t, "direction": d, "enabled": on, "threshold": config.threshold(i)} for i, t, d, on in rows]
+
+
 def scan_pairs(df: DataFrame, input_text: str = "input_text", output_text: str = "output_text", config: Config | None = None) -> DataFrame:
     """Scans prompt and answer, the answer with the prompt as its context; adds both structs, blocked and block_reason."""
     df = scan(df, input_text, "input", config, out="input_scan")
