@@ -315,6 +315,14 @@ def test_wrappers(spark):
     assert htmltext.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_every_slot_is_content():
+    nested = '<div class="content"><h1>Title {0}</h1><div class="body"><p>{0} one</p><p>{0} two</p></div></div>'
+    split = '<div class="s1"><p>{0} first half</p></div><p>Always here</p><div class="s2"><p>{0} second half of it</p></div>'
+    for body, want in ((nested, "Title 3\n3 one\n3 two"), (split, "3 first half\n3 second half of it")):
+        pages = [body.format(i) for i in range(8)]
+        assert htmltext.main_text(pages[3], htmltext.induce(pages)) == want
+
+
 def test_pipeline(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
