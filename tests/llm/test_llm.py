@@ -323,6 +323,24 @@ def test_every_slot_is_content():
         assert htmltext.main_text(pages[3], htmltext.induce(pages)) == want
 
 
+def test_wrappers_see_all_pages(spark):
+    own = "page {0} tells of things that no other page of this site tells of, number {0}"
+    one = '<div class="one"><p>Read us daily</p><p>' + own + "</p></div>"
+    two = '<section class="two"><p>Second layout</p><p>' + own + "</p></section>"
+    rows = [(i, f"http://big/{i}", (one if i % 2 else two).format(i), "") for i in range(60)]
+    rows += [(100 + i, f"http://small/{i}", one.format(100 + i), "") for i in range(3)]
+    # the same article on two pages of a host, one sentence changed, is no template
+    rows += [(200 + i, f"http://copy/{i}", "<div><p>A long paragraph that both of the copies have, word for word</p><p>" + str(i) + "</p></div>", "") for i in range(2)]
+    # one page varies the boilerplate
+    rows += [(300 + i, f"http://vary/{i}", one.format(300 + i).replace("daily", "weekly" if i == 4 else "daily"), "") for i in range(20)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(60), 100, 101, 102, *(300 + i for i in range(20) if i != 4)]:
+        assert got[i] == own.format(i), i
+    assert got[304] == "Read us weekly\n" + own.format(304)
+    assert got[201] == "A long paragraph that both of the copies have, word for word\n1"
+
+
 def test_pipeline(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
