@@ -323,6 +323,13 @@ def test_every_slot_is_content():
         assert htmltext.main_text(pages[3], htmltext.induce(pages)) == want
 
 
+def test_text_outside_articles_stays():
+    page = "<main><article><p>card</p></article></main><div><p>The text itself {0}</p><p>and more</p></div><p>Read on</p><nav>menu</nav>"
+    assert htmltext.main_text(page.format(3)) == "card\nThe text itself 3\nand more\nRead on"
+    fixed = {"template": [["/p", "Read on"]], "slots": []}
+    assert htmltext.main_text(page.format(3), fixed) == "card\nThe text itself 3\nand more"
+
+
 def test_wrappers_see_all_pages(spark):
     own = "page {0} tells of things that no other page of this site tells of, number {0}"
     one = '<div class="one"><p>Read us daily</p><p>' + own + "</p></div>"
