@@ -203,6 +203,68 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert sorted(r.doc_id or 0 for r in neardup.keep_one(odd).collect()) == [0, 1, 3, 4, 5, 6, 7]
 
 
+def near_copies(n, length=200, changes=(4, 4, 4, 7)):
+    """Copies of a text, most pairs of which are just below 75 %."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(length)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(length, changes[k % len(changes)], replace=False):
+            own[at] = f"x{rng.integers(0, 10**9)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    rows, sent = near_copies(2000), []
+    for name in ("block_links", "confirmed"):
+        monkeypatch.setattr(neardup, name, lambda *a, f=getattr(neardup, name): (sent.append((d := f(*a)).count()), d)[1])
+    got = {r.doc_id: r.component for r in neardup.linked(spark.createDataFrame(rows, "doc_id long, text string"), block=400_000).collect()}
+    # brute force: shared shingles of all pairs by one product of the sets as rows of a matrix
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    often = collections.Counter(x for s in sets for x in s)
+    at = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s if x in at]] = 1
+    both, size = np.rint(m @ m.T).astype(int), np.array([len(s) for s in sets])
+    near = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    below = ~near & (100 * both >= 65 * (size[:, None] + size[None, :] - both))
+    assert below.mean() > 0.4
+    want, seen = {}, np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        if not seen[i]:
+            own = np.zeros(len(sets), bool)
+            own[i], grown = True, 0
+            while own.sum() != grown:
+                grown = own.sum()
+                own |= near[own].any(0)
+            seen |= own
+            want |= dict.fromkeys(np.flatnonzero(own).tolist(), i)
+    assert got == want and len(set(want.values())) > 1
+    # a document is in BANDS stars at most, and a star sends a row for a member at most: no square of the group's size
+    assert sum(sent) <= neardup.BANDS * len(rows) < below.sum() // 10
+
+
+def test_near_duplicates_in_small_blocks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(i + 50_000, t) for i, t in near_copies(60, 60, (1, 2, 3))], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, block=3000).collect()}
+    assert got == brute_near([tuple(r) for r in docs.collect()])
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(7, a), (5, a), (5, b), (5, b), (8, b), (None, b), (None, c), (9, ""), (9, None), (9, c), (3, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int, uid int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([(7, 16, 5, False), (5, 16, 5, True), (5, 16, 5, True), (5, 16, 5, True), (8, 16, 5, False), (0, 16, 0, True), (0, 16, 0, True), (9, 0, 9, True), (9, 0, 9, True), (9, 16, 9, True), (3, 0, 3, True), (0, 0, 0, True), (0, 0, 0, True)])
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    # each text stays once, with the least doc_id; rows without a word stay
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, a), (5, b), (9, ""), (9, ""), (9, c), (3, ""), (0, ""), (0, "")])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}

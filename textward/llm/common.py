@@ -35,11 +35,45 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/textward/{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage ends there and lost executors cost nothing."""
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Removes tables of :func:`materialize` that no later plan reads."""
+    for df in written:
+        delete(df.sparkSession, df.written)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within go when it ends, but for those of ``keep(df, label)``, which may read the others."""
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        own.remove(out.written)
+        if len(_scopes) > 1:
+            _scopes[-2].append(out.written)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            delete(spark, path)
 
 
 def few(written: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -54,6 +88,27 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until ``df`` has no column of that name."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in there:
+            name += "_"
+        there.add(name)
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame) -> list:
+    """All columns of ``df`` as they are, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast: extra columns, whatever their names, never reach an operator."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))

@@ -17,8 +17,8 @@ BINS = BANDS * ROWS
 #: The similarity above which documents are linked, as a percentage.
 PERCENT = 75
 WORDS = 5
-#: How many members a turn of the exact comparison meets with centres at most, on average.
-TURN = 50_000_000
+#: Bytes of sets that a task holds of a star while others are held against them.
+BLOCK = 1 << 20
 
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -145,23 +145,17 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FEATURES)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """512 bits: of the hashes that fall on each, is the number odd? Two sets differ in as many hashes, at least, as these in bits."""
-    return np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
-
-
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Each document's sorted distinct shingle hashes, as bytes, and their :func:`parity` as eight numbers."""
+    """Each document's sorted distinct shingle hashes, as bytes."""
 
     def run(batches):
         common.only("shingles")
         for ids, words, ends in documents_of(batches):
-            sets = [shingles(words[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            bits = pa.array(np.concatenate([parity(s) for s in sets]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(range(0, 8 * len(sets) + 1, 8), pa.int32()), bits)], names=["doc_id", "s", "bits"])
+            sets = [shingles(words[a:b]).tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "s"])
         common.tidy()
 
-    return docs.mapInArrow(run, "doc_id long, s binary, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -187,28 +181,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def prefixes(ids: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(band, doc_id, n, o): the rarest shingles of each of these documents, which two that are similar enough must share.
+class Block:
+    """Sets that others are held against: which of them has each hash, and which of them are already joined."""
+
+    def __init__(self, percent: int = PERCENT):
+        self.percent, self.ids, self.names, self.sets, self.up = percent, [], [], [], {}
+
+    def add(self, doc_id: int, component: int, s: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.names.append(component)
+        self.sets.append(s)
+
+    def close(self) -> None:
+        """No more sets are added: the hashes are sorted, each with its owner."""
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        flat = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order]
+        self.sets = []
+
+    def root(self, c: int) -> int:
+        while (up := self.up.get(c, c)) != c:
+            self.up[c] = self.up.get(up, up)
+            c = up
+        return c
+
+    def links(self, doc_id: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """The set's links to the block, but only such as join what was apart: no more, in all, than there are components."""
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        both = np.bincount(self.owner[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(self.ids))
+        out = []
+        for k in np.flatnonzero(100 * both >= self.percent * (len(s) + self.sizes - both)).tolist():
+            mine, other = self.root(component), self.root(self.names[k])
+            if mine != other:
+                self.up[max(mine, other)] = min(mine, other)
+                out.append((doc_id, self.ids[k]))
+        return out
+
 
-    n is the size of the set, and o how many of it some other of these documents has too, the most that two can share.
+def block_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) within blocks of (centre, piece, asks, doc_id, c, s): of the rows that ask with those that don't.
 
-    Sets of n and m shingles with a similarity of t share t * n of them at least, so in any one order of all shingles
-    both have one of the shared ones among their first n - ceil(t * n) + 1. The order is by how many of these documents
-    hold a shingle: in a group of near copies what each has for itself comes first, and those too far from the others to
-    be linked meet nobody.
+    Rows come sorted by centre, piece and asks, so a task holds the sets of one block, and those that ask pass by. Sets of
+    one component c aren't held against each other.
     """
 
     def run(batches):
+        common.only("shingles")
+        key, block, open_ = None, None, False
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in sets]), pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64())], names=["doc_id", "band"])
+            found = []
+            for centre, piece, asks, doc_id, c, s in zip(*(x.to_pylist() for x in batch.columns[:5]), batch.column(5), strict=True):
+                if key != (centre, piece):
+                    key, block, open_ = (centre, piece), Block(percent), True
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if not asks:
+                    block.add(doc_id, c, s)
+                    continue
+                if open_:
+                    block.close()
+                    open_ = False
+                found += block.links(doc_id, c, s)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    each = common.materialize(sets.join(ids, "doc_id", "left_semi").select("doc_id", "s").mapInArrow(run, "doc_id long, band long"), "shingles")
-    often = common.materialize(each.groupBy("band").agg(F.count("*").alias("n")), "often")
-    ranked = each.join(often, "band").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("x"))
-    n = F.size("x")
-    ranked = ranked.select("doc_id", n.alias("size"), F.size(F.filter("x", lambda y: y["n"] > 1)).alias("o"), F.explode(F.slice("x", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("x"))
-    return ranked.filter("x.n > 1").select(F.col("x.band").alias("band"), "doc_id", F.col("size").alias("n"), "o")
+    with common.batches(rows.sparkSession, 1000):
+        dealt = rows.select("centre", "piece", "asks", "doc_id", "c", "s").repartition("centre", "piece").sortWithinPartitions("centre", "piece", "asks")
+        return common.materialize(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,96 +280,145 @@ def components(edges: DataFrame) -> DataFrame:
     now = clean(edges.select("a", "b"))
     before = None
     while (after := state(now)) != before:
-        before = after
-        now = clean(small(clean(large(now))))
+        before, last = after, now
+        mid = clean(large(now))
+        now = clean(small(mid))
+        common.drop(last, mid)
     return now.toDF("id", "component").union(now.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component) for rows of (doc_id, text) whose doc_ids are all different and not null.
+
+    component is the least doc_id reachable over links, itself included; empty sets are linked with nothing.
+    """
+    spark = docs.sparkSession
+    with common.scratch(spark) as keep:
+        with common.batches(spark, 2000):
+            told = common.materialize(features(docs), "features")
+        real = told.filter("n_shingles > 0")
+        keys = ["set_a", "set_b", "n_shingles"]
+        classes = common.materialize(real.groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes")
+        member = common.materialize(real.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep", "n_shingles"), "members")
+        reps = real.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+        banded = common.materialize(reps.select("doc_id", F.explode("bands").alias("band")).distinct(), "bands")
+        bucket = common.materialize(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre"), "buckets")
+        # the stars: a centre's buckets are one, and hold each of their documents once
+        star = common.materialize(banded.join(bucket, "band").select("centre", "doc_id").distinct(), "stars")
+        common.drop(classes, banded, bucket)
+        wanted = common.materialize(star.select("doc_id").distinct(), "wanted")
+        with common.batches(spark, 2000):
+            sets = common.materialize(sets_of(docs.join(common.few(wanted), "doc_id", "left_semi")), "sets")
+        pairs = common.materialize(star.filter("doc_id != centre").groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "pairs")
+        with common.batches(spark, 500):  # two whole sets in each row
+            comp = components(common.materialize(confirmed(pairs, sets), "links"))
+
+        def parted(star):
+            """The stars of several components: their members with the component c, and each star's largest one."""
+            part = common.materialize(star.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"), "parts")
+            size = part.groupBy("centre", "c").agg(F.count("*").alias("n"))
+            apart = size.groupBy("centre").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count("*").alias("k")).filter("k > 1").select("centre", "largest")
+            return common.materialize(part.join(common.materialize(apart, "apart"), "centre"), "members")
+
+        # a star of two documents that were compared above is done
+        two = star.groupBy("centre").agg(F.count("*").alias("k"), F.max("doc_id").alias("b")).filter("k = 2").join(pairs.withColumnRenamed("a", "centre"), ["centre", "b"]).select("centre")
+        rest = parted(star.join(common.materialize(two, "compared"), "centre", "left_anti"))
+        size = rest.join(member.select("doc_id", "n_shingles"), "doc_id").groupBy("centre").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / block).cast("int").alias("pieces"))
+        size = common.materialize(size, "sizes")
+        rest = common.materialize(rest.join(size, "centre").withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int")), "members")
+
+        def compare(rows):
+            nonlocal comp
+            good = block_links(rows.join(sets, "doc_id"))
+            if not good.isEmpty():
+                comp = components(good.union(comp.toDF("a", "b")))
+
+        # each block within itself: what is outside the star's largest component is held against all
+        both = F.explode(F.when(F.col("c") != F.col("largest"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+        compare(rest.withColumn("asks", both))
+        # what is still apart in stars of several blocks: against the other blocks
+        wide = rest.filter("pieces > 1").select("centre", "doc_id", "pieces", "piece")
+        if not wide.isEmpty():
+            wide = parted(wide)
+            asking = wide.filter("c != largest").withColumn("own", F.col("piece")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter("piece != own").drop("own").withColumn("asks", F.lit(True))
+            compare(wide.withColumn("asks", F.lit(False)).unionByName(asking))
+        out = told.select("doc_id", "n_shingles").join(member.select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("c")), "doc_id", "left")
+        return keep(out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component")), "linked")
+
+
+def plain(docs: DataFrame) -> bool:
+    """Has each row a doc_id of its own?"""
+    return docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of 5-word shingles have a similarity of 0.75 or more (A-Z lower-cased; fewer words
     are one shingle). Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows
-    with one doc_id are one document, whose text is the least of theirs that isn't null. Rows without a doc_id are linked
-    with nothing and kept. Other columns are ignored; an empty table gives no rows.
-
-    Equal sets are made one class first, by aggregation, so copies cost a row each. The classes' bands make buckets.
-    Each class is compared with the least member of its buckets, and the confirmed pairs make components; then each
-    bucket that holds several of them compares a member of its largest component with all others. What such a bucket
-    still leaves apart is compared exactly: documents that share one of their rarest shingles (:func:`prefixes`) meet,
-    and each that is outside a meeting's largest component is a star's centre for those of other components whose sizes
-    allow a link. So every pair of a bucket was compared, can't be a link, or is in one component: no link within a
-    bucket is lost, and no group sends out all its pairs.
+    with one doc_id are one document: whatever one of their texts is linked with, the others are too. Rows without a
+    doc_id are linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
+
+    Equal sets are made one class first, by aggregation, so copies cost a row each. The classes' bands make buckets, and
+    the buckets of one centre, their least member, a star. Each class is compared with its least centre, and the confirmed
+    pairs make components. What a star then still holds apart is compared exactly, in blocks of about ``block`` bytes of
+    sets (:func:`block_links`): what is outside the star's largest component is held against all of its own block, then
+    what is still apart against the star's other blocks. A block gives only links that join components, so every pair of
+    a bucket was compared or is in one component: no link within a bucket is lost, and no group sends out its pairs.
     """
     docs = common.columns(docs, doc_id="long", text="string")
-    spark = docs.sparkSession
-    with common.batches(spark, 2000):
-        told = common.materialize(features(docs), "features")
-    real = told.filter("n_shingles > 0 and doc_id is not null")
-    if not told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = common.materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
-        real = common.materialize(features(docs), "features").filter("n_shingles > 0")
-    keys = ["set_a", "set_b", "n_shingles"]
-    classes = common.materialize(real.groupBy(keys).agg(F.min("doc_id").alias("rep")), "classes")
-    member = common.materialize(real.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep"), "members")
-    reps = real.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    banded = common.materialize(reps.select("doc_id", F.explode("bands").alias("band")).distinct(), "bands")
-    bucket = common.materialize(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre"), "buckets")
-    rest = common.materialize(banded.join(bucket, "band"), "members")
-    pairs = rest.filter("doc_id != centre").groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
-    rest = rest.select("band", "doc_id")
-    # the sets of all that is in some bucket: the ids are broadcast if they are few
-    wanted = common.materialize(rest.select("doc_id").distinct(), "wanted")
-    with common.batches(spark, 2000):
-        sets = common.materialize(sets_of(docs.join(common.few(wanted), "doc_id", "left_semi")), "sets")
-    tested, comp = None, None
-
-    def compare(pairs):
-        """Confirms the pairs that weren't compared yet and brings the components up to date."""
-        nonlocal tested, comp
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        with common.batches(spark, 500):  # two whole sets in each row
-            good = common.materialize(confirmed(pairs, sets), "links")
-        if comp is None or not good.isEmpty():
-            comp = common.materialize(components(good if comp is None else good.union(comp.toDF("a", "b"))), "components")
-
-    def parted(rest):
-        """The members with their component c, and for each band of several components its largest one and a member of it."""
-        part = common.materialize(rest.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"), "parts")
-        size = part.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"))
-        star = size.groupBy("band").agg(F.max(F.struct("n", "d", "c")).alias("s"), F.count("*").alias("k")).filter("k > 1")
-        star = common.materialize(star.select("band", F.col("s.d").alias("centre"), F.col("s.c").alias("largest")), "stars")
-        return common.materialize(part.join(star, "band"), "members")
-
-    compare(pairs)
-    rest = parted(rest)
-    compare(rest.filter("c != largest").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct())
-    rest = parted(rest.select("band", "doc_id"))
-    rest = parted(common.materialize(prefixes(rest.select("doc_id").distinct(), sets), "prefixes"))
-    rest = common.materialize(rest.join(sets.select("doc_id", "bits"), "doc_id"), "members")
-    # each turn takes a share of the centres, so that a turn compares this many members at most with a centre
-    work = rest.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("largest")).alias("k")).agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0
-    turns = int(work // TURN) + 1
-    for turn in range(turns):
-        x = rest.filter("c != largest").filter(F.pmod(F.xxhash64("doc_id"), F.lit(turns)) == turn)
-        x = x.select("band", F.col("doc_id").alias("xd"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("o").alias("xo"), F.col("bits").alias("xb"))
-        differ = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8))
-        meet = (F.col("c") != F.col("xc")) & (F.least("o", "xo") * (100 + PERCENT) >= (F.col("n") + F.col("xn")) * PERCENT)
-        # what two sets share is (n + m - d) / 2 if they differ in d
-        meet &= (F.col("n") + F.col("xn") - differ) * (100 + PERCENT) >= (F.col("n") + F.col("xn")) * 2 * PERCENT
-        compare(rest.join(x, [rest["band"] == x["band"], meet]).select(F.least("xd", "doc_id").alias("a"), F.greatest("xd", "doc_id").alias("b")).distinct())
-    out = told.select("doc_id", "n_shingles").join(member.join(comp, member["rep"] == comp["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("c")), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps; of rows with one doc_id one stays."""
-    told = common.materialize(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
-    out = docs.join(common.few(common.materialize(told.filter("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
-    if told.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id is null").union(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    if plain(docs):
+        out = linked(docs, block).withColumnRenamed("component", "component_id")
+        return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    with common.scratch(docs.sparkSession) as keep:
+        # different texts of one id are numbered, linked each on its own, and joined by their id
+        rows = common.materialize(docs.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+        told = linked(rows.select(F.col("uid").alias("doc_id"), "text"), block).toDF("uid", "n_shingles", "component")
+        found = common.materialize(rows.drop("text").join(told, "uid"), "found")
+        full = found.filter("n_shingles > 0")  # an empty text of an id joins nothing
+        least = full.groupBy("doc_id").agg(F.min("component").alias("b"))
+        comp = components(full.join(least, "doc_id").select(F.col("component").alias("a"), "b"))
+        found = found.join(comp.select(F.col("id").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("g", F.coalesce("joined", "component"))
+        found = common.materialize(found.select("doc_id", "copies", "n_shingles", "g"), "groups")
+        ids = found.filter("n_shingles > 0").groupBy("g").agg(F.min("doc_id").alias("component_id"))
+        whole = found.filter("n_shingles > 0").select("doc_id", "g").distinct().join(ids, "g").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        out = found.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).drop("_")
+        with common.batches(docs.sparkSession, 2000):
+            none = features(docs.filter("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        return keep(out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one of each group of linked texts: that with the least doc_id.
+
+    Each row is compared by its own text, also where doc_ids repeat or are null (a null goes after all others), so no text
+    is lost but near copies of one that stays. Rows without a word are all kept, but for equal ones of one doc_id.
+    """
+    slim = common.columns(docs, doc_id="long", text="string")
+    if plain(slim):
+        told = linked(slim, block)
+        (dropped,) = common.unused(docs, "dropped")
+        out = common.materialize(told.filter("doc_id != component").select(F.col("doc_id").alias(dropped)), "dropped")
+        return docs.join(common.few(out), F.col("doc_id").cast("long") == F.col(dropped), "left_anti")
+    uid, number = common.unused(docs, "uid", "number")
+    rows = common.materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    told = linked(common.columns(rows, **{uid: "long", "text": "string"}).toDF("doc_id", "text"), block).toDF(uid, "n_shingles", "component")
+    told = told.join(rows.select(uid, F.col("doc_id").cast("long"), F.xxhash64("text").alias("h")), uid)
+    first = told.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", uid))[uid].alias(number))
+    bare = told.filter("n_shingles = 0")
+    bare = bare.filter("doc_id is null").select(F.col(uid).alias(number)).union(bare.filter("doc_id is not null").groupBy("doc_id", "h").agg(F.min(uid).alias(number)).select(number))
+    kept = common.materialize(first.select(number).union(bare), "kept")
+    return rows.join(kept, F.col(uid) == F.col(number), "left_semi").drop(uid)
+
+
+def oracle(percent: int = PERCENT) -> str:
+    """The same in DuckDB's SQL, by all pairs that share a shingle: for tables of a few thousand documents."""
+    return rf"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {WORDS} then [w] else list_transform(range(1, len(w) - {WORDS - 2}), lambda i: w[i : i + {WORDS - 1}]) end) as x from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common_n from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common_n >= {percent} * (x.n + y.n - common_n)),
+reach(id, c) as (select doc_id, doc_id from t union select id, b from reach join links on a = c)
+select t.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(c) as component_id, min(c) = t.doc_id as kept from t join reach on id = t.doc_id left join n on n.doc_id = t.doc_id group by t.doc_id, n.n
+"""

@@ -79,6 +79,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, quality, warc
+    from . import linededup, neardup, quality, warc
 
-    return {"op5_quality_rules": quality.oracle(), "op6_warc": warc.oracle(), "op10_line_dedup": linededup.oracle()}
+    return {"op5_quality_rules": quality.oracle(), "op6_warc": warc.oracle(), "op9_near_duplicates": neardup.oracle(), "op10_line_dedup": linededup.oracle()}
