@@ -18,7 +18,7 @@ BINS = BANDS * ROWS
 PERCENT = 75
 WORDS = 5
 #: Bytes of sets that a task holds of a star while others are held against them.
-BLOCK = 1 << 20
+BLOCK = 256 << 10
 
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
