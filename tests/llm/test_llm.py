@@ -410,6 +410,102 @@ def test_wrappers_see_all_pages(spark):
     assert got[201] == "A long paragraph that both of the copies have, word for word\n1"
 
 
+def test_names_alone_take_no_article():
+    m = htmltext.main_text
+    assert m('<div class="widget-container"><article><p>The story goes on and on</p></article></div>') == "The story goes on and on"
+    assert m('<article class="related-work"><h1>Hi</h1><p>long text is here</p></article>') == "Hi\nlong text is here"
+    assert m('<nav>x</nav><div class="social-science"><p>text text</p></div>') == "text text"
+    assert m("<article><h2>Teaser</h2></article><div><p>long story</p></div>") == "Teaser\nlong story"
+    # what is named so beside an article goes, however long
+    assert m('<div class="post"><p>story of length</p></div><div class="related"><p>another story, much longer than this one is</p></div>') == "story of length"
+    assert m('<article><p>short</p><div class="ad"><p>' + "buy " * 50 + "</p></div></article>") == "short"
+
+
+@pytest.mark.parametrize("name", ['class="commentlist"', 'class="user-comments-area"', 'id="comments"', 'class="x comment-list y"'])
+def test_reader_comments_go(name):
+    said = "".join(f'<li><article class="comment-body"><p>nice one {k}</p></article></li>' for k in range(40))
+    assert htmltext.main_text(f"<article><p>story</p></article><ol {name}>{said}</ol>") == "story"
+    assert htmltext.main_text(f'<div class="post has-comments"><h1>Head</h1><p>story</p><ol {name}>{said}</ol></div>') == "Head\nstory"
+
+
+def test_comments_by_their_title():
+    assert htmltext.main_text("<article><p>story</p></article><section><h3>3 Comments</h3><p>nice, is it not</p></section>") == "story"
+
+
+def test_deep_long_and_odd_pages():
+    deep = ["<div>" * 50_000 + f"<p>own {i}</p>same" for i in range(3)]
+    assert htmltext.main_text(deep[1]) == "own 1\nsame" and len(htmltext.learn(deep)) == 1
+    wide = ["<ul>" + "".join(f"<li>item {i} {k}</li>" for k in range(20_000 + 100 * i)) + "<li>same</ul>" for i in range(3)]
+    assert htmltext.main_text(wide[2]).count("\n") == 20_200 and len(htmltext.learn(wide)) == 1
+    for page in ("<a " * 100_000, "<p '>" * 50_000 + "x", "</b></p>" * 50_000, "<p><b>" * 50_000, "<div class=ad>" * 50_000 + "x", "<!-- " * 50_000, "<script>" * 50_000):
+        htmltext.main_text(page)
+    assert htmltext.main_text("a<!-- > b") == "a" and htmltext.main_text("a < b") == "a < b" and htmltext.main_text("<p>x<!-- > --> y") == "x y"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data())
+def test_alignment_is_the_best(data):
+    names = st.sampled_from(["p", "div", "li", "span"])
+    grow = lambda kids: st.tuples(names, st.lists(kids, max_size=4))
+    kind = st.recursive(st.tuples(names, st.sampled_from("ab")), grow, max_leaves=12)
+
+    def html(t):
+        return f"<{t[0]}x>{t[1] if isinstance(t[1], str) else ''.join(map(html, t[1]))}</{t[0]}x>"
+
+    known, weight, trees = {}, {}, []
+    for _ in range(2):
+        page = "".join(html(t) for t in data.draw(st.lists(kind, max_size=4)))
+        # inline names end no block: each is made one by a <br> of its own
+        found = htmltext.parse(page.replace("x>", "x><hr>"))
+        trees.append(htmltext.tree(found))
+        htmltext.number(trees[-1], known)
+
+    def best(a, b, bonus):
+        if a.name != b.name:
+            return 0.0
+        n, m = len(a.kids), len(b.kids)
+        t = [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                w = best(a.kids[i], b.kids[j], 0.0)
+                w += bonus if w and a.kids[i].whole == b.kids[j].whole else 0.0
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + w)
+        return 1 + t[n][m]
+
+    a, b = trees
+    htmltext.shape_weights({a.shape}, {b.shape}, known, weight)
+    assert weight[a.shape, b.shape] == best(a, b, 0.0)
+    htmltext.shape_weights({k.shape for k in a.kids}, {k.shape for k in b.kids}, known, weight)
+    row = htmltext.rows_of(a.kids, b.kids, weight)
+    pairs = htmltext.align(row, *([k.whole for k in t.kids] for t in trees), tuple([k.shape for k in t.kids] for t in trees))
+    assert 1 + sum(row(i, j, j + 1)[0] for i, j in pairs) == best(a, b, htmltext.EQUAL)
+    assert all(x < y for x, y in zip(pairs, pairs[1:])) and len({j for _, j in pairs}) == len(pairs)
+
+
+def test_text_of_all_pages(spark, sf):
+    """Against the article's markup, cut by hand: the test pages have all their text in one article."""
+    got = {r.page_id: r.text for r in queries.op2_html_text(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(rows) > 0
+    import html
+
+    for r in rows:
+        body = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        body = re.sub(r"<(script|style|aside|form|nav|section)\b.*?</\1>|<!--.*?-->|<div class=\"?(ad|comments?)\b.*?</div>", "", body, flags=re.DOTALL)
+        parts = re.split(r"</?(?:p|h\d|ul|li|ol|div|blockquote|table|tr|td|header)\b[^>]*>", re.sub(r"<br>", " ", body))
+        want = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
+        assert got[r.page_id] == "\n".join(x for x in want if x), r.page_id
+
+
+def test_many_wrappers_are_joined_by_a_shuffle(spark):
+    own = "page {0} tells of things that no other page of this site tells of, number {0}"
+    rows = [(i, f"http://h{i % 3 if i % 2 else 0}/{i}", f"<div><p>Read us daily, dear reader {i % 3 if i % 2 else 0}</p><p>{own.format(i)}</p></div>", "") for i in range(90)] + [(1000 + i, None, f"<p>{i}</p>", "") for i in range(20)]
+    pages = spark.createDataFrame(rows, PAGES)
+    want = sorted((r.page_id, r.text) for r in htmltext.extract(pages).collect())
+    assert sorted((r.page_id, r.text) for r in htmltext.extract(pages, broadcast=0, split=7).collect()) == want
+    assert want[5] == (5, own.format(5))
+
+
 def test_pipeline(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
