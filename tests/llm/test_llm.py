@@ -339,6 +339,57 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], kind)).count() == 0
 
 
+def brute_neighbours(rows, every, k=10):
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            d = [(float(np.sqrt(((np.array(v) - np.array(x)) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(x)]
+            out += [(q, r, i) for r, (_, i) in enumerate(sorted(d)[:k], 1)]
+    return sorted(out)
+
+
+def test_windows_over_many_partitions(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    run = lambda **x: sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(vectors, every=20, **x).collect())
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in vectors.collect()]
+    want = brute_neighbours(rows, 20)
+    narrow = run(half=6, part=400)
+    # the boundaries of partitions change nothing
+    assert narrow == run(half=6, part=10**6)
+    # windows of 13 of 500 rows aren't all rows, and wider ones find more
+    hits = [len(set((q, i) for q, _, i in got) & set((q, i) for q, _, i in want)) / len(want) for got in (run(half=6, curves=4), narrow, run(half=25))]
+    assert hits[0] < 0.6 < hits[1] < hits[2] and hits[2] >= 0.95
+
+
+def test_work_for_a_query_is_the_same_in_larger_tables(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    seen = []
+    for n in (1000, 4000):
+        # clusters, so that neighbours are near
+        v = rng.normal(size=(n // 20, 8)).repeat(20, 0) + 0.05 * rng.normal(size=(n, 8))
+        rows = [(i, v[i].tolist()) for i in range(n)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, half=20, curves=8, part=2000)
+        got = sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect())
+        want = brute_neighbours(rows, 50)
+        seen.append(len(set((q, i) for q, _, i in got) & set((q, i) for q, _, i in want)) / len(want))
+    assert min(seen) >= 0.9  # 8 windows of 41 rows, whatever the table's size
+
+
+def test_neighbours_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (1e6 + 1e-3 * rng.normal(size=6)).tolist()) for i in range(300)]
+    rows += [(1000 + i, rng.normal(size=3).tolist()) for i in range(50)] + [(2000, [1e200, 0.0, 1.0, 2.0]), (2001, [1.0, 0.0, 1.0, 2.0]), (2002, [-1e200, 0.0, 1.0, 2.0]), (2003, [1e-200, 0.0, 1.0, 2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got if r.query_id != 2000) == [x for x in brute_neighbours(rows, 20) if x[0] != 2000]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 2000] == [(2001, 1e200), (2003, 1e200), (2002, 2e200)]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [5.0, 5.0]), (2, [1.0, 0.5])] + [(k, [9.0, 9.0]) for k in range(100, 140)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.5), (0, 3, 100, pytest.approx(145**0.5)), (100, 1, 101, 0.0), (100, 2, 102, 0.0), (100, 3, 103, 0.0)]
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(x, y) for x in range(16) for y in range(16)])
     key = ann.hilbert(grid, 4)
