@@ -2,6 +2,7 @@ import collections
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -557,15 +558,75 @@ def test_many_wrappers_are_joined_by_a_shuffle(spark):
     assert want[5] == (5, own.format(5))
 
 
+STRANGE = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, row_key string, _id long, _out string, _kept int, hit int, own int, out int, mine int, rest int, uid int, number int, dropped long, n_lines string, n_removed string, key int, `c``d` int"
+
+
+def strange(spark, rows):
+    n = len(STRANGE.split(", ")) - 5
+    kinds = [c.split()[-1] for c in STRANGE.split(", ")[5:]]
+    return spark.createDataFrame([(*r[:4], len(r[1] or ""), *(f"s{k}" if kinds[k] == "string" else 100 * i + k for k in range(n))) for i, r in enumerate(rows)], STRANGE)
+
+
+@pytest.mark.parametrize("name", ["quality rules", "language ID", "line dedup", "MinHash near-dedup"])
+def test_stages_keep_all_columns(spark, sf, name):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)[name]
+    said = "these are plain words of a text that has enough of them to pass every base rule there is number {0} one more {0}"
+    rows = [(i, said.format(i) + f"\nshared line of all sites\nown {i}", "en", f"s{i % 12}") for i in range(24)]
+    rows += [(5, said.format(5), "en", "x"), (5, rows[5][1], "en", "x"), (None, "shared line of all sites\n" + said.format(77), "en", None), (None, said.format(78), "en", None), (40, None, None, None), (None, None, None, None), (41, "", "en", "a"), (42, "12 34", "de", "b"), (42, "12 34", "de", "b")]
+    docs = strange(spark, rows)
+    got = stage(spark, docs, sf)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    # each row's other columns came with it
+    by = {r["_id"]: r for r in docs.collect()}
+    kept = got.collect()
+    assert 0 < len(kept) <= len(rows) and all(tuple(r)[5:] == tuple(by[r["_id"]])[5:] and r.doc_id == by[r["_id"]].doc_id for r in kept)
+    texts = [(r.doc_id, r.text) for r in kept]
+    if name == "quality rules":
+        assert sorted(map(repr, texts)) == sorted(repr(r[:2]) for r in rows if r[1] and len(r[1].split()) >= 20)
+    if name == "line dedup":
+        assert (None, said.format(77)) in texts and (0, rows[0][1]) in texts and (1, said.format(1) + "\nown 1") in texts and (40, None) in texts
+        assert len(texts) == len(rows)
+    if name == "MinHash near-dedup":
+        assert texts.count((5, rows[5][1])) == 1 and (None, None) in texts and texts.count((42, "12 34")) == 1
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def in_duckdb(sql, docs, sf):
+    c = duckdb.connect()
+    c.register("documents", docs.toArrow())
+    c.execute(f"create view labels as select * from '{sf}/labels.parquet'")
+    return c.execute(sql)
+
+
 def test_pipeline(spark, sf):
+    """Each stage against a brute-force version of what it must do to all its predecessor kept."""
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs.count()
     for name, stage in pipeline.STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf), "stage")
+        before = docs
+        docs = common.materialize(stage(spark, before, sf), "stage")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        assert docs.count() <= before
-        before = docs.count()
-    near = brute_near([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert all(i == c for i, (_, c) in near.items())
-    assert packing.pack(docs, public.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == before
+        texts, had = ({r.doc_id: r.text for r in d.collect()} for d in (docs, before))
+        assert len(texts) == docs.count() > 0
+        if name == "quality rules":
+            want = {r[0]: had[r[0]] for r in in_duckdb(f"select doc_id from ({quality.oracle()}) where kept", before, sf).fetchall()}
+        elif name == "language ID":
+            want = {r.doc_id: had[r.doc_id] for r in langid.identify(before).filter("lang_pred != 'und' and score >= 0.35").collect()}
+        elif name == "line dedup":
+            rows = in_duckdb(linededup.oracle(), before, sf).fetchall()
+            want = {i: t for i, _, gone, t in rows if not gone or re.search(r"[^\x20\x09-\x0D]", t)}
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+        else:
+            want = {i: had[i] for i, (_, c) in brute_near(list(had.items())).items() if i == c}
+        assert texts == want, name
+    e, fill = _coder("byte_bpe_50k.json"), collections.defaultdict(list)
+    ids = {i: np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    parts = collections.defaultdict(list)
+    for r in pipeline.STAGES[-1][1](spark, docs, sf).collect():
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        fill[r.sequence_id].append((r.offset, r.length))
+        parts[r.doc_id].append((r.start, r.length))
+    assert all(sum(n for _, n in own) <= 2048 for own in fill.values()) and set(parts) == set(ids)
+    for i, own in parts.items():
+        assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) == len(ids[i])

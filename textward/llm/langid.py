@@ -12,8 +12,11 @@ from . import common
 #: Characters of an n-gram, and the values they are hashed to.
 SIZES = (1, 2, 3)
 DIM = 1 << 15
-#: The fit takes so many labelled documents at most for each language, chosen by hash, with their whole texts.
-SAMPLE = 1500
+#: The fit takes so many labelled documents at most for each language, chosen by hash, with their whole texts; and of all
+#: languages together.
+SAMPLE, TOTAL = 1500, 100_000
+#: Texts of more code points reach the driver as counts of their n-grams, which DIM bounds.
+LONG = 20_000
 UND = "und"
 
 
@@ -90,15 +93,14 @@ class Model:
         return self.classes[k], float(p[k] / p.sum())
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, epochs: int = 3, seed: int = 1) -> Model:
-    """FTRL-proximal with an elastic net on (text, language); a fifth of the rows sets the temperature."""
+def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, epochs: int = 3, seed: int = 1) -> Model:
+    """FTRL-proximal with an elastic net on (:func:`counts`, language); a fifth of the rows sets the temperature."""
     classes = sorted({lang for _, lang in rows})
     if not classes:
         return Model([], idf, np.zeros((DIM, 0)), 1.0)
     y = np.array([classes.index(lang) for _, lang in rows])
     x = []
-    for text, _ in rows:
-        at, n = counts(text)
+    for (at, n), _ in rows:
         x.append((at, weights(at, n, idf)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -146,13 +148,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     df, n = document_frequencies(known)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
     # how many there are of each language gives a share by hash, so that what reaches the driver is bounded
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    take = F.lit(False)
-    for lang, m in sizes.items():
-        share = min(1.0, sample / m)
-        take = take | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    rows = known.filter(take).select("text", "lang").collect()
-    return fit(sorted((r["text"], r["lang"]) for r in rows), idf)
+    sizes = common.materialize(known.groupBy("lang").agg(F.count("*").alias("m")), "languages")
+    share = F.least(F.lit(1.0), F.lit(float(min(sample, TOTAL // max(1, sizes.count())))) / F.col("m"))
+    sizes = sizes.select("lang", (F.floor(share * (1 << 20)) + 1).alias("below"))
+    taken = known.join(common.few(sizes, 100_000), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("below"))
+
+    def count(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, n = counts(text) if len(text) > LONG else (None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text if at is None else None], pa.string()), pa.array([None if at is None else at.astype("<i4").tobytes()], pa.binary()), pa.array([None if at is None else n.astype("<i8").tobytes()], pa.binary())], names=["lang", "text", "at", "n"])
+
+    rows = []
+    for r in taken.select("lang", "text").mapInArrow(count, "lang string, text string, at binary, n binary").collect():
+        got = counts(r["text"]) if r["at"] is None else (np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i8"))
+        rows.append(((r["lang"], len(got[0]), int(got[1].sum()), got[0].tobytes(), got[1].tobytes()), got))
+    return fit([(got, key[0]) for key, got in sorted(rows, key=lambda x: x[0])], idf)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -181,7 +192,8 @@ def keep(docs: DataFrame, min_score: float = 0.35, model: Model | None = None) -
     If nothing can be learned from ``docs`` every text with a letter is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(split(docs)))
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with a dot don't pass
 
     def run(batches):
         common.only("languages")
@@ -196,4 +208,4 @@ def keep(docs: DataFrame, min_score: float = 0.35, model: Model | None = None) -
                     good.append(text is not None and any(map(str.isalpha, text)))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

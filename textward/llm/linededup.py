@@ -20,9 +20,9 @@ def line_hash(line):
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, x, y): a row for each different line that has a word, of each text."""
-    own = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD)), line_hash))
-    return docs.select("doc_id", "site", F.explode(own).alias("h")).select("doc_id", "site", "h.x", "h.y")
+    """(doc_id, own, site, x, y): a row for each different line that has a word, of each text; own is the text's hash."""
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD)), line_hash))
+    return docs.select("doc_id", F.xxhash64("text").alias("own"), "site", F.explode(lines).alias("h")).select("doc_id", "own", "site", "h.x", "h.y")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -43,40 +43,39 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return common.materialize(sure.union(exact), "boilerplate")
 
 
-def remove(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
-    """All rows of ``docs`` (doc_id, source, text and any others) with ``text`` cleaned, n_lines and n_removed added.
+def remove(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All rows of ``docs`` (doc_id, source, text and any others) with ``text`` cleaned, and two columns of ``counts`` added.
 
-    A line is what stands between two \\n, compared exactly, and counts for sites if it has a word. If it is on
-    ``min_sites`` different sources or more it is removed from every text, but for the rows of the least doc_id that has
-    it (``keep_first``), so nothing is lost altogether. A null source is a site like the others; a null doc_id is never
-    the first. Lines without a word are left. Null texts stay null, with no lines. Rows with one doc_id are cleaned each
-    by itself. Columns named n_lines or n_removed are replaced; an empty table gives no rows.
+    A line is what stands between two \\n, compared by 96 bits of hashes, and counts for sites if it has a word. If it is
+    on ``min_sites`` different sources or more it is removed from every text, but for the rows of the least doc_id that
+    has it (``keep_first``), so nothing is lost altogether. A null source is a site like the others; a null doc_id is
+    never the first. Lines without a word are left. Null texts stay null, with no lines. Rows with one doc_id, or none,
+    are cleaned each by itself. The counts are how many lines there were and how many went; columns of their names
+    (n_lines, n_removed if not told) are replaced, all others stay. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"), "text").filter("text is not null")
+    docs = docs.drop(*counts)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"), F.col("text").cast("string").alias("text")).filter("text is not null")
     lines = lines_of(slim)
     bad = boilerplate(lines, min_sites)
     # the hashes to remove from each document: narrow rows; only documents that hold some
-    hits = lines.select("doc_id", "x", "y").join(common.few(bad, 200_000), ["x", "y"])
+    hits = lines.select("doc_id", "own", "x", "y").join(common.few(bad, 200_000), ["x", "y"])
     if keep_first:
         hits = hits.filter("first is null or doc_id is null or doc_id != first")
-    # a row without a doc_id finds its lines under a number that no document has twice: its text's hash
-    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("x", "y")).alias("_out"))
-    # one plan at every size: what is removed grows with the documents, so it is never broadcast
+    # within a document one of the two hashes tells lines apart
+    hit, own, out, mine, rest = common.unused(docs, "hit", "own", "out", "mine", "rest")
+    hits = hits.groupBy(F.col("doc_id").alias(hit), F.col("own").alias(own)).agg(F.collect_set("x").alias(out))
+    # one plan at every size: what is removed grows with the documents, so it is never broadcast; rows without a doc_id,
+    # or with one, are dealt out by their texts' hashes
     hits = common.materialize(hits, "removed").hint("merge")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    rows = rows.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("_id").eqNullSafe(F.col("_hit")), "left") if has_null(hits) else rows.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("_id") == F.col("_hit"), "left")
+    rows = docs.withColumn(mine, F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(hits, (F.col(mine) == F.col(own)) & F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x: ~(F.array_contains(F.col("_out"), line_hash(x)) & x.rlike(common.WORD)))
-    n, m = F.size(parts).cast("long"), F.size(kept).cast("long")
-    out = rows.withColumn("_kept", F.when(F.col("_out").isNull(), parts).otherwise(kept))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")).withColumn("n_removed", F.when(F.col("text").isNull() | F.col("_out").isNull(), F.lit(0)).otherwise(n - m).cast("long"))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-    return out.drop("_kept", "_out", "_hit", "_id")
-
-
-def has_null(hits: DataFrame) -> bool:
-    return not hits.filter("doc_id is null").isEmpty()
+    kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(out), F.xxhash64(x)) & x.rlike(common.WORD)))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    rows = rows.withColumn(rest, F.when(F.col(out).isNull(), parts).otherwise(kept)).withColumn(counts[0], n)
+    rows = rows.withColumn(counts[1], F.when(F.col("text").isNull() | F.col(out).isNull(), F.lit(0)).otherwise(F.col(counts[0]) - F.size(rest)).cast("long"))
+    rows = rows.withColumn("text", F.when(F.col(counts[1]) > 0, F.array_join(rest, "\n")).otherwise(F.col("text")))
+    return rows.drop(hit, own, out, mine, rest)
 
 
 def oracle(min_sites: int = MIN_SITES) -> str:

@@ -29,8 +29,9 @@ PRICE = 5
 
 
 def row_key():
-    """What the verdict depends on, hashed, with the doc_id."""
-    return F.struct(F.xxhash64("doc_id", "lang", "text").alias("x"), F.hash("text", "lang").alias("y"))
+    """What the verdict depends on, hashed, with the doc_id; of the columns as :func:`measures` casts them."""
+    doc_id, lang, text = F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
+    return F.struct(F.xxhash64(doc_id, lang, text).alias("x"), F.hash(text, lang).alias("y"))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -141,9 +142,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`judge` keeps."""
-    out = common.materialize(verdicts(docs, labels, risk, delta).filter("not kept").select("row_key").distinct(), "rejected")
-    return docs.withColumn("row_key", row_key()).join(common.few(out), "row_key", "left_anti").drop("row_key")
+    """The rows of ``docs``, with all their columns whatever their names, that :func:`judge` keeps."""
+    (key,) = common.unused(docs, "row_key")
+    out = common.materialize(verdicts(docs, labels, risk, delta).filter("not kept").select(F.col("row_key").alias(key)).distinct(), "rejected")
+    return docs.withColumn(key, row_key()).join(common.few(out), key, "left_anti").drop(key)
 
 
 def oracle(risk: float = RISK, delta: float = DELTA) -> str:
