@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, by the operators of ``textward.llm``."""
+"""From raw documents to packed training sequences, by the operators of ``textward.llm``.
+
+Each filtering stage returns its documents with all their columns, whatever their names. Rows with one doc_id, or none, are
+judged each by its own text. Null, empty and wordless texts fail the quality rules; in the later stages, called alone, they
+are no language, hold no line to remove and are like nothing; of equal ones with one doc_id near-dedup keeps one, and each is
+packed as a document of the end token alone. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site lines go from the texts; a document of which nothing else was left goes too."""
-    kept = linededup.remove(docs)
-    kept = kept.filter((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    lines, gone = common.unused(docs, "n_lines", "n_removed")
+    kept = linededup.remove(docs, counts=(lines, gone))
+    kept = kept.filter((F.col(gone) == 0) | F.col("text").rlike(common.WORD))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*common.own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
