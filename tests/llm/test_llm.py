@@ -63,6 +63,21 @@ def test_cut_texts_have_the_librarys_ids(texts):
         assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 60), max_size=30), max_size=12))
+def test_forgetting_words_changes_no_ids(calls):
+    store, ids = encode.Store(20), lambda w: [int(w)] * (int(w) % 4)
+
+    def make(new):
+        assert not set(new) & set(store.slot)
+        return np.array([i for w in new for i in ids(w)], np.uint32), np.array([len(ids(w)) for w in new], np.int64)
+
+    for call in calls:
+        slots = store.slots(pa.array(list(map(str, call)), pa.string()).dictionary_encode(), make)
+        assert [store.flat[store.starts[s] : store.starts[s] + store.sizes[s]].tolist() for s in slots] == [ids(w) for w in map(str, call)]
+        assert list(store.slot.values()) == list(range(len(store.sizes))) and len(store.slot) <= 20 + 31
+
+
 _kept = {}
 
 
@@ -316,6 +331,13 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_many_equal_payloads_are_dealt_out(spark, tmp_path):
+    rows = [(i, f"u{i}", f"<p>{i % 7 if i % 3 else 0}", "") for i in range(200)]
+    pages = spark.createDataFrame(rows, PAGES)
+    a, b = (sorted(map(tuple, warc.read(warc.write(pages, f"file://{tmp_path}/{k}", **x)).collect())) for k, x in (("a", {}), ("b", {"winners": 0, "dealt": 10})))
+    assert a == b and len(a) == 200 and sum(r[4] == "response" for r in a) == 7
+
+
 def test_ranges_are_joined():
     assert [(o, n, len(m)) for o, n, m in warc.ranges([(0, 10), (12, 10), (5000, 5)], gap=100, span=1000)] == [(0, 22, 2), (5000, 5, 1)]
 

@@ -16,22 +16,34 @@ from . import common
 
 INDEX = "path string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-#: Rows of one payload are dealt out to so many keys.
-SALT = 16
+#: Winners that are told to every task, and rows of one payload that a key has where there are more.
+WINNERS, DEALT = 200_000, 2000
+#: Bytes of archives that a task reads, about.
+READ = 64 << 20
 #: Ranges nearer than this are read as one, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, winner: the largest page_id of those with an equal payload, if there are several."""
+def marked(pages: DataFrame, winners: int = WINNERS, dealt: int = DEALT) -> DataFrame:
+    """page_id, url, html, winner: the largest page_id of those with an equal payload, if there are several.
+
+    Up to ``winners`` of them are broadcast. More are joined by a shuffle, in which the rows of a payload have a key for
+    each ``dealt`` of them.
+    """
     rows = common.columns(pages, page_id="long", url="string", html="string")
-    rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1("html")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
+    rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1("html"))
     # hashed in the JVM; what is shuffled for it is a row for each payload and task
-    most = rows.groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").select("sha", "winner")
-    most = common.materialize(most, "payloads").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    return rows.join(most, ["sha", "salt"], "left").select("page_id", "url", "winner", "html")
+    most = rows.groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1")
+    most = common.materialize(most, "payloads")
+    if most.count() <= winners:
+        return rows.join(F.broadcast(most), "sha", "left").select("page_id", "url", "winner", "html")
+    hot = common.materialize(most.filter(F.col("n") > dealt).select("sha", F.ceil(F.col("n") / dealt).alias("keys")), "large-payloads")
+    keys = F.coalesce("keys", F.lit(1).cast("long"))
+    most = most.join(common.few(hot), "sha", "left").select("sha", "winner", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)).alias("key"))
+    rows = rows.join(common.few(hot), "sha", "left").withColumn("key", F.pmod(F.xxhash64("page_id", "url"), keys))
+    return rows.join(most, ["sha", "key"], "left").select("page_id", "url", "winner", "html")
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -56,7 +68,7 @@ def record(page_id, url, payload: bytes, refers_to) -> tuple[bytes, str]:
     return header(fields) + block + b"\r\n\r\n", digest
 
 
-def write(pages: DataFrame, out_dir: str, per_file: int = 256 << 20) -> DataFrame:
+def write(pages: DataFrame, out_dir: str, per_file: int = 256 << 20, winners: int = WINNERS, dealt: int = DEALT) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html; null html is an empty payload) and returns the index.
 
     Of equal payloads that with the largest page_id is the response (each of its rows, if it is there twice), the others
@@ -97,7 +109,7 @@ def write(pages: DataFrame, out_dir: str, per_file: int = 256 << 20) -> DataFram
         for lo in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000], strict=True), kinds, strict=True)], names=names)
 
-    return common.materialize(marked(pages).mapInArrow(save, INDEX), "warc-index")
+    return common.materialize(marked(pages, winners, dealt).mapInArrow(save, INDEX), "warc-index")
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, span: int = SPAN):
@@ -138,7 +150,8 @@ def read(index: DataFrame, payload: bool = False) -> DataFrame:
     doesn't have its digest is an error.
     """
     where = index.select("path", "offset", "length").withColumn("stretch", F.expr(f"offset div {SPAN}"))
-    n = max(1, min(2000, index.select("path").distinct().count() * 4))
+    told = index.agg(F.sum("length").alias("bytes"), F.count_distinct("path").alias("files")).first()
+    n = max(1, -(-(told["bytes"] or 0) // READ), min(64, told["files"] * 4))
     where = where.repartition(n, "path", "stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     schema = RECORD + (", payload binary" if payload else "")
 
