@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import sql as sql_functions
 from textward.functions.spans import cut, hit, top_score
-from textward.operators import redactor, scanners, screen
+from textward.operators import models, redactor, scanners, screen
 from textward.plans import config as conf
 from textward.plans import guard
 from textward.sources import catalogs as C
@@ -28,8 +28,14 @@ def query(sql: str | None):
     return add
 
 
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark, sf_dir, name, *cols):
+    """The table; with ``cols``, only they, dealt out to all cores if its files have fewer splits: for scans that cost CPU."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not cols:
+        return df
+    df = df.select(*cols)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # ---- SQL of what the columns do
@@ -105,29 +111,28 @@ CASES = "case_id string, text string"
 
 @query(f"select doc_id, score, score >= 0.6 as blocked from (select doc_id, {score_sql('text', C.PII)} as score from documents)")
 def pii_score_block(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", top_score(F.col("text"), C.PII).alias("score")).withColumn("blocked", F.col("score") >= 0.6)
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", top_score(F.col("text"), C.PII).alias("score")).withColumn("blocked", F.col("score") >= 0.6)
 
 
 @query("select doc_id, " + ", ".join(f"{matches('text', p)} as {i}" for i, p, *_ in C.PII) + " from documents")
 def pii_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *(hit(F.col("text"), p).alias(i) for i, p, *_ in C.PII))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *(hit(F.col("text"), p).alias(i) for i, p, *_ in C.PII))
 
 
 @query(f"select type, severity, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by all")
 def pii_findings_by_type(spark, sf_dir):
-    rows = guard.findings_table(table(spark, sf_dir, "documents"), "doc_id", kinds=("pii",))
-    return rows.groupBy("type", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return guard.findings_by_type(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").select("type", "severity", "n", "n_docs")
 
 
 @query(f"select doc_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('documents', 'doc_id', 'text', C.PII)})")
 def pii_spans(spark, sf_dir):
-    rows = guard.findings_table(table(spark, sf_dir, "documents"), "doc_id", kinds=("pii",), style="partial")
+    rows = guard.findings_table(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", kinds=("pii",), style="partial")
     return rows.select("doc_id", "type", F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
 
 
 def _redact(style):
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", scanners.pii_redacted(F.col("text"), style).alias("redacted"))
+        return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", scanners.pii_redacted(F.col("text"), style).alias("redacted"))
 
     run.__name__ = f"pii_redact_{style}"
     return query(redact_sql(style))(run)
@@ -152,13 +157,12 @@ def pii_fallback_cases(spark, sf_dir):
 
 @query(f"select page_id, score, score >= 0.7 as blocked from (select page_id, {score_sql('html', C.CODE)} as score from pages)")
 def code_score_block(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", top_score(F.col("html"), C.CODE).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", top_score(F.col("html"), C.CODE).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
 
 
 @query(f"select type, category, severity, count(*)::bigint as n from ({spans_sql('pages', 'page_id', 'html', C.CODE)}) group by all")
 def code_findings_by_type(spark, sf_dir):
-    rows = guard.findings_table(table(spark, sf_dir, "pages"), "page_id", "html", ("code_injection",))
-    return rows.groupBy("type", F.col("detail").alias("category"), "severity").agg(F.count("*").alias("n"))
+    return guard.findings_by_type(table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", "code_injection").select("type", "category", "severity", "n")
 
 
 @query("with " + values_sql("c", ["case_id", "text"], CODE_ROWS) + f" select case_id, type, category, start_, end_, case when length(value) > 100 then substr(value, 1, 100) || '...' else value end as value from ({spans_sql('c', 'case_id', 'text', C.CODE)})")
@@ -180,6 +184,11 @@ def code_categories(spark, sf_dir):
     return spark.createDataFrame(CODE_ROWS, CASES).select("case_id", F.array_join(scanners.categories(t), ",").alias("categories"), top_score(t, C.CODE).alias("score"), top_score(t, C.fallback_code()).alias("fallback_score"))
 
 
+@query(f"select page_id, {_categories_sql('html')} as categories from pages")
+def code_categories_of_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.array_join(scanners.categories(F.col("html")), ",").alias("categories"))
+
+
 # ---- credentials (reconstructed)
 
 @query("with " + values_sql("c", ["case_id", "text"], SECRET_ROWS) + f" select case_id, type, category, start_, end_, substr(value, 1, 4) || '***' as value from ({spans_sql('c', 'case_id', 'text', C.SECRETS)})")
@@ -190,7 +199,7 @@ def secrets_cases(spark, sf_dir):
 
 @query(f"select doc_id, score, score >= 0.7 as blocked from (select doc_id, {score_sql('text', C.SECRETS)} as score from documents)")
 def secrets_score_block(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", top_score(F.col("text"), C.SECRETS).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", top_score(F.col("text"), C.SECRETS).alias("score")).withColumn("blocked", F.col("score") >= 0.7)
 
 
 # ---- phrases
@@ -211,15 +220,15 @@ def _phrase_query(name, source, key, col, fill, build):
 
 
 _cases = "with " + values_sql("c", ["case_id", "text"], PHRASE_ROWS) + " "
-_phrase_query("injection_heuristic", ("conversations", lambda s, d: table(s, d, "conversations")), ["conv_id", "turn"], "text", "", scanners.injection)
-_phrase_query("toxicity_heuristic", ("documents", lambda s, d: table(s, d, "documents")), ["doc_id"], "text", "", scanners.toxicity)
+_phrase_query("injection_heuristic", ("conversations", lambda s, d: table(s, d, "conversations", "conv_id", "turn", "text")), ["conv_id", "turn"], "text", "", scanners.injection)
+_phrase_query("toxicity_heuristic", ("documents", lambda s, d: table(s, d, "documents", "doc_id", "text")), ["doc_id"], "text", "", scanners.toxicity)
 _phrase_query("injection_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.injection)
 _phrase_query("toxicity_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.toxicity)
 
 
 @query(f"select toxic, detected, count(*)::bigint as n from (select toxic, {phrase_score_sql('len(m)', 0.3, 0.9)} > 0.5 as detected from (select l.toxic, {phrases_sql('text', C.TOXIC)} as m from documents d join labels l using (doc_id))) group by all")
 def toxicity_vs_labels(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", (scanners.toxicity(F.col("text"))["score"] > 0.5).alias("detected"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", (scanners.toxicity(F.col("text"))["score"] > 0.5).alias("detected"))
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "detected").agg(F.count("*").alias("n"))
 
 
@@ -277,7 +286,7 @@ def judge_parse(spark, sf_dir):
 def sql_scores(spark, sf_dir):
     """The scores by the session's SQL functions."""
     sql_functions.register(spark)
-    return spark.sql("SELECT doc_id, pii_score(text) AS pii, code_score(text) AS code, secrets_score(text) AS secrets FROM {docs}", docs=table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return spark.sql("SELECT doc_id, pii_score(text) AS pii, code_score(text) AS code, secrets_score(text) AS secrets FROM {docs}", docs=table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 _found = " union all ".join(f"select case_id, '{k}' as catalog, type, severity, start_, end_, value from ({spans_sql('c', 'case_id', 'text', r)})" for k, r in sql_functions.CATALOGS.items())
@@ -309,13 +318,13 @@ select {key}, {block} as blocked, greatest({', '.join(ids)}, 0.0) as risk_score,
 
 @query(_verdict_sql("(select conv_id, turn, coalesce(text, '') as text from conversations where role = 'user')", "conv_id, turn", "text", "input", conf.Config()))
 def guard_input_verdict(spark, sf_dir):
-    df = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    df = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'user'")
     return guard.verdict(df, direction="input").select("conv_id", "turn", "blocked", "risk_score", "checks_run")
 
 
 @query(_verdict_sql("(select doc_id, coalesce(text, '') as text from documents)", "doc_id", "text", "output", conf.Config()))
 def guard_output_verdict(spark, sf_dir):
-    return guard.verdict(table(spark, sf_dir, "documents"), direction="output").select("doc_id", "blocked", "risk_score", "checks_run")
+    return guard.verdict(table(spark, sf_dir, "documents", "doc_id", "text"), direction="output").select("doc_id", "blocked", "risk_score", "checks_run")
 
 
 @query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select * from (" + _verdict_sql("cases", "case_id", "text", "input", conf.Config()) + ")")
@@ -335,6 +344,74 @@ def guard_scan_cases(spark, sf_dir):
     return df.select("case_id", F.col("scan.blocked").alias("blocked"), F.col("scan.risk_score").alias("risk_score"), F.array_join(F.array_sort(F.map_keys("scan.checks")), ",").alias("checks_run"))
 
 
+def _found_sql(source: str) -> str:
+    """(case_id, chk, chk_ord, ord, start_, type, severity, confidence, shown): an answer's findings in the order in which checks run."""
+    one = lambda chk, k, rows, conf_, shown: f"select case_id, '{chk}' as chk, {k} as chk_ord, ord, start_, type, severity, {conf_}::double as confidence, {shown} as shown from ({spans_sql(source, 'case_id', 'text', rows)})"
+    toxic = f"select case_id, 'toxicity', 3, 0, 0, 'toxic', {grade_sql('s')}, s, case when length(text) > 100 then substr(text, 1, 100) || '...' else text end from (select *, {phrase_score_sql('len(m)', 0.3, 0.9)} as s from (select case_id, text, {phrases_sql('text', C.TOXIC)} as m from {source})) where s > 0.3"
+    return " union all ".join([one("secrets", 0, C.SECRETS, 0.9, "substr(value, 1, 4) || '***'"), one("pii", 1, C.PII, 0.9, "'[REDACTED]'"), one("code_injection", 2, C.CODE, 0.85, "case when length(value) > 100 then substr(value, 1, 100) || '...' else value end"), toxic])
+
+
+_ANSWERS = "with " + values_sql("c", ["case_id", "text"], ALL_ROWS) + f", sc as (select case_id, {score_sql('text', C.SECRETS)} as secrets, {score_sql('text', C.PII)} as pii, {score_sql('text', C.CODE)} as code_injection, {phrase_score_sql('len(' + phrases_sql('text', C.TOXIC) + ')', 0.3, 0.9)} as toxicity from c), f as (select f.*, greatest(secrets, pii, code_injection) >= 0.9 as stop, case chk when 'secrets' then secrets >= 0.7 when 'pii' then pii >= 0.6 when 'code_injection' then code_injection >= 0.7 else toxicity >= 0.5 end as fails from ({_found_sql('c')}) f join sc using (case_id)), g as (select *, row_number() over (partition by case_id order by chk_ord, ord, start_) as k from f where not (stop and chk = 'toxicity'))"
+
+
+@query(_ANSWERS + " select case_id, (k - 1)::int as pos, type, severity, round(confidence, 9) as confidence, shown as value from g")
+def findings_in_order(spark, sf_dir):
+    """All findings of an answer's scan: in the order in which checks run, with their confidence."""
+    df = guard.scan(spark.createDataFrame(ALL_ROWS, CASES), direction="output").select("case_id", F.posexplode("scan.findings").alias("pos", "f"))
+    return df.select("case_id", "pos", F.col("f.type").alias("type"), F.col("f.severity").alias("severity"), F.round("f.confidence", 9).alias("confidence"), F.col("f.value").alias("value"))
+
+
+@query(_ANSWERS + f""", one as (select case_id, k, chk || ': ' || type || ' (' || severity || ') - ' || case when length(shown) > 50 then substr(shown, 1, 50) || '...' else shown end as r from g where fails),
+r as (select case_id, string_agg(r, '; ' order by k) as reasons, string_agg('output: ' || r, '; ' order by k) as block_reason from one group by case_id),
+s as ({spans_sql("c", "case_id", "text", C.PII)}),
+l as (select case_id, list(struct_pack(s := start_, e := end_, t := '') order by start_ desc, ord, k) as found from (select *, row_number() over (partition by case_id, ord order by start_) as k from s) group by case_id),
+clean as (select case_id, case when found is null then text else list_reduce(found, lambda a, x: struct_pack(s := 0, e := 0, t := substr(a.t, 1, x.s) || '[REDACTED]' || substr(a.t, x.e + 1)), struct_pack(s := 0, e := 0, t := text)).t end as sanitized from c left join l using (case_id))
+select case_id, coalesce(reasons, '') as reasons, reasons is not null as blocked, block_reason, sanitized, exists(from g where g.case_id = clean.case_id and severity = 'critical') as has_critical from clean left join r using (case_id)""")
+def reasons_and_sanitized(spark, sf_dir):
+    """Why answers are blocked, alone and as the answer of a pair; their redacted texts."""
+    df = guard.scan_pairs(spark.createDataFrame(ALL_ROWS, CASES).withColumn("asked", F.lit("")), "asked", "text")
+    o = F.col("output_scan")
+    return df.select("case_id", F.array_join(o["reasons"], "; ").alias("reasons"), "blocked", "block_reason", o["sanitized_text"].alias("sanitized"), o["has_critical"].alias("has_critical"))
+
+
+LOGIT_ROWS = [(f"logit_{i:03d}", t, None if a is None else " ".join(map(str, a)), None if b is None else " ".join(map(str, b))) for i, (t, a, b) in enumerate(fixtures.LOGITS)]
+_LABELS = "[" + ", ".join(map(q, C.TOXIC_LABELS)) + "]"
+
+
+@query("with " + values_sql("c", ["case_id", "text", "inj", "tox"], LOGIT_ROWS) + f""", l as (select *, list_transform(string_split(inj, ' '), lambda x: x::double) as a, list_transform(string_split(tox, ' '), lambda x: 1 / (1 + exp(-(x::double)))) as p from c),
+m as (select *, exp(a[least(2, len(a))]) / list_sum(list_transform(a, lambda x: exp(x))) as mi, list_max(p) as mt, {phrase_score_sql(f"len({phrases_sql('text', C.INJECTION)})", 0.4, 0.95)} as pi, {phrase_score_sql(f"len({phrases_sql('text', C.TOXIC)})", 0.3, 0.9)} as pt from l),
+s as (select *, case when coalesce(mi, 0) > 0 then greatest(mi, pi * 0.8::double) else pi end as si, case when coalesce(mt, 0) > 0 then greatest(mt, pt * 0.7::double) else pt end as st, case when mt is null then 'toxic' else {_LABELS}[list_position(p, mt)] end as prime, list_filter({_LABELS}, lambda x, i: p[i] > 0.5) as high, list_filter({_LABELS}, lambda x, i: p[i] > 0.7) as extra from m)
+select case_id, round(si, 9) as injection, round(st, 9) as toxicity, case when st > 0.3 then {grade_sql('st')} end as severity, case when st > 0.3 then prime end as primary_type,
+case when st > 0.3 then array_to_string(case when len(coalesce(high, [])) > 0 then high else [prime] end, '|') end as toxicity_types, case when st > 0.3 then 1 + len(list_filter(coalesce(extra, []), lambda x: x <> prime)) else 0 end::int as n_findings from s""")
+def model_scores(spark, sf_dir):
+    """Models' logits beside phrases: softmax and sigmoid, the combined scores, the types above 0.5, the extra findings."""
+    df = spark.createDataFrame(LOGIT_ROWS, "case_id string, text string, inj string, tox string")
+    inj, tox = (F.split(c, " ").cast("array<double>") for c in ("inj", "tox"))
+    df = df.withColumn("i", scanners.injection(F.col("text"), models.softmax_of(inj))).withColumn("t", scanners.toxicity(F.col("text"), models.sigmoid_of(tox)))
+    hit_ = F.size("t.findings") > 0
+    return df.select("case_id", F.round("i.score", 9).alias("injection"), F.round("t.score", 9).alias("toxicity"), F.get(F.col("t.findings"), 0)["severity"].alias("severity"), F.when(hit_, F.col("t.primary")).alias("primary_type"), F.array_join("t.types", "|").alias("toxicity_types"), F.size("t.findings").alias("n_findings"))
+
+
+SWITCHES = [
+    ("as it comes", {}, []), ("no personal data", {"scanners": {"pii": {"enabled": False}}}, []), ("judged", {"mode": "full", "llm": {"api_key": "k"}}, []), ("nobody to judge", {"mode": "full"}, []), ("a judge in local mode", {"has_judge": True}, []), ("two checks", {}, ["pii", "toxicity"]), ("one that is off", {"scanners": {"secrets": False}}, ["secrets"]),
+]
+
+
+@query("with " + values_sql("s", ["scanner", "tier", "direction", "judge"], [tuple(x) for x in C.SCANNERS]) + ", " + values_sql("c", ["config", "off", "checks", "judged"], [(n, "pii" if "personal" in n else "secrets" if "off" in n else "", ",".join(k), n == "judged") for n, _, k in SWITCHES]) + """
+select config, d.direction, scanner, tier from s, c, (values ('input'), ('output')) d(direction)
+where scanner <> off and (s.direction = 'both' or s.direction = d.direction) and (checks = '' or list_contains(string_split(checks, ','), scanner)) and (not judge or judged)""")
+def planned_checks(spark, sf_dir):
+    """Which checks run under which configuration: switches, directions, requested checks, the judge's conditions."""
+    rows = [(n, d, i, t) for n, data, checks in SWITCHES for d in ("input", "output") for i, t in guard.planned(conf.from_dict(data), d, checks)]
+    return spark.createDataFrame(rows, "config string, direction string, scanner string, tier string")
+
+
+@query("with " + values_sql("c", ["case_id", "context", "answer"], [(f"claim_{i:03d}", c, t) for i, (c, t) in enumerate(fixtures.CLAIMS)]) + f" select case_id, {q(scanners.ASK)} || substr(coalesce(context, ''), 1, 4000) || {q(scanners.ANSWER)} || substr(answer, 1, 4000) as prompt from c")
+def judge_prompts(spark, sf_dir):
+    df = spark.createDataFrame(CLAIM_ROWS, "case_id string, context string, answer string")
+    return df.select("case_id", scanners.judge_prompt(F.col("context"), F.col("answer")).alias("prompt"))
+
+
 @query(f"""with p as (select conv_id, turn, input_text, output_text from ({PAIRS}) where role = 'user' and r = 'assistant'),
 i as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, input_text as text from p)', 'conv_id, turn', 'text', 'input', conf.Config())})),
 o as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, output_text as text from p)', 'conv_id, turn', 'text', 'output', conf.Config())}))
@@ -346,19 +423,28 @@ def full_scan_pairs(spark, sf_dir):
 
 @query("with t(sensitivity, threshold) as (values " + ", ".join(f"({q(s)}, {own['pii']}::double)" for s, own in C.THRESHOLDS.items()) + f") select sensitivity, lang, count(*)::bigint as n, count(*) filter (where score >= threshold)::bigint as n_blocked from (select lang, {score_sql('text', C.PII)} as score from documents), t group by all")
 def sensitivity_matrix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", top_score(F.col("text"), C.PII).alias("score"), F.lit("pii").alias("scanner_id"))
-    # three rows for each scanner
-    return docs.join(F.broadcast(C.thresholds(spark)), "scanner_id").groupBy("sensitivity", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("n_blocked"))
+    """Each text is scored once; the presets are counts of one aggregate, then rows of its few results."""
+    docs = table(spark, sf_dir, "documents", "lang", "text").select("lang", top_score(F.col("text"), C.PII).alias("score"))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"), *(F.count_if(F.col("score") >= own["pii"]).alias(s) for s, own in C.THRESHOLDS.items()))
+    presets = F.array(*(F.struct(F.lit(s).alias("sensitivity"), F.col(s).alias("n_blocked")) for s in C.THRESHOLDS))
+    return counts.select("lang", "n", F.explode(presets).alias("p")).select("p.sensitivity", "lang", "n", "p.n_blocked")
 
 
-TENANTS = [("org0", '{"sensitivity":"strict"}'), ("org1", '{"sensitivity":"low"}'), ("org2", '{"thresholds":{"pii":0.3}}'), ("org3", "{}")]
+TENANTS = [
+    ("org0", '{"sensitivity":"strict"}'), ("org1", '{"sensitivity":"low"}'), ("org2", '{"thresholds":{"pii":0.3}}'), ("org3", "{}"), ("org4", '{"scanners":{"pii":{"enabled":false}}}'), ("org5", '{"scanners":{"pii":false},"sensitivity":"strict"}'),
+    ("org6", '{"scanners":{"pii":{"enabled":true,"threshold":0.95},"toxicity":true},"mode":"local"}'), ("org7", '{"scanners":{"pii":{"threshold":0.9}},"thresholds":{"pii":0.4},"pii":{"redaction_style":"hash"},"llm":{"model":"m"}}'),
+]
 
 
-@query("with " + values_sql("t", ["org_id", "config"], TENANTS) + f", d as (select doc_id, 'org' || (doc_id % 5)::varchar as org_id, {score_sql('text', C.PII)} as score from documents) select doc_id, org_id, score, score >= case org_id when 'org0' then 0.4 when 'org1' then 0.8 when 'org2' then 0.3 else 0.6 end as blocked from d left join t using (org_id)")
+@query("with " + values_sql("t", ["org_id", "config"], TENANTS) + f""", d as (select doc_id, 'org' || (doc_id % 9)::varchar as org_id, {score_sql('text', C.PII)} as score from documents),
+own as (select org_id, coalesce((config->>'$.thresholds.pii')::double, (config->>'$.scanners.pii.threshold')::double, case coalesce(config->>'$.sensitivity', 'balanced') when 'strict' then 0.4 when 'low' then 0.8 else 0.6 end) as threshold,
+  coalesce(case json_type(config, '$.scanners.pii') when 'BOOLEAN' then (config->>'$.scanners.pii')::boolean else (config->>'$.scanners.pii.enabled')::boolean end, true) as enabled from t)
+select doc_id, org_id, score, coalesce(enabled, true) and score >= coalesce(threshold, 0.6) as blocked from d left join own using (org_id)""")
 def tenant_config(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org"), (F.col("doc_id") % 5).cast("string")).alias("org_id"), top_score(F.col("text"), C.PII).alias("score"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("org"), (F.col("doc_id") % 9).cast("string")).alias("org_id"), top_score(F.col("text"), C.PII).alias("score"))
     rows = conf.with_tenant(docs, F.broadcast(spark.createDataFrame(TENANTS, "org_id string, config string")))
-    return rows.select("doc_id", "org_id", "score", (F.col("score") >= F.coalesce(conf.tenant_threshold(F.col("tenant_config"), "pii"), F.lit(0.6))).alias("blocked"))
+    c = F.col("tenant_config")
+    return rows.select("doc_id", "org_id", "score", (conf.tenant_enabled(c, "pii") & (F.col("score") >= F.coalesce(conf.tenant_threshold(c, "pii"), F.lit(0.6)))).alias("blocked"))
 
 
 # ---- the second screen, the general redactor
@@ -376,7 +462,7 @@ def _screened(df, key):
 
 @query(_screen_sql("documents", "doc_id", "text"))
 def screen_verdict(spark, sf_dir):
-    return _screened(table(spark, sf_dir, "documents"), "doc_id")
+    return _screened(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 @query("with " + values_sql("c", ["case_id", "text"], PII_ROWS + SECRET_ROWS) + " select * from (" + _screen_sql("c", "case_id", "text") + ")")
@@ -400,20 +486,30 @@ def redactor_defaults(spark, sf_dir):
 @query("select doc_id, regexp_replace(text, 'src[0-9]+|[0-9]{3,}', '[REDACTED]', 'g') as redacted, len(regexp_extract_all(text, 'src[0-9]+|[0-9]{3,}'))::bigint as n from documents")
 def redact_pattern(spark, sf_dir):
     x = redactor.redact_pattern(F.col("text"), "src[0-9]+|[0-9]{3,}")
-    return table(spark, sf_dir, "documents").withColumn("x", x).select("doc_id", F.col("x.redacted_text").alias("redacted"), F.col("x.redaction_count").cast("long").alias("n"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").withColumn("x", x).select("doc_id", F.col("x.redacted_text").alias("redacted"), F.col("x.redaction_count").cast("long").alias("n"))
+
+
+TEMPLATES = ["***-**-{last4}", "{first}***{last4}", "{first_char}.", "gone"]
+
+
+@query("with " + values_sql("c", ["case_id", "kind", "value"], REDACT_ROWS) + ", " + values_sql("t", ["template"], [(t,) for t in TEMPLATES]) + " select case_id, template, replace(replace(case when length(value) >= 4 then replace(template, '{last4}', right(value, 4)) else template end, '{first}', substr(value, 1, 1)), '{first_char}', substr(value, 1, 1)) as redacted from c, t")
+def redactor_templates(spark, sf_dir):
+    df = spark.createDataFrame(REDACT_ROWS, "case_id string, kind string, value string")
+    each = F.array(*(F.struct(F.lit(t).alias("template"), redactor.redact_value(F.col("value"), F.col("kind"), "partial", t).alias("redacted")) for t in TEMPLATES))
+    return df.select("case_id", F.explode(each).alias("x")).select("case_id", "x.*")
 
 
 # ---- analytics
 
 @query(f"select lang, type, count(*)::bigint as n from (select d.lang, s.type from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) s join documents d using (doc_id)) group by rollup (lang, type)")
 def corpus_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.explode(scanners.pii_findings(F.col("text"))).alias("f"))
+    docs = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(scanners.pii_findings(F.col("text"))).alias("f"))
     return docs.rollup("lang", F.col("f.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 @query(f"select source, n_blocked, n, rank from (select *, row_number() over (order by n_blocked desc, source) as rank from (select source, count(*) filter (where s >= 0.6)::bigint as n_blocked, count(*)::bigint as n from (select source, {score_sql('text', C.PII)} as s from documents) group by source)) where rank <= 10")
 def worst_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", top_score(F.col("text"), C.PII).alias("s"))
+    docs = table(spark, sf_dir, "documents", "source", "text").select("source", top_score(F.col("text"), C.PII).alias("s"))
     top = docs.groupBy("source").agg(F.count_if(F.col("s") >= 0.6).alias("n_blocked"), F.count("*").alias("n")).orderBy(F.desc("n_blocked"), "source").limit(10)
     from pyspark.sql import Window as W
 

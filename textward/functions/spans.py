@@ -30,17 +30,22 @@ def spans(text: Column, pattern: str) -> Column:
     """All matches from left to right, as [start, end) in code points, and what they match.
 
     Matches and the gaps between them have lengths; no offset of a Java matcher, which counts UTF-16 units, is used.
-    Patterns never match the empty string. Texts without a match skip the work.
+    Patterns never match the empty string. A text is read once for its matches, and again for the gaps if there are any.
     """
-    p = F.lit(java(pattern))
+    none = F.array().cast(SPAN)
 
     def build(v):
         at = lambda s, x: F.struct((s["pos"] + F.length(x["g"]) + F.length(x["v"])).alias("pos"), F.concat(s["out"], F.array(F.struct((s["pos"] + F.length(x["g"])).alias("start"), (s["pos"] + F.length(x["g"]) + F.length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"))
         gaps = F.slice(F.split(text, java(pattern), -1), F.lit(1), F.size(v))
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.arrays_zip(gaps.alias("g"), v.alias("v")), start, at, lambda s: s["out"])
+        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+        return F.when(F.size(v) > 0, F.aggregate(F.arrays_zip(gaps.alias("g"), v.alias("v")), start, at, lambda s: s["out"])).otherwise(none)
 
-    return F.when(hit(text, pattern), let(F.regexp_extract_all(text, p, F.lit(0)), build)).otherwise(F.array().cast(SPAN))
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0)), build), none)
+
+
+def count(text: Column, pattern: str) -> Column:
+    """How many matches there are, without their spans."""
+    return F.coalesce(F.regexp_count(text, F.lit(java(pattern))), F.lit(0))
 
 
 def top_score(text: Column, rows: list[tuple]) -> Column:

@@ -20,6 +20,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def softmax_of(logits, index: int = 1):
+    """A column of one class's probability from a column of logits, in the JVM. One logit alone has probability 1."""
+    most = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - most))
+    return F.get(e, F.when(F.size(logits) > index, F.lit(index)).otherwise(F.lit(0))) / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+
+
+def sigmoid_of(logits):
+    """A column of the labels' probabilities from a column of logits, in the JVM."""
+    return F.transform(logits, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+
+
 def once(name: str, load: Callable[[], object]):
     """What ``load`` gives, kept by the worker."""
     if name not in _loaded:

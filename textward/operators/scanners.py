@@ -92,22 +92,28 @@ def injection(text: Column, model: Column | None = None) -> Column:
 
 
 def toxicity(text: Column, labels: Column | None = None) -> Column:
-    """struct(score, findings, matched, primary): phrases, and a model's probabilities in the labels' order if given."""
+    """struct(score, findings, matched, primary, types): phrases, and a model's probabilities in the labels' order if given.
+
+    types: the labels above 0.5, or the primary one; null if the score isn't above 0.3.
+    """
 
     def build(m):
         model = F.array_max(labels) if labels is not None else None
         score = combined(model, phrase_score(F.size(m), 0.3, 0.9), 0.7)
         primary = F.lit("toxic")
+        types = F.array(primary)
         extra = none()
         if labels is not None:
             named = F.array(*(F.struct(labels[i].alias("p"), F.lit(-i).alias("k"), F.lit(n).alias("label")) for i, n in enumerate(C.TOXIC_LABELS)))
             best = F.array_max(named)["label"]
             primary = F.when(F.coalesce(model, F.lit(0.0)) > 0, best).otherwise("toxic")
+            over = F.transform(F.filter(named, lambda x: x["p"] > 0.5), lambda x: x["label"])
+            types = F.when(F.size(over) > 0, over).otherwise(F.array(primary))
             more = F.filter(named, lambda x: (x["p"] > 0.7) & (x["label"] != best))
             extra = F.transform(more, lambda x: finding(x["label"], F.concat(F.lit("Detected "), F.replace(x["label"], F.lit("_"), F.lit(" "))), 0, F.length(text), F.when(x["p"] > 0.9, "critical").otherwise("high"), x["p"], x["label"]))
         one = F.array(finding(primary, cut(text, 100), 0, F.length(text), grade(score), score, F.array_join(m, "|")))
         found = F.when(score > 0.3, F.concat(one, extra)).otherwise(none())
-        return F.struct(score.alias("score"), found.alias("findings"), m.alias("matched"), primary.alias("primary"))
+        return F.struct(score.alias("score"), found.alias("findings"), m.alias("matched"), primary.alias("primary"), F.when(score > 0.3, types).alias("types"))
 
     return let(phrases(text, C.TOXIC), build)
 
@@ -116,22 +122,33 @@ JUDGE = "struct<faithful:boolean,confidence:double,hallucinations:array<struct<c
 
 
 def judged(context: Column, payload: Column) -> Column:
-    """struct(score, findings) of a judge's JSON. Without a context nothing is claimed: 0. What can't be read counts as faithful with 0.5."""
+    """struct(score, findings, error, claims) of a judge's JSON. What can't be read counts as faithful with 0.5.
+
+    Without a context, or an answer, nothing is claimed: score 0 and why in ``error``. ``claims`` are the findings' whole
+    claims with their issues; a finding shows 200 characters.
+    """
     j = F.from_json(payload, JUDGE)
     sure = F.coalesce(j["confidence"], F.lit(0.5))
     score = F.when(F.coalesce(j["faithful"], F.lit(True)), F.lit(1.0) - sure).otherwise(sure)
     level = lambda x: F.when(F.lower(x["severity"]).isin("low", "medium", "high", "critical"), F.lower(x["severity"])).otherwise("medium")
     listed = F.coalesce(j["hallucinations"], F.array().cast("array<struct<claim:string,issue:string,severity:string>>"))
-    found = F.transform(listed, lambda x: finding("hallucination", cut(F.coalesce(x["claim"], F.lit("")), 200), 0, 0, level(x), sure, x["issue"]))
+    claim, issue = (lambda x: F.coalesce(x["claim"], F.lit("Unknown claim"))), (lambda x: F.coalesce(x["issue"], F.lit("Unknown issue")))
+    found = F.transform(listed, lambda x: finding("hallucination", cut(claim(x), 200), 0, 0, level(x), sure, issue(x)))
+    claims = F.transform(listed, lambda x: F.struct(claim(x).alias("claim"), issue(x).alias("issue")))
     # a judge whose numbers are out of range has failed: the check passes
-    bad = context.isNull() | (context == "") | payload.isNull() | ~sure.between(0.0, 1.0)
-    return F.struct(F.when(bad, 0.0).otherwise(score).alias("score"), F.when(bad, none()).otherwise(found).alias("findings"))
+    error = F.when(context.isNull() | (context == ""), "no context").when(payload.isNull(), "no answer of a judge").when(~sure.between(0.0, 1.0), "confidence out of range")
+    bad = error.isNotNull()
+    return F.struct(F.when(bad, 0.0).otherwise(score).alias("score"), F.when(bad, none()).otherwise(found).alias("findings"), error.alias("error"), F.when(~bad, claims).alias("claims"))
+
+
+#: The question to a judge model, in our words, and what stands before the answer.
+ASK = "Compare the answer with the source. Reply in JSON with faithful, confidence and hallucinations (claim, issue, severity).\n\nSource:\n"
+ANSWER = "\n\nAnswer:\n"
 
 
 def judge_prompt(context: Column, text: Column) -> Column:
-    """The question to a judge model, in our words; both texts are cut to 4000 characters."""
-    ask = "Compare the answer with the source. Reply in JSON with faithful, confidence and hallucinations (claim, issue, severity).\n\nSource:\n"
-    return F.concat(F.lit(ask), F.substring(F.coalesce(context, F.lit("")), 1, 4000), F.lit("\n\nAnswer:\n"), F.substring(text, 1, 4000))
+    """The question to a judge model; both texts are cut to 4000 characters."""
+    return F.concat(F.lit(ASK), F.substring(F.coalesce(context, F.lit("")), 1, 4000), F.lit(ANSWER), F.substring(text, 1, 4000))
 
 
 def hallucination_simple(text: Column, context: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textward.functions.spans import let, top_score
+from textward.functions.spans import count, let, top_score
 from textward.operators import scanners as S
 from textward.plans.config import Config
 from textward.sources import catalogs as C
@@ -40,7 +41,7 @@ def scanned(scanner: str, text: Column, config: Config, context: Column | None =
         return let(S.toxicity(text, models.get(scanner)), lambda x: pair(x["score"], x["findings"]))
     if scanner == "hallucination":
         none = F.lit(None).cast("string")
-        return S.judged(none if context is None else context, none if judge is None else judge)
+        return let(S.judged(none if context is None else context, none if judge is None else judge), lambda x: pair(x["score"], x["findings"]))
     if scanner in S.registered:
         return S.registered[scanner][2](text)
     raise ValueError(f"unknown scanner {scanner!r}")
@@ -50,20 +51,32 @@ def critical(findings: Column) -> Column:
     return F.exists(findings, lambda x: x["severity"] == "critical")
 
 
-def scan(df: DataFrame, text: str = "text", direction: str = "input", config: Config | None = None, context: str | None = None, judge: str | None = None, checks: list[str] | None = None, models: dict[str, Column] | None = None, out: str = "scan") -> DataFrame:
-    """Adds a struct: blocked, risk_score, checks (a map, without those that weren't run), findings, reasons, sanitized_text.
+def scan(df: DataFrame, text: str = "text", direction: str = "input", config: Config | None = None, context: str | None = None, judge: str | Callable | None = None, checks: list[str] | None = None, models: dict[str, Column | Callable] | None = None, out: str = "scan") -> DataFrame:
+    """Adds a struct: blocked, risk_score, checks (a map, without those that weren't run), findings, reasons, sanitized_text, has_critical.
 
     A check passes if its score is below its threshold. With early exit a critical finding in a tier keeps later tiers
     from running. Null texts are scanned as empty. Only answers (direction output) are redacted.
+
+    ``models``: for injection a probability, for toxicity the labels' probabilities, as columns, or as functions of a
+    column of texts (:mod:`textward.operators.models`), which get null where early exit has stopped. ``judge``: a column
+    of JSON answers, or a function of a column of prompts, which gets null there and where there is no context.
     """
     config = config or Config()
     col = F.coalesce(F.col(text), F.lit(""))
     plan = planned(config, direction, checks)
-    ctx, payload = (F.col(c) if c else None for c in (context, judge))
-    names, stopped, given = [], F.lit(False), set(df.columns)
+    ctx = F.col(context) if context else None
+    names, stopped, given, models = [], F.lit(False), set(df.columns), dict(models or {})
     for tier in TIERS:
         own = [i for i, t in plan if t == tier]
         for i in own:
+            # a Python scorer's column is made before the expressions that read it, and not fed where it needn't run
+            if i in models and not isinstance(models[i], Column):
+                df = df.withColumn(f"_{out}_model_{i}", models[i](F.when(~stopped, col)))
+                models[i] = F.col(f"_{out}_model_{i}")
+            payload = F.col(judge) if isinstance(judge, str) else None
+            if i == "hallucination" and callable(judge) and ctx is not None:
+                df = df.withColumn(f"_{out}_judge", judge(F.when(~stopped & (ctx != ""), S.judge_prompt(ctx, col))))
+                payload = F.col(f"_{out}_judge")
             x = scanned(i, col, config, ctx, payload, models)
             name = f"_{out}_{i}"
             result = let(x, lambda r: F.struct((F.coalesce(r["score"], F.lit(0.0)) < config.threshold(i)).alias("passed"), F.coalesce(r["score"], F.lit(0.0)).alias("score"), r["findings"].alias("findings")))
@@ -82,7 +95,7 @@ def scan(df: DataFrame, text: str = "text", direction: str = "input", config: Co
     clean = F.col(text)
     if direction == "output" and config.redaction and any(i == "pii" for i, _ in cols):
         clean = F.when(F.size(F.col(f"_{out}_pii")["findings"]) > 0, S.pii_redacted(col, config.style)).otherwise(F.col(text))
-    df = df.withColumn(out, F.struct(blocked.alias("blocked"), risk.alias("risk_score"), F.map_from_entries(entries).alias("checks"), found.alias("findings"), reasons.alias("reasons"), clean.alias("sanitized_text")))
+    df = df.withColumn(out, F.struct(blocked.alias("blocked"), risk.alias("risk_score"), F.map_from_entries(entries).alias("checks"), found.alias("findings"), reasons.alias("reasons"), clean.alias("sanitized_text"), F.coalesce(critical(found), F.lit(False)).alias("has_critical")))
     return df.drop(*(set(df.columns) - given - {out}))
 
 
@@ -93,17 +106,22 @@ def verdict(df: DataFrame, text: str = "text", direction: str = "input", config:
     """
     config = config or Config()
     col = F.coalesce(F.col(text), F.lit(""))
-    plan, stopped, ran, given = planned(config, direction, checks), F.lit(False), [], df.columns
+    plan, stopped, ran, grave, given = planned(config, direction, checks), F.lit(False), [], {}, df.columns
     for tier in TIERS:
         own = [i for i, t in plan if t == tier]
         for i in own:
             rows = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}.get(i)
-            score = top_score(col, rows) if rows else scanned(i, col, config)["score"]
+            if i in S.registered:  # its findings say what is critical, not its score
+                df = df.withColumn(f"_v_of_{i}", F.when(~stopped, scanned(i, col, config)))
+                score, grave[i] = F.col(f"_v_of_{i}")["score"], critical(F.col(f"_v_of_{i}")["findings"])
+            else:
+                score = top_score(col, rows) if rows else scanned(i, col, config)["score"]
+                # a scanner of phrases has one finding, critical from 0.9 on; patterns' critical findings score 0.95
+                grave[i] = F.col(f"_v_{i}") >= 0.9
             df = df.withColumn(f"_v_{i}", F.when(~stopped, score))
             ran.append(i)
         if own and config.early_exit:
-            # a scanner of phrases has one finding, critical from 0.9 on; patterns' critical findings score 0.95
-            df = df.withColumn(f"_v_stop_{tier}", reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_v_{i}") >= 0.9, F.lit(False)) for i in own], stopped))
+            df = df.withColumn(f"_v_stop_{tier}", reduce(lambda a, b: a | b, [F.coalesce(grave[i], F.lit(False)) for i in own], stopped))
             stopped = F.col(f"_v_stop_{tier}")
     if not ran:
         return df.withColumns({"blocked": F.lit(False), "risk_score": F.lit(0.0), "checks_run": F.lit("")})
@@ -141,11 +159,23 @@ def scan_pairs(df: DataFrame, input_text: str = "input_text", output_text: str =
     return df.withColumns({"blocked": blocked, "block_reason": F.when(blocked, F.array_join(parts, "; "))})
 
 
-def test_scanner(df: DataFrame, scanner: str, text: str = "text", config: Config | None = None) -> DataFrame:
-    """One scanner alone, whatever its direction: scanner, score, threshold, detected (above the threshold), findings."""
+def test_scanner(df: DataFrame, scanner: str, text: str = "text", config: Config | None = None, context: str | None = None, judge: str | None = None, models: dict[str, Column] | None = None) -> DataFrame:
+    """One scanner alone, whatever its direction: scanner, score, threshold, detected (above the threshold), findings, metadata.
+
+    metadata is JSON of what else the scanner tells: matched phrases, toxicity's types, a judge's whole claims, or the error
+    for which it couldn't run. ``hallucination`` takes ``context`` and a column of a judge's JSON.
+    """
     config = config or Config()
-    x = scanned(scanner, F.coalesce(F.col(text), F.lit("")), config)
-    return df.withColumn("_x", x).withColumns({"scanner": F.lit(scanner), "score": F.col("_x.score"), "threshold": F.lit(config.threshold(scanner)), "detected": F.col("_x.score") > config.threshold(scanner), "findings": F.col("_x.findings")}).drop("_x")
+    col, none = F.coalesce(F.col(text), F.lit("")), F.lit(None).cast("string")
+    more = {
+        "injection": lambda: S.injection(col, (models or {}).get(scanner)), "toxicity": lambda: S.toxicity(col, (models or {}).get(scanner)),
+        "hallucination": lambda: S.judged(F.col(context) if context else none, F.col(judge) if judge else none),
+    }
+    x = more[scanner]() if scanner in more else scanned(scanner, col, config)
+    df = df.withColumn("_x", x)
+    told = [f for f in df.schema["_x"].dataType.names if f not in ("score", "findings")]
+    metadata = F.to_json(F.struct(*(F.col(f"_x.{f}").alias(f) for f in told))) if told else F.lit("{}")
+    return df.withColumns({"scanner": F.lit(scanner), "score": F.col("_x.score"), "threshold": F.lit(config.threshold(scanner)), "detected": F.col("_x.score") > config.threshold(scanner), "findings": F.col("_x.findings"), "metadata": metadata}).drop("_x")
 
 
 def findings_table(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = ("pii", "code_injection", "secrets"), style: str = "full") -> DataFrame:
@@ -154,3 +184,23 @@ def findings_table(df: DataFrame, key: str, text: str = "text", kinds: tuple[str
     of = {"pii": lambda: S.pii_findings(col, style), "code_injection": lambda: S.code_findings(col), "secrets": lambda: S.secret_findings(col)}
     rows = F.concat(*(F.transform(of[k](), lambda f: F.struct(F.lit(k).alias("scanner"), f.alias("f"))) for k in kinds))
     return df.select(key, F.explode(rows).alias("x")).select(key, "x.scanner", "x.f.*")
+
+
+def findings_by_type(df: DataFrame, key: str, text: str = "text", kind: str = "pii") -> DataFrame:
+    """type, severity, category, n, n_docs: how many findings of each type, and in how many rows, whose ``key`` is their own.
+
+    Counts what :func:`findings_table` lists, with no spans made and one shuffle of a row for each type and task.
+    """
+    rows = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}[kind]
+    each = F.array(*(F.struct(F.lit(i).alias("type"), F.lit(s).alias("severity"), F.lit(i if kind == "pii" else c).alias("category"), count(F.col(text), p).cast("long").alias("n")) for i, p, s, c in rows))
+    return df.select(key, F.explode(each).alias("x")).filter("x.n > 0").groupBy("x.type", "x.severity", "x.category").agg(F.sum("x.n").alias("n"), F.count("*").alias("n_docs"))
+
+
+def verdict_both(df: DataFrame, direction: str, text: str = "text", config: Config | None = None) -> DataFrame:
+    """As :func:`verdict` for a table of inputs and outputs, told apart by a column that says input or output.
+
+    Rows of another direction, or none, aren't scanned: they have nulls.
+    """
+    sides = [verdict(df.filter(F.col(direction) == d), text, d, config) for d in ("input", "output")]
+    rest = df.filter(~F.coalesce(F.col(direction).isin("input", "output"), F.lit(False)))
+    return sides[0].unionByName(sides[1]).unionByName(rest.withColumns({"blocked": F.lit(None).cast("boolean"), "risk_score": F.lit(None).cast("double"), "checks_run": F.lit(None).cast("string")}))
