@@ -19,6 +19,8 @@ PERCENT = 75
 WORDS = 5
 #: Bytes of sets that a task holds of a star while others are held against them.
 BLOCK = 256 << 10
+#: What a set takes in a block besides its hashes.
+SET = 512
 
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -323,7 +325,7 @@ def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         # a star of two documents that were compared above is done
         two = star.groupBy("centre").agg(F.count("*").alias("k"), F.max("doc_id").alias("b")).filter("k = 2").join(pairs.withColumnRenamed("a", "centre"), ["centre", "b"]).select("centre")
         rest = parted(star.join(common.materialize(two, "compared"), "centre", "left_anti"))
-        size = rest.join(member.select("doc_id", "n_shingles"), "doc_id").groupBy("centre").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / block).cast("int").alias("pieces"))
+        size = rest.join(member.select("doc_id", "n_shingles"), "doc_id").groupBy("centre").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + SET) / block).cast("int").alias("pieces"))
         size = common.materialize(size, "sizes")
         rest = common.materialize(rest.join(size, "centre").withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int")), "members")
 
