@@ -133,6 +133,42 @@ def test_sentencepiece_queries(spark, odd, empty):
     assert sorted(r.text for r in back) == sorted(r[1] or "" for r in ODD)
 
 
+def test_ids_of_the_documents_table(spark, sf):
+    """The queries of op1 and op3 against the libraries, over the whole table."""
+    spm = pytest.importorskip("sentencepiece")
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    k = spm.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in queries.op1_sentencepiece(spark, sf).collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        ids = k.encode(text)
+        r = got[doc_id]
+        assert (r.n_pieces, r.ids_crc32, r.text_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(k.decode(ids).encode())), doc_id
+    e, at, rows = _coder("word_bpe_49k.json"), 0, []
+    for doc_id, text in texts:
+        ids = np.array([*e.tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op3_token_files(spark, sf).collect()) == rows
+
+
+def test_languages_against_plain_arithmetic(spark, sf):
+    """Predictions and scores by the formulas, from the fitted weights and n-grams counted in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(langid.split(docs))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        n = collections.Counter(int(g) for g in langid.grams(np.array([ord(c) for c in r.text.lower()])))
+        x = {g: (1 + np.log(c)) * model.idf[g] for g, c in n.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = sum(v / norm * model.w[g] for g, v in x.items()) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id][0] == model.classes[int(p.argmax())] and got[r.doc_id][1] == pytest.approx(float(p.max()))
+
+
 def test_token_files(spark, odd, empty):
     path = public.path("word_bpe_49k.json")
     got = tokenids.read(tokenids.write(odd, common.new_dir(spark, "t"), path, parts=3)).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common
-from .common import table
+from .common import spread, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,13 +15,13 @@ def vocabulary(name: str) -> str:
 def op1_sentencepiece(spark, sf_dir):
     from . import sentencepiece
 
-    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return sentencepiece.round_trip(spread(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_html_text(spark, sf_dir):
     from . import htmltext
 
-    return htmltext.extract(table(spark, sf_dir, "pages"))
+    return htmltext.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_token_files(spark, sf_dir):
@@ -40,7 +40,7 @@ def op4_packing(spark, sf_dir):
 def op5_quality_rules(spark, sf_dir):
     from . import quality
 
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op6_warc(spark, sf_dir):
@@ -59,19 +59,19 @@ def op7_hilbert_neighbours(spark, sf_dir):
 def op8_language_id(spark, sf_dir):
     from . import langid
 
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_near_duplicates(spark, sf_dir):
     from . import neardup
 
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_line_dedup(spark, sf_dir):
     from . import linededup
 
-    return linededup.remove(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return linededup.remove(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def queries() -> dict:

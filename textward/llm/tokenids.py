@@ -23,8 +23,8 @@ def write(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int | None = 1
 
     Null and empty texts give no ids but ``end_id`` (null: none is appended). Rows are ordered by doc_id, nulls first,
     then by text; equal rows are kept, each as a document. An empty table gives no file. Other columns are ignored.
-    Equal doc_ids spread over ranges by their text's hash, so no id can fill a task; a range's file is written under an
-    attempt's own name and moved into place, so a task may run again.
+    Equal doc_ids spread over ranges by their text's hash, so a doc_id fills no task; only rows that are equal in both lie in
+    one range. A range's file is written under an attempt's own name and moved into place, so a task may run again.
     """
     rows = common.columns(docs, doc_id="long", text="string").withColumn("_h", F.xxhash64("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
