@@ -47,13 +47,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("packing", pack)]
 
-#: SQL has no tokenizer and no such classifier; the tests hold each stage against a brute-force version.
+#: SQL has no tokenizer and no such classifier; test_pipeline holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each to what the one before has written."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``, each to what the one before has written, which then goes."""
+    docs, before = common.spread(common.table(spark, sf_dir, "documents")), None
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
