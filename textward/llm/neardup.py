@@ -177,6 +177,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, g in zip(a, good, strict=True) if g], pa.int64()), "b": pa.array([v for v, g in zip(b, good, strict=True) if g], pa.int64())})
+        common.tidy()
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
@@ -247,6 +248,8 @@ def block_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                     open_ = False
                 found += block.links(doc_id, c, s)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        block = None
+        common.tidy()
 
     with common.batches(rows.sparkSession, 1000):
         dealt = rows.select("centre", "piece", "asks", "doc_id", "c", "s").repartition("centre", "piece").sortWithinPartitions("centre", "piece", "asks")

@@ -49,7 +49,7 @@ def balance(lengths: list[int], bins: int, size: int) -> list[list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, group: int = 512, kept: int = 1_200_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, group: int = 512, kept: int = 1_200_000, chunk: int = 6 << 20) -> DataFrame:
     """Sequences of at most ``size`` tokens from all documents; one row for each piece, every id in exactly one.
 
     Null and empty texts are a document of ``end_id`` alone. A document is cut into full sequences and a rest; the rests
@@ -57,7 +57,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, gr
     is carried to the next one, so only the last sequence of a partition is short. Rows are packed where they lie: no
     shuffle, memory for one group. sequence_id is the partition's number times 2**40 plus a count. Equal doc_ids or rows
     are packed each on their own; an empty table gives no rows; other columns are ignored. ``kept`` bounds the words whose
-    ids a worker remembers: more of them cost memory, fewer cost time, the rows are the same.
+    ids a worker remembers, ``chunk`` the bytes of text encoded at once: more cost memory, fewer cost time, the rows are
+    the same.
     """
     end = int(end_id).to_bytes(4, "little")
 
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, gr
             count += bins
             held, n_held = kept, sum(len(h[2]) // 4 for h in kept)
 
-        for chunk in encoded(batches, vocabulary, kept, 6 << 20):
+        for chunk in encoded(batches, vocabulary, kept, chunk):
             for doc_id, ids in zip(*chunk, strict=True):
                 ids += end
                 total = len(ids) // 4
