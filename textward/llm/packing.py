@@ -88,8 +88,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, gr
             count += bins
             held, n_held = kept, sum(len(h[2]) // 4 for h in kept)
 
-        for chunk in encoded(batches, vocabulary, kept, chunk):
-            for doc_id, ids in zip(*chunk, strict=True):
+        for found in encoded(batches, vocabulary, kept, chunk):
+            for doc_id, ids in zip(*found, strict=True):
                 ids += end
                 total = len(ids) // 4
                 full = total // size
