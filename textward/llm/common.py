@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The separators of the contracts' words: space and the five ASCII controls from tab to carriage return.
@@ -76,6 +77,17 @@ def scratch(spark: SparkSession):
             delete(spark, path)
 
 
+def numbered(df: DataFrame, *keys: str, name: str) -> DataFrame:
+    """``df`` with a running number from 0 in the keys' order: range-partitioned, counted by partition, no window over all rows."""
+    at, part = unused(df, "at", "part")
+    rows = df.repartitionByRange(*map(quoted, keys)).sortWithinPartitions(*map(quoted, keys)).withColumn(at, F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn(part, F.shiftright(at, 33)), "numbered")
+    # a row for each partition
+    sizes = rows.groupBy(part).agg(F.count("*").alias(name))
+    before = sizes.select(part, (F.sum(name).over(W.orderBy(part)) - F.col(name)).alias(name))
+    return rows.join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part)
+
+
 def few(written: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written narrow table, to be broadcast if its rows are no more than this, else to be joined by a shuffle."""
     return F.broadcast(written) if written.count() <= rows else written

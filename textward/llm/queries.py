@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import common
 from .common import spread, table
 
@@ -74,11 +76,33 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.remove(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    from . import fim
+
+    out = fim.transform(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fim.restored(F.col("output"), F.col("form")), 256)}
+    return out.withColumns(digest).select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op12_curriculum_mix(spark, sf_dir):
+    from . import mixing
+
+    rows = mixing.planned(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), keep=("doc_id",))
+    rows = rows.select("doc.doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 9).alias("first_position"))
+    return mixing.in_order(rows, "first_position", "doc_id")
+
+
+def op13_source_divergence(spark, sf_dir):
+    from . import divergence
+
+    return divergence.report(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, neardup, quality, warc
+    from . import divergence, fim, linededup, mixing, neardup, quality, warc
 
-    return {"op5_quality_rules": quality.oracle(), "op6_warc": warc.oracle(), "op9_near_duplicates": neardup.oracle(), "op10_line_dedup": linededup.oracle()}
+    return {"op5_quality_rules": quality.oracle(), "op6_warc": warc.oracle(), "op9_near_duplicates": neardup.oracle(), "op10_line_dedup": linededup.oracle(), "op11_fill_in_middle": fim.oracle(), "op12_curriculum_mix": mixing.oracle(), "op13_source_divergence": divergence.oracle()}
