@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from textward.functions import sql as sql_functions
-from textward.functions.spans import cut, hit, top_score
+from textward.functions.prefilter import n_tests, prefilter
+from textward.functions.spans import cut, flags, top_score
 from textward.operators import models, redactor, scanners, screen
 from textward.plans import config as conf
 from textward.plans import guard
@@ -109,6 +110,18 @@ CASES = "case_id string, text string"
 
 # ---- personal data
 
+def _tests_sql(rows: list[tuple]) -> str:
+    made = prefilter([r[1] for r in rows])
+    return " + ".join(f"({made.sql('text', i)})::int" for i in range(len(rows)))
+
+
+@query("select doc_id, " + ", ".join(f"({_tests_sql(r)})::bigint as n_{k}" for k, r in (("pii", C.PII), ("code", C.CODE), ("secrets", C.SECRETS))) + " from (select doc_id, coalesce(text, '') as text from documents)")
+def pattern_tests(spark, sf_dir):
+    """How many patterns of each catalog read a document: those whose literals it holds."""
+    each = {f"n_{k}": n_tests(F.col("text"), [r[1] for r in rows]) for k, rows in (("pii", C.PII), ("code", C.CODE), ("secrets", C.SECRETS))}
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *(c.alias(n) for n, c in each.items()))
+
+
 @query(f"select doc_id, score, score >= 0.6 as blocked from (select doc_id, {score_sql('text', C.PII)} as score from documents)")
 def pii_score_block(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", top_score(F.col("text"), C.PII).alias("score")).withColumn("blocked", F.col("score") >= 0.6)
@@ -116,7 +129,7 @@ def pii_score_block(spark, sf_dir):
 
 @query("select doc_id, " + ", ".join(f"{matches('text', p)} as {i}" for i, p, *_ in C.PII) + " from documents")
 def pii_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *(hit(F.col("text"), p).alias(i) for i, p, *_ in C.PII))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", flags(F.col("text"), C.PII).alias("x")).select("doc_id", "x.*")
 
 
 @query(f"select type, severity, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by all")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textward.functions.prefilter import guarded
 from textward.sources.catalogs import SEVERITY
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -49,14 +50,52 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def top_score(text: Column, rows: list[tuple]) -> Column:
-    """The score of the gravest pattern that matches, 0 if none. A pattern is tried only if no graver one has matched."""
-    by: dict[float, list[str]] = {}
-    for _, p, severity, *_ in rows:
-        by.setdefault(SEVERITY.get(severity, 0.5), []).append(p)
-    out = F.lit(0.0)
-    for score in sorted(by):
-        out = F.when(reduce(lambda a, b: a | b, [hit(text, p) for p in by[score]]), F.lit(score)).otherwise(out)
-    return out
+    """The score of the gravest pattern that matches, 0 if none.
+
+    A pattern reads the text only if the text holds what it needs, and no graver one has matched.
+    """
+
+    def build(may):
+        by: dict[float, list[Column]] = {}
+        for i, (_, p, severity, *_) in enumerate(rows):
+            by.setdefault(SEVERITY.get(severity, 0.5), []).append(may(i) & hit(text, p))
+        out = F.lit(0.0)
+        for score in sorted(by):
+            out = F.when(reduce(lambda a, b: a | b, by[score]), F.lit(score)).otherwise(out)
+        return out
+
+    return guarded(text, [r[1] for r in rows], build)
+
+
+def flags(text: Column, rows: list[tuple]) -> Column:
+    """A struct of booleans: for each pattern's id whether it matches."""
+    return guarded(text, [r[1] for r in rows], lambda may: F.struct(*((may(i) & hit(text, r[1])).alias(r[0]) for i, r in enumerate(rows))))
+
+
+FOUND = "array<struct<ord:int,start:int,end:int,value:string>>"
+
+
+def found(text: Column, rows: list[tuple]) -> Column:
+    """All matches of a catalog, in its order: the pattern's place in it, [start, end) in code points, and what matched."""
+    none = F.array().cast(FOUND)
+    one = lambda i, p: F.transform(spans(text, p), lambda x: F.struct(F.lit(i).alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return guarded(text, [r[1] for r in rows], lambda may: F.concat(*(F.when(may(i), one(i, r[1])).otherwise(none) for i, r in enumerate(rows))))
+
+
+def counts(text: Column, rows: list[tuple]) -> Column:
+    """array<bigint>: how many matches each pattern has, without their spans."""
+    return guarded(text, [r[1] for r in rows], lambda may: F.array(*(F.when(may(i), count(text, r[1])).otherwise(0).cast("long") for i, r in enumerate(rows))))
+
+
+def score_of(found: Column, rows: list[tuple]) -> Column:
+    """What :func:`top_score` gives, from all matches."""
+    scores = F.array(*(F.lit(SEVERITY.get(r[2], 0.5)) for r in rows))
+    return F.coalesce(F.array_max(F.transform(found, lambda x: F.get(scores, x["ord"]))), F.lit(0.0))
+
+
+def field(rows: list[tuple], k: int, ord_: Column) -> Column:
+    """A field of the catalog's row of a match."""
+    return F.get(F.array(*(F.lit(r[k]) for r in rows)), ord_)
 
 
 def splice(text: Column, found: Column) -> Column:

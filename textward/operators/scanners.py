@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textward.functions.spans import cut, hit, let, masked, spans, splice, top_score
+from textward.functions.prefilter import guarded
+from textward.functions.spans import cut, field, found, hit, let, masked, score_of, splice
 from textward.sources import catalogs as C
 
 FINDING = "struct<type:string,value:string,start:int,end:int,severity:string,confidence:double,detail:string>"
@@ -22,21 +24,49 @@ def none() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
 
+def masked_value(value: Column, ord_: Column, style: str, rows: list[tuple]) -> Column:
+    """A match's value under a style, by its pattern's template."""
+    if style != "partial":
+        return masked(value, style, "")
+    by: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        by.setdefault(r[3], []).append(i)
+    case = None
+    for t, own in by.items():
+        case = (F if case is None else case).when(ord_.isin(own), masked(value, style, t))
+    return case
+
+
+def pii_of(hits: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
+    """The findings of matches; the value is redacted."""
+    return F.transform(hits, lambda x: finding(field(rows, 0, x["ord"]), masked_value(x["value"], x["ord"], style, rows), x["start"], x["end"], field(rows, 2, x["ord"]), 0.9, field(rows, 0, x["ord"])))
+
+
+def redacted_by(text: Column, hits: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
+    """The text with all matches replaced; as it is without any."""
+    new = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["ord"].alias("ord"), masked_value(x["value"], x["ord"], style, rows).alias("new")))
+    return F.when(F.size(hits) == 0, text).otherwise(splice(text, new))
+
+
 def pii_findings(text: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
     """All matches in catalog order; the value is redacted."""
-    return F.concat(*(F.transform(spans(text, p), lambda x: finding(i, masked(x["value"], style, t), x["start"], x["end"], s, 0.9, i)) for i, p, s, t in rows))
+    return let(found(text, rows), lambda hits: pii_of(hits, style, rows))
 
 
 def pii_redacted(text: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
     """The text with all matches replaced; as it is without any."""
-    found = F.concat(*(F.transform(spans(text, p), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("ord"), masked(x["value"], style, t).alias("new"))) for i, (_, p, _, t) in enumerate(rows)))
-    return let(found, lambda f: F.when(F.size(f) == 0, text).otherwise(splice(text, f)))
+    return let(found(text, rows), lambda hits: redacted_by(text, hits, style, rows))
 
 
-def matched_findings(text: Column, rows: list[tuple], confidence: float, mask: bool = False) -> Column:
-    """All matches of a catalog with categories; the value is cut to 100 characters, or masked."""
+def matched_of(hits: Column, rows: list[tuple], confidence: float, mask: bool = False) -> Column:
+    """The findings of matches of a catalog with categories; the value is cut to 100 characters, or masked."""
     show = (lambda v: F.concat(F.substring(v, 1, 4), F.lit("***"))) if mask else (lambda v: cut(v, 100))
-    return F.concat(*(F.transform(spans(text, p), lambda x: finding(i, show(x["value"]), x["start"], x["end"], s, confidence, c)) for i, p, s, c in rows))
+    return F.transform(hits, lambda x: finding(field(rows, 0, x["ord"]), show(x["value"]), x["start"], x["end"], field(rows, 2, x["ord"]), confidence, field(rows, 3, x["ord"])))
+
+
+def matched_findings(text: Column, rows: list[tuple], confidence: float, mask: bool = False) -> Column:
+    """All matches of a catalog with categories, in its order."""
+    return let(found(text, rows), lambda hits: matched_of(hits, rows, confidence, mask))
 
 
 def code_findings(text: Column, rows: list[tuple] = C.CODE) -> Column:
@@ -49,10 +79,14 @@ def secret_findings(text: Column, rows: list[tuple] = C.SECRETS) -> Column:
 
 def categories(text: Column, rows: list[tuple] = C.CODE) -> Column:
     """The categories that match, sorted."""
-    by: dict[str, Column] = {}
-    for _, p, _, c in rows:
-        by[c] = by[c] | hit(text, p) if c in by else hit(text, p)
-    return F.filter(F.array(*(F.when(by[c], F.lit(c)) for c in sorted(by))), lambda x: x.isNotNull())
+
+    def build(may):
+        by: dict[str, list[Column]] = {}
+        for i, (_, p, _, c) in enumerate(rows):
+            by.setdefault(c, []).append(may(i) & hit(text, p))
+        return F.filter(F.array(*(F.when(reduce(lambda a, b: a | b, by[c]), F.lit(c)) for c in sorted(by))), lambda x: x.isNotNull())
+
+    return guarded(text, [r[1] for r in rows], build)
 
 
 def phrases(text: Column, listed: list[str]) -> Column:
@@ -112,8 +146,8 @@ def toxicity(text: Column, labels: Column | None = None) -> Column:
             more = F.filter(named, lambda x: (x["p"] > 0.7) & (x["label"] != best))
             extra = F.transform(more, lambda x: finding(x["label"], F.concat(F.lit("Detected "), F.replace(x["label"], F.lit("_"), F.lit(" "))), 0, F.length(text), F.when(x["p"] > 0.9, "critical").otherwise("high"), x["p"], x["label"]))
         one = F.array(finding(primary, cut(text, 100), 0, F.length(text), grade(score), score, F.array_join(m, "|")))
-        found = F.when(score > 0.3, F.concat(one, extra)).otherwise(none())
-        return F.struct(score.alias("score"), found.alias("findings"), m.alias("matched"), primary.alias("primary"), F.when(score > 0.3, types).alias("types"))
+        listed = F.when(score > 0.3, F.concat(one, extra)).otherwise(none())
+        return F.struct(score.alias("score"), listed.alias("findings"), m.alias("matched"), primary.alias("primary"), F.when(score > 0.3, types).alias("types"))
 
     return let(phrases(text, C.TOXIC), build)
 
@@ -133,12 +167,12 @@ def judged(context: Column, payload: Column) -> Column:
     level = lambda x: F.when(F.lower(x["severity"]).isin("low", "medium", "high", "critical"), F.lower(x["severity"])).otherwise("medium")
     listed = F.coalesce(j["hallucinations"], F.array().cast("array<struct<claim:string,issue:string,severity:string>>"))
     claim, issue = (lambda x: F.coalesce(x["claim"], F.lit("Unknown claim"))), (lambda x: F.coalesce(x["issue"], F.lit("Unknown issue")))
-    found = F.transform(listed, lambda x: finding("hallucination", cut(claim(x), 200), 0, 0, level(x), sure, issue(x)))
+    claimed = F.transform(listed, lambda x: finding("hallucination", cut(claim(x), 200), 0, 0, level(x), sure, issue(x)))
     claims = F.transform(listed, lambda x: F.struct(claim(x).alias("claim"), issue(x).alias("issue")))
     # a judge whose numbers are out of range has failed: the check passes
     error = F.when(context.isNull() | (context == ""), "no context").when(payload.isNull(), "no answer of a judge").when(~sure.between(0.0, 1.0), "confidence out of range")
     bad = error.isNotNull()
-    return F.struct(F.when(bad, 0.0).otherwise(score).alias("score"), F.when(bad, none()).otherwise(found).alias("findings"), error.alias("error"), F.when(~bad, claims).alias("claims"))
+    return F.struct(F.when(bad, 0.0).otherwise(score).alias("score"), F.when(bad, none()).otherwise(claimed).alias("findings"), error.alias("error"), F.when(~bad, claims).alias("claims"))
 
 
 #: The question to a judge model, in our words, and what stands before the answer.
@@ -200,4 +234,4 @@ def register_scanner(name: str, build: Callable[[Column], Column], tier: str = "
 def register_patterns(name: str, rows: list[tuple], tier: str = "fast", direction: str = "both", confidence: float = 0.9) -> None:
     """A scanner of a catalog of one's own: rows of (id, pattern, severity, category). Patterns that don't compile are left out."""
     good = C.valid(rows)
-    register_scanner(name, lambda text: F.struct(top_score(text, good).alias("score"), matched_findings(text, good, confidence).alias("findings")), tier, direction)
+    register_scanner(name, lambda text: let(found(text, good), lambda hits: F.struct(score_of(hits, good).alias("score"), matched_of(hits, good, confidence).alias("findings"))), tier, direction)

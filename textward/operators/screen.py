@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textward.functions.columns import col as col_of
+from textward.functions.columns import others, unused
+from textward.functions.prefilter import guarded
 from textward.functions.spans import hit, java
 from textward.sources.catalogs import SCREEN
 
@@ -18,12 +21,13 @@ def pattern(p: str, ignore_case: bool) -> str:
 def threats(text: Column) -> Column:
     """The patterns' threats in order; what the first match shows is its first four characters."""
 
-    def one(name, p, level):
+    def one(may, name, p, level):
         m = F.regexp_extract(text, java(p), 0)
         shown = F.when(F.length(m) > 4, F.concat(F.substring(m, 1, 4), F.lit("***"))).otherwise(F.lit("***"))
-        return F.when(hit(text, p), F.struct(F.lit(f"pii_{name}").alias("type"), F.lit(1.0).alias("confidence"), F.lit(level).alias("level"), shown.alias("matched")))
+        return F.when(may & hit(text, p), F.struct(F.lit(f"pii_{name}").alias("type"), F.lit(1.0).alias("confidence"), F.lit(level).alias("level"), shown.alias("matched")))
 
-    return F.filter(F.array(*(one(n, pattern(p, i), lv) for n, p, i, lv in SCREEN)), lambda x: x.isNotNull())
+    rows = [(n, pattern(p, i), lv) for n, p, i, lv in SCREEN]
+    return guarded(text, [r[1] for r in rows], lambda may: F.filter(F.array(*(one(may(i), *r) for i, r in enumerate(rows))), lambda x: x.isNotNull()))
 
 
 def model_threat(kind: str, score: Column, threshold: float) -> Column:
@@ -33,15 +37,20 @@ def model_threat(kind: str, score: Column, threshold: float) -> Column:
 
 
 def screen(df: DataFrame, text: str = "text", injection: Column | None = None, harmful: Column | None = None, injection_threshold: float = 0.5, harmful_threshold: float = 0.5, block_threshold: float = 0.7, pii: bool = True, out: str = "screen") -> DataFrame:
-    """Adds a struct: blocked, risk_score (the largest confidence), threats, scanners_used. Null texts are screened as empty."""
+    """Adds a struct: blocked, risk_score (the largest confidence), threats, scanners_used. Null texts are screened as empty.
+
+    A column named as ``out`` is replaced, all others stay.
+    """
     col = F.coalesce(F.col(text), F.lit(""))
     models = [(k, s, t) for k, s, t in (("prompt_injection", injection, injection_threshold), ("harmful_content", harmful, harmful_threshold)) if s is not None]
     found = F.filter(F.array(*(model_threat(*m) for m in models)), lambda x: x.isNotNull()) if models else F.array().cast(f"array<{THREAT}>")
     if pii:
         found = F.concat(found, threats(col))
     used = [k for k, _, _ in models] + ["pii_detection"] * pii
-    df = df.withColumn("_t", found)
-    risk = F.greatest(F.coalesce(F.array_max(F.transform("_t", lambda x: x["confidence"])), F.lit(0.0)), *(F.coalesce(s, F.lit(0.0)) for _, s, _ in models)) if models else F.coalesce(F.array_max(F.transform("_t", lambda x: x["confidence"])), F.lit(0.0))
-    blocked = (risk >= block_threshold) | F.exists("_t", lambda x: x["level"].isin("high", "critical"))
+    name, given = unused(df, "_t")[0], others(df, out)
+    df, t = df.withColumn(name, found), col_of(name)
+    most = F.coalesce(F.array_max(F.transform(t, lambda x: x["confidence"])), F.lit(0.0))
+    risk = F.greatest(most, *(F.coalesce(s, F.lit(0.0)) for _, s, _ in models)) if models else most
+    blocked = (risk >= block_threshold) | F.exists(t, lambda x: x["level"].isin("high", "critical"))
     listed = F.array(*map(F.lit, used)) if used else F.array().cast("array<string>")
-    return df.withColumn(out, F.struct(blocked.alias("blocked"), risk.alias("risk_score"), F.col("_t").alias("threats"), listed.alias("scanners_used"))).drop("_t")
+    return df.select(*given, F.struct(blocked.alias("blocked"), risk.alias("risk_score"), t.alias("threats"), listed.alias("scanners_used")).alias(out))

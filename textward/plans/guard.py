@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textward.functions.spans import count, let, top_score
+from textward.functions.columns import col as column
+from textward.functions.columns import others, unused
+from textward.functions.spans import counts, found, let, score_of, top_score
 from textward.operators import scanners as S
 from textward.plans.config import Config
 from textward.sources import catalogs as C
@@ -25,16 +27,23 @@ def planned(config: Config, direction: str, checks: list[str] | None = None) ->
     return sorted(out, key=lambda x: TIERS.index(x[1]))
 
 
-def scanned(scanner: str, text: Column, config: Config, context: Column | None = None, judge: Column | None = None, models: dict[str, Column] | None = None) -> Column:
-    """struct(score, findings) of one scanner."""
+CATALOGS = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}
+
+
+def findings_of(scanner: str, hits: Column, style: str) -> Column:
+    """The findings of a catalog's matches."""
+    if scanner == "pii":
+        return S.pii_of(hits, style)
+    return S.matched_of(hits, C.CODE, 0.85) if scanner == "code_injection" else S.matched_of(hits, C.SECRETS, 0.9, mask=True)
+
+
+def scanned(scanner: str, text: Column, config: Config, context: Column | None = None, judge: Column | None = None, models: dict[str, Column] | None = None, hits: Column | None = None) -> Column:
+    """struct(score, findings) of one scanner; ``hits`` are a catalog's matches, if they are at hand."""
     models = models or {}
     pair = lambda s, f: F.struct(s.alias("score"), f.alias("findings"))
-    if scanner == "pii":
-        return pair(top_score(text, C.PII), S.pii_findings(text, config.style))
-    if scanner == "code_injection":
-        return pair(top_score(text, C.CODE), S.code_findings(text))
-    if scanner == "secrets":
-        return pair(top_score(text, C.SECRETS), S.secret_findings(text))
+    if scanner in CATALOGS:
+        build = lambda h: pair(score_of(h, CATALOGS[scanner]), findings_of(scanner, h, config.style))
+        return let(found(text, CATALOGS[scanner]), build) if hits is None else build(hits)
     if scanner == "injection":
         return let(S.injection(text, models.get(scanner)), lambda x: pair(x["score"], x["findings"]))
     if scanner == "toxicity":
@@ -60,75 +69,85 @@ def scan(df: DataFrame, text: str = "text", direction: str = "input", config: Co
     ``models``: for injection a probability, for toxicity the labels' probabilities, as columns, or as functions of a
     column of texts (:mod:`textward.operators.models`), which get null where early exit has stopped. ``judge``: a column
     of JSON answers, or a function of a column of prompts, which gets null there and where there is no context.
+
+    A catalog's matches are found once; score, findings and redaction are made of them. A column named as ``out`` is
+    replaced, all others stay.
     """
     config = config or Config()
     col = F.coalesce(F.col(text), F.lit(""))
     plan = planned(config, direction, checks)
     ctx = F.col(context) if context else None
-    names, stopped, given, models = [], F.lit(False), set(df.columns), dict(models or {})
+    names, stopped, given, models, hits = [], F.lit(False), others(df, out), dict(models or {}), None
+    added = lambda d, name: unused(d, f"_{out}_{name}")[0]
+    redacts = direction == "output" and config.redaction
     for tier in TIERS:
         own = [i for i, t in plan if t == tier]
         for i in own:
             # a Python scorer's column is made before the expressions that read it, and not fed where it needn't run
             if i in models and not isinstance(models[i], Column):
-                df = df.withColumn(f"_{out}_model_{i}", models[i](F.when(~stopped, col)))
-                models[i] = F.col(f"_{out}_model_{i}")
+                name = added(df, f"model_{i}")
+                df = df.withColumn(name, models[i](F.when(~stopped, col)))
+                models[i] = column(name)
             payload = F.col(judge) if isinstance(judge, str) else None
             if i == "hallucination" and callable(judge) and ctx is not None:
-                df = df.withColumn(f"_{out}_judge", judge(F.when(~stopped & (ctx != ""), S.judge_prompt(ctx, col))))
-                payload = F.col(f"_{out}_judge")
-            x = scanned(i, col, config, ctx, payload, models)
-            name = f"_{out}_{i}"
+                name = added(df, "judge")
+                df = df.withColumn(name, judge(F.when(~stopped & (ctx != ""), S.judge_prompt(ctx, col))))
+                payload = column(name)
+            if i == "pii" and redacts:
+                hits = added(df, "hits")
+                df = df.withColumn(hits, found(col, C.PII))
+            x = scanned(i, col, config, ctx, payload, models, column(hits) if i == "pii" and hits else None)
+            name = added(df, i)
             result = let(x, lambda r: F.struct((F.coalesce(r["score"], F.lit(0.0)) < config.threshold(i)).alias("passed"), F.coalesce(r["score"], F.lit(0.0)).alias("score"), r["findings"].alias("findings")))
             df = df.withColumn(name, F.when(~stopped, result).cast(CHECK) if config.early_exit else result.cast(CHECK))
             names.append((i, name))
         if own and config.early_exit:
-            flag = f"_{out}_stop_{tier}"
-            df = df.withColumn(flag, reduce(lambda a, b: a | b, [F.coalesce(critical(F.col(f"_{out}_{i}")["findings"]), F.lit(False)) for i in own], stopped))
-            stopped = F.col(flag)
-    cols = [(i, F.col(n)) for i, n in names]
+            flag = added(df, f"stop_{tier}")
+            df = df.withColumn(flag, reduce(lambda a, b: a | b, [F.coalesce(critical(column(n)["findings"]), F.lit(False)) for i, n in names if i in own], stopped))
+            stopped = column(flag)
+    cols = [(i, column(n)) for i, n in names]
     blocked = reduce(lambda a, b: a | b, [F.coalesce(~c["passed"], F.lit(False)) for _, c in cols], F.lit(False))
     risk = F.coalesce(F.greatest(*(c["score"] for _, c in cols), F.lit(0.0)), F.lit(0.0)) if cols else F.lit(0.0)
     entries = F.filter(F.array(*(F.struct(F.lit(i).alias("key"), c.alias("value")) for i, c in cols)), lambda e: e["value"].isNotNull()) if cols else F.array().cast(f"array<struct<key:string,value:{CHECK}>>")
-    found = F.concat(*(F.coalesce(c["findings"], S.none()) for _, c in cols)) if cols else S.none()
+    listed = F.concat(*(F.coalesce(c["findings"], S.none()) for _, c in cols)) if cols else S.none()
     reasons = F.flatten(F.transform(entries, lambda e: F.when(~e["value"]["passed"], F.transform(e["value"]["findings"], lambda f: F.concat(e["key"], F.lit(": "), f["type"], F.lit(" ("), f["severity"], F.lit(") - "), F.when(F.length(f["value"]) > 50, F.concat(F.substring(f["value"], 1, 50), F.lit("..."))).otherwise(f["value"])))).otherwise(F.array().cast("array<string>")))) if cols else F.array().cast("array<string>")
     clean = F.col(text)
-    if direction == "output" and config.redaction and any(i == "pii" for i, _ in cols):
-        clean = F.when(F.size(F.col(f"_{out}_pii")["findings"]) > 0, S.pii_redacted(col, config.style)).otherwise(F.col(text))
-    df = df.withColumn(out, F.struct(blocked.alias("blocked"), risk.alias("risk_score"), F.map_from_entries(entries).alias("checks"), found.alias("findings"), reasons.alias("reasons"), clean.alias("sanitized_text"), F.coalesce(critical(found), F.lit(False)).alias("has_critical")))
-    return df.drop(*(set(df.columns) - given - {out}))
+    if hits:
+        clean = F.when(F.size(column(hits)) > 0, S.redacted_by(col, column(hits), config.style)).otherwise(F.col(text))
+    result = F.struct(blocked.alias("blocked"), risk.alias("risk_score"), F.map_from_entries(entries).alias("checks"), listed.alias("findings"), reasons.alias("reasons"), clean.alias("sanitized_text"), F.coalesce(critical(listed), F.lit(False)).alias("has_critical"))
+    return df.select(*given, result.alias(out))
 
 
 def verdict(df: DataFrame, text: str = "text", direction: str = "input", config: Config | None = None, checks: list[str] | None = None) -> DataFrame:
     """Adds blocked, risk_score and checks_run (names, sorted) without collecting findings: what a gate over a whole corpus needs.
 
-    Patterns are only tested, never listed, so the plan is one projection.
+    Patterns are only tested, never listed, so the plan is one projection. Columns of these names are replaced.
     """
     config = config or Config()
     col = F.coalesce(F.col(text), F.lit(""))
-    plan, stopped, ran, grave, given = planned(config, direction, checks), F.lit(False), [], {}, df.columns
+    plan, stopped, ran, grave, given = planned(config, direction, checks), F.lit(False), {}, {}, others(df, "blocked", "risk_score", "checks_run")
     for tier in TIERS:
         own = [i for i, t in plan if t == tier]
         for i in own:
-            rows = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}.get(i)
+            name, whole = unused(df, f"_v_{i}", f"_v_of_{i}")
             if i in S.registered:  # its findings say what is critical, not its score
-                df = df.withColumn(f"_v_of_{i}", F.when(~stopped, scanned(i, col, config)))
-                score, grave[i] = F.col(f"_v_of_{i}")["score"], critical(F.col(f"_v_of_{i}")["findings"])
+                df = df.withColumn(whole, F.when(~stopped, scanned(i, col, config)))
+                score, grave[i] = column(whole)["score"], critical(column(whole)["findings"])
             else:
-                score = top_score(col, rows) if rows else scanned(i, col, config)["score"]
+                score = top_score(col, CATALOGS[i]) if i in CATALOGS else scanned(i, col, config)["score"]
                 # a scanner of phrases has one finding, critical from 0.9 on; patterns' critical findings score 0.95
-                grave[i] = F.col(f"_v_{i}") >= 0.9
-            df = df.withColumn(f"_v_{i}", F.when(~stopped, score))
-            ran.append(i)
+                grave[i] = column(name) >= 0.9
+            df = df.withColumn(name, F.when(~stopped, score))
+            ran[i] = column(name)
         if own and config.early_exit:
-            df = df.withColumn(f"_v_stop_{tier}", reduce(lambda a, b: a | b, [F.coalesce(grave[i], F.lit(False)) for i in own], stopped))
-            stopped = F.col(f"_v_stop_{tier}")
+            name = unused(df, f"_v_stop_{tier}")[0]
+            df = df.withColumn(name, reduce(lambda a, b: a | b, [F.coalesce(grave[i], F.lit(False)) for i in own], stopped))
+            stopped = column(name)
     if not ran:
-        return df.withColumns({"blocked": F.lit(False), "risk_score": F.lit(0.0), "checks_run": F.lit("")})
-    blocked = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_v_{i}") >= config.threshold(i), F.lit(False)) for i in ran])
-    names = F.array_join(F.sort_array(F.filter(F.array(*(F.when(F.col(f"_v_{i}").isNotNull(), F.lit(i)) for i in ran)), lambda x: x.isNotNull())), ",")
-    out = {"blocked": blocked, "risk_score": F.greatest(*(F.col(f"_v_{i}") for i in ran), F.lit(0.0)), "checks_run": names}
-    return df.select(*given, *(c.alias(n) for n, c in out.items()))
+        return df.select(*given, F.lit(False).alias("blocked"), F.lit(0.0).alias("risk_score"), F.lit("").alias("checks_run"))
+    blocked = reduce(lambda a, b: a | b, [F.coalesce(c >= config.threshold(i), F.lit(False)) for i, c in ran.items()])
+    names = F.array_join(F.sort_array(F.filter(F.array(*(F.when(c.isNotNull(), F.lit(i)) for i, c in ran.items())), lambda x: x.isNotNull())), ",")
+    return df.select(*given, blocked.alias("blocked"), F.greatest(*ran.values(), F.lit(0.0)).alias("risk_score"), names.alias("checks_run"))
 
 
 def pairs(conversations: DataFrame) -> DataFrame:
@@ -156,14 +175,15 @@ def scan_pairs(df: DataFrame, input_text: str = "input_text", output_text: str =
     df = scan(df, output_text, "output", config, context=input_text, out="output_scan")
     blocked = F.col("input_scan.blocked") | F.col("output_scan.blocked")
     parts = F.concat(*(F.when(F.col(f"{s}_scan.blocked"), F.transform(F.col(f"{s}_scan.reasons"), lambda r: F.concat(F.lit(f"{s}: "), r))).otherwise(F.array().cast("array<string>")) for s in ("input", "output")))
-    return df.withColumns({"blocked": blocked, "block_reason": F.when(blocked, F.array_join(parts, "; "))})
+    return df.select(*others(df, "blocked", "block_reason"), blocked.alias("blocked"), F.when(blocked, F.array_join(parts, "; ")).alias("block_reason"))
 
 
 def test_scanner(df: DataFrame, scanner: str, text: str = "text", config: Config | None = None, context: str | None = None, judge: str | None = None, models: dict[str, Column] | None = None) -> DataFrame:
     """One scanner alone, whatever its direction: scanner, score, threshold, detected (above the threshold), findings, metadata.
 
     metadata is JSON of what else the scanner tells: matched phrases, toxicity's types, a judge's whole claims, or the error
-    for which it couldn't run. ``hallucination`` takes ``context`` and a column of a judge's JSON.
+    for which it couldn't run. ``hallucination`` takes ``context`` and a column of a judge's JSON. Columns of these names are
+    replaced, all others stay.
     """
     config = config or Config()
     col, none = F.coalesce(F.col(text), F.lit("")), F.lit(None).cast("string")
@@ -172,17 +192,19 @@ def test_scanner(df: DataFrame, scanner: str, text: str = "text", config: Config
         "hallucination": lambda: S.judged(F.col(context) if context else none, F.col(judge) if judge else none),
     }
     x = more[scanner]() if scanner in more else scanned(scanner, col, config)
-    df = df.withColumn("_x", x)
-    told = [f for f in df.schema["_x"].dataType.names if f not in ("score", "findings")]
-    metadata = F.to_json(F.struct(*(F.col(f"_x.{f}").alias(f) for f in told))) if told else F.lit("{}")
-    return df.withColumns({"scanner": F.lit(scanner), "score": F.col("_x.score"), "threshold": F.lit(config.threshold(scanner)), "detected": F.col("_x.score") > config.threshold(scanner), "findings": F.col("_x.findings"), "metadata": metadata}).drop("_x")
+    name = unused(df, "_x")[0]
+    given, df = others(df, "scanner", "score", "threshold", "detected", "findings", "metadata"), df.withColumn(name, x)
+    r = column(name)
+    told = [f for f in df.schema[name].dataType.names if f not in ("score", "findings")]
+    metadata = F.to_json(F.struct(*(r[f].alias(f) for f in told))) if told else F.lit("{}")
+    return df.select(*given, F.lit(scanner).alias("scanner"), r["score"].alias("score"), F.lit(config.threshold(scanner)).alias("threshold"), (r["score"] > config.threshold(scanner)).alias("detected"), r["findings"].alias("findings"), metadata.alias("metadata"))
 
 
 def findings_table(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = ("pii", "code_injection", "secrets"), style: str = "full") -> DataFrame:
     """A row for each finding: key, scanner, and the finding's fields."""
     col = F.coalesce(F.col(text), F.lit(""))
-    of = {"pii": lambda: S.pii_findings(col, style), "code_injection": lambda: S.code_findings(col), "secrets": lambda: S.secret_findings(col)}
-    rows = F.concat(*(F.transform(of[k](), lambda f: F.struct(F.lit(k).alias("scanner"), f.alias("f"))) for k in kinds))
+    one = lambda k: let(found(col, CATALOGS[k]), lambda h: findings_of(k, h, style))
+    rows = F.concat(*(F.transform(one(k), lambda f: F.struct(F.lit(k).alias("scanner"), f.alias("f"))) for k in kinds))
     return df.select(key, F.explode(rows).alias("x")).select(key, "x.scanner", "x.f.*")
 
 
@@ -191,9 +213,10 @@ def findings_by_type(df: DataFrame, key: str, text: str = "text", kind: str = "p
 
     Counts what :func:`findings_table` lists, with no spans made and one shuffle of a row for each type and task.
     """
-    rows = {"pii": C.PII, "code_injection": C.CODE, "secrets": C.SECRETS}[kind]
-    each = F.array(*(F.struct(F.lit(i).alias("type"), F.lit(s).alias("severity"), F.lit(i if kind == "pii" else c).alias("category"), count(F.col(text), p).cast("long").alias("n")) for i, p, s, c in rows))
-    return df.select(key, F.explode(each).alias("x")).filter("x.n > 0").groupBy("x.type", "x.severity", "x.category").agg(F.sum("x.n").alias("n"), F.count("*").alias("n_docs"))
+    rows = CATALOGS[kind]
+    heads = F.array(*(F.struct(F.lit(i).alias("type"), F.lit(s).alias("severity"), F.lit(i if kind == "pii" else c).alias("category")) for i, _, s, c in rows))
+    n = F.filter(F.transform(counts(F.col(text), rows), lambda n, i: F.struct(F.get(heads, i).alias("h"), n.alias("n"))), lambda x: x["n"] > 0)
+    return df.select(key, F.explode(n).alias("x")).groupBy("x.h.type", "x.h.severity", "x.h.category").agg(F.sum("x.n").alias("n"), F.count("*").alias("n_docs"))
 
 
 def verdict_both(df: DataFrame, direction: str, text: str = "text", config: Config | None = None) -> DataFrame:
