@@ -295,10 +295,42 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
             seen |= own
             want |= dict.fromkeys(np.flatnonzero(own).tolist(), i)
     assert got == want and len(set(want.values())) > 1
-    # a document is in BANDS stars at most, and a star sends a row for a member at most: no square of the group's size
     assert sum(sent) <= neardup.BANDS * len(rows) < below.sum() // 10
 
 
+def rows_in(spark, monkeypatch, docs, block):
+    """Components, and the rows that go into each step on groups: blocks, and the shingles that are counted."""
+    into = collections.Counter()
+    links, each = neardup.block_links, neardup.hashes
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "block_links", lambda rows, unit: (into.update({f"blocks {unit}": rows.count()}), links(rows, unit))[1])
+        m.setattr(neardup, "hashes", lambda rows: (into.update(hashes=each(rows).count()), each(rows))[1])
+        got = {r.doc_id: r.component for r in neardup.linked(docs, block=block).collect()}
+    return got, into
+
+
+def test_what_goes_into_blocks_grows_with_a_group(spark, monkeypatch):
+    frame = lambda n: spark.createDataFrame(near_copies(n, 120, (6, 6, 7, 7)), "doc_id long, text string")
+    one, into = rows_in(spark, monkeypatch, frame(700), 64 << 10)
+    four, more = rows_in(spark, monkeypatch, frame(2800), 64 << 10)
+    assert len(set(one.values())) > 600 and into["hashes"] > 0  # the group stays apart, in several blocks
+    assert more["hashes"] <= 5 * into["hashes"] and more["blocks 175"] + more["blocks 350"] <= 5 * (into["blocks 175"] + into["blocks 350"]), (into, more)
+
+
+@pytest.mark.parametrize("block", [4000, 20_000])
+def test_lists_of_rare_shingles_lose_no_link(spark, monkeypatch, block):
+    # few edits, made again and again: shingles are shared by many, and lists are parted by the next ones
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for k in range(240):
+        own = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 5)), replace=False):
+            own[at] = f"x{at}-{rng.integers(0, 2)}"
+        rows.append((k, " ".join(own)))
+    got, into = rows_in(spark, monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), block)
+    assert got == {i: c for i, (_, c) in brute_near(rows).items()} and into["blocks 350"] > 0
+
+
 def test_near_duplicates_in_small_blocks(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(i + 50_000, t) for i, t in near_copies(60, 60, (1, 2, 3))], "doc_id long, text string"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, block=3000).collect()}
@@ -356,6 +388,26 @@ def test_line_dedup(spark, odd, empty):
 PAGES = "page_id long, url string, html string, text string"
 
 
+def test_lines_are_left_out_by_their_hashes(spark):
+    rng = np.random.default_rng(2)
+    pool = ["a", "b b", "", " ", "é", "日", "a ", "x" * 50]
+    rows = [([str(x) for x in rng.choice(pool, rng.integers(1, 12))], sorted({str(x) for x in rng.choice(pool, rng.integers(1, 5))})) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lines array<string>, gone array<string>")
+    got = df.select(linededup.without(F.col("lines"), F.transform("gone", lambda x: F.xxhash64(x)))).collect()
+    assert [r[0] for r in got] == [[x for x in lines if x not in gone or not x.strip()] for lines, gone in rows]
+
+
+def test_long_texts_of_boilerplate_take_seconds(spark):
+    import time
+
+    lines = [f"line {k} of the boilerplate" for k in range(100_000)]
+    rows = [(k, f"s{k}", "\n".join(lines + [f"own {k}"])) for k in range(12)]
+    began = time.time()
+    got = linededup.remove(spark.createDataFrame(rows, "doc_id long, source string, text string"), 10).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in got} == {k: (100_001, 100_000 if k else 0) for k in range(12)}
+    assert all(r.text == (f"own {r.doc_id}" if r.doc_id else rows[0][2]) for r in got) and time.time() - began < 120
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x", ""), (2, "http://b/\r\nX: y", "<p>x", ""), (3, None, None, ""), (4, "", "", ""), (5, "http://c", "é" * 50000, ""), (None, "u", "<p>x", ""), (6, "d", "only", ""), (6, "d", "only", "")]
     pages = spark.createDataFrame(rows, PAGES)

@@ -41,6 +41,8 @@ class Rule:
     def __post_init__(self):
         if not self.marks.isascii() or self.size is not None and self.size < 1:
             raise ValueError("marks are ASCII characters; size is at least 1, or None")
+        if len(set(self.sentinels)) != 3:
+            raise ValueError("three different sentinels")
         for a in self.sentinels:
             for b in self.sentinels:
                 if a != b and a in b or any(a.endswith(b[:k]) for k in range(1, len(b) + (a != b))):

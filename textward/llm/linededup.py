@@ -21,7 +21,8 @@ def line_hash(line):
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, own, site, x, y): a row for each different line that has a word, of each text; own is the text's hash."""
-    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD)), line_hash))
+    # strings are told apart by a hash set, structs one by one
+    lines = F.transform(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD))), line_hash)
     return docs.select("doc_id", F.xxhash64("text").alias("own"), "site", F.explode(lines).alias("h")).select("doc_id", "own", "site", "h.x", "h.y")
 
 
@@ -43,6 +44,29 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return common.materialize(sure.union(exact), "boilerplate")
 
 
+def without(lines, gone):
+    """The lines, in order, but for those whose first hash is in ``gone``; lines without a word stay.
+
+    Lines and hashes are sorted together, so each run of equal hashes begins with one of ``gone`` if it is there: the time
+    grows with the lines and hashes and the logarithm of their number, not with their product.
+    """
+    mine = F.transform(lines, lambda x, i: F.struct(F.when(x.rlike(common.WORD), F.xxhash64(x)).alias("h"), i.alias("i"), x.alias("line")))
+    theirs = F.transform(gone, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i"), F.lit("").alias("line")))
+
+    def build(all_):
+        starts = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda k: (k == 0) | ~F.get(all_, k)["h"].eqNullSafe(F.get(all_, k - 1)["h"]))
+
+        def runs(starts_):
+            ends = F.concat(F.slice(starts_, F.lit(2), F.size(starts_)), F.array(F.size(all_)))
+            kept = F.filter(F.arrays_zip(starts_.alias("a"), ends.alias("b")), lambda r: F.get(all_, r["a"])["i"] >= 0)
+            rows = F.flatten(F.transform(kept, lambda r: F.slice(all_, r["a"] + 1, r["b"] - r["a"])))
+            return F.transform(F.sort_array(F.transform(rows, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))), lambda x: x["line"])
+
+        return F.transform(F.array(starts), runs)[0]
+
+    return F.transform(F.array(F.sort_array(F.concat(mine, theirs))), build)[0]
+
+
 def remove(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All rows of ``docs`` (doc_id, source, text and any others) with ``text`` cleaned, and two columns of ``counts`` added.
 
@@ -70,7 +94,7 @@ def remove(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True,
     rows = docs.withColumn(mine, F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(hits, (F.col(mine) == F.col(own)) & F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(out), F.xxhash64(x)) & x.rlike(common.WORD)))
+    kept = without(parts, F.col(out))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     rows = rows.withColumn(rest, F.when(F.col(out).isNull(), parts).otherwise(kept)).withColumn(counts[0], n)
     rows = rows.withColumn(counts[1], F.when(F.col("text").isNull() | F.col(out).isNull(), F.lit(0)).otherwise(F.col(counts[0]) - F.size(rest)).cast("long"))

@@ -70,18 +70,20 @@ def targets(found: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
     """``found`` (key, source_size, knots) with area, pieces and target: words in proportion to the areas, none above its most.
 
     What a source can't take is shared by the others, again and again: each round asks the table for three numbers, and
-    only adds sources that are full, until none is. Sources without weight get nothing.
+    adds the sources that are full, until there are none. Sources without weight get nothing.
     """
     s = segments(F.coalesce("knots", F.array().cast(KNOTS)))
     found = common.materialize(found.withColumn("s", s).select("key", "source_size", F.col("s.sum").alias("area"), F.col("s.out").alias("pieces")), "sources")
-    room, full, n, level = F.col("source_size") * F.lit(float(most)), F.lit(False), 0, (0.0, 1.0)
+    room, full, n = F.col("source_size") * F.lit(float(most)), F.lit(False), 0
     total = found.agg(F.sum("source_size")).first()[0] or 0
     while True:
-        held, weight, more = found.agg(F.coalesce(F.sum(F.when(full, room)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("area"))), F.lit(0.0)), F.count_if(full)).first()
+        held, weight = found.agg(F.coalesce(F.sum(F.when(full, room)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("area"))), F.lit(0.0))).first()
         level = (share * total - held, weight or 1.0)
-        if n and more <= n - 1:
+        over = full | (room < F.lit(level[0]) * F.col("area") / F.lit(level[1]))
+        more = found.filter(over).count()
+        if more == n:
             break
-        n, full = more + 1, room < F.lit(level[0]) * F.col("area") / F.lit(level[1])
+        n, full = more, over
     return found.withColumn("target", F.when(full, room).otherwise(F.lit(level[0]) * F.col("area") / F.lit(level[1])))
 
 

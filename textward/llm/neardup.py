@@ -7,6 +7,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -185,23 +186,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 class Block:
-    """Sets that others are held against: which of them has each hash, and which of them are already joined."""
+    """Sets that others are held against: which of them has each hash, and which of them are already joined.
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent, self.ids, self.names, self.sets, self.up = percent, [], [], [], {}
+    Two sets are linked if ``unit`` times the hashes that both have is at least the sum of their weights.
+    """
+
+    def __init__(self, unit: int):
+        self.unit, self.ids, self.names, self.weights, self.sets, self.up = unit, [], [], [], [], {}
 
-    def add(self, doc_id: int, component: int, s: np.ndarray) -> None:
+    def add(self, doc_id: int, component: int, weight: int, s: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.names.append(component)
+        self.weights.append(weight)
         self.sets.append(s)
 
     def close(self) -> None:
         """No more sets are added: the hashes are sorted, each with its owner."""
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        sizes = np.array([len(s) for s in self.sets], np.int64)
         flat = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order]
-        self.sets = []
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets), dtype=np.int32), sizes)[order]
+        self.weights, self.sets = np.array(self.weights, np.int64), []
 
     def root(self, c: int) -> int:
         while (up := self.up.get(c, c)) != c:
@@ -209,14 +214,14 @@ class Block:
             c = up
         return c
 
-    def links(self, doc_id: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+    def links(self, doc_id: int, component: int, weight: int, s: np.ndarray) -> list[tuple[int, int]]:
         """The set's links to the block, but only such as join what was apart: no more, in all, than there are components."""
         lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
         n = hi - lo
         ends = np.cumsum(n)
         both = np.bincount(self.owner[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(self.ids))
         out = []
-        for k in np.flatnonzero(100 * both >= self.percent * (len(s) + self.sizes - both)).tolist():
+        for k in np.flatnonzero(self.unit * both >= weight + self.weights).tolist():
             mine, other = self.root(component), self.root(self.names[k])
             if mine != other:
                 self.up[max(mine, other)] = min(mine, other)
@@ -224,11 +229,11 @@ class Block:
         return out
 
 
-def block_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) within blocks of (centre, piece, asks, doc_id, c, s): of the rows that ask with those that don't.
+def block_links(rows: DataFrame, unit: int) -> DataFrame:
+    """Links (a, b) within blocks of (centre, piece, asks, doc_id, c, w, s): of the rows that ask with those that don't.
 
     Rows come sorted by centre, piece and asks, so a task holds the sets of one block, and those that ask pass by. Sets of
-    one component c aren't held against each other.
+    one component c aren't held against each other. ``unit`` and the weights w are those of :class:`Block`.
     """
 
     def run(batches):
@@ -236,26 +241,103 @@ def block_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         key, block, open_ = None, None, False
         for batch in batches:
             found = []
-            for centre, piece, asks, doc_id, c, s in zip(*(x.to_pylist() for x in batch.columns[:5]), batch.column(5), strict=True):
+            for centre, piece, asks, doc_id, c, w, s in zip(*(x.to_pylist() for x in batch.columns[:6]), batch.column(6), strict=True):
                 if key != (centre, piece):
-                    key, block, open_ = (centre, piece), Block(percent), True
+                    key, block, open_ = (centre, piece), Block(unit), True
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 if not asks:
-                    block.add(doc_id, c, s)
+                    block.add(doc_id, c, w, s)
                     continue
                 if open_:
                     block.close()
                     open_ = False
-                found += block.links(doc_id, c, s)
+                found += block.links(doc_id, c, w, s)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         block = None
         common.tidy()
 
     with common.batches(rows.sparkSession, 1000):
-        dealt = rows.select("centre", "piece", "asks", "doc_id", "c", "s").repartition("centre", "piece").sortWithinPartitions("centre", "piece", "asks")
+        dealt = rows.select("centre", "piece", "asks", "doc_id", "c", "w", "s").repartition("centre", "piece").sortWithinPartitions("centre", "piece", "asks")
         return common.materialize(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
+def deltas(star: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(centre, doc_id, w, s): by which hashes each set of a star differs from what most of the star's sets have.
+
+    Let D be a set's difference. Two sets x, y differ by ``|Dx| + |Dy| - 2 |Dx & Dy|`` hashes, and are linked if that is at
+    most ``(100 - p) / (100 + p)`` of their sizes' sum; so, with the weights ``w = (100 + p) |D| - (100 - p) |x|``, if
+    ``2 (100 + p) |Dx & Dy| >= wx + wy``. What most sets have is at most twice as large as they are on average.
+    """
+
+    def run(batches):
+        common.only("shingles")
+        for batch in batches:
+            out, weights = [], []
+            for s, base in zip(batch.column(2), batch.column(3), strict=True):
+                s, base = np.frombuffer(s.as_buffer(), np.uint64), np.sort(base.values.to_numpy().view(np.uint64)) if base.is_valid else np.zeros(0, np.uint64)
+                d = np.setxor1d(s, base, assume_unique=True)
+                out.append(d.tobytes())
+                weights.append((100 + percent) * len(d) - (100 - percent) * len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weights, pa.int64()), pa.array(out, pa.binary())], names=["centre", "doc_id", "w", "s"])
+        common.tidy()
+
+    with common.batches(star.sparkSession, 500):  # two sets in each row
+        whole = star.select("centre", "doc_id").join(sets, "doc_id")
+        often = hashes(whole).groupBy("centre", "h").agg(F.count("*").alias("often"))
+        many = star.groupBy("centre").agg(F.count("*").alias("k"))
+        base = common.materialize(often.join(many, "centre").filter("2 * often > k").groupBy("centre").agg(F.collect_list("h").alias("base")), "bases")
+        return common.materialize(whole.join(base, "centre", "left").select("centre", "doc_id", "s", "base").mapInArrow(run, "centre long, doc_id long, w long, s binary"), "deltas")
+
+
+def hashes(rows: DataFrame) -> DataFrame:
+    """(centre, doc_id, size, h): a row for each hash of the sets s."""
+
+    def run(batches):
+        for batch in batches:
+            for centre, doc_id, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), x), pa.int64()) for x in (centre, doc_id, len(h))), pa.array(h)], names=["centre", "doc_id", "size", "h"])
+
+    return rows.select("centre", "doc_id", "s").mapInArrow(run, "centre long, doc_id long, size long, h long")
+
+
+def lists(delta: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that follow from the weights alone, and lists (list, centre, doc_id, low) such that all other links meet in one.
+
+    With m the set of the least weight in the star, x and m are linked if ``wx + wm <= 0``: those, the inner sets, are one
+    component. Any other link has an outer set, so its two sets have at least ``need`` hashes of their differences in
+    common, and one among the ``|D| - need + 1`` first of each, in any order that is the same for the whole star. The
+    rarest go first; what only one set has makes no list, and no list has more than half of the star.
+
+    ``need`` grows with both weights. So that few light sets don't make it small for all, weights fall into levels, each
+    twice as wide as the one below; a link meets in the list of the lower level of its two sets, which are ``low`` there.
+    """
+    unit = 2 * (100 + percent)
+    least = common.materialize(delta.groupBy("centre").agg(F.min(F.struct("w", "doc_id")).alias("m")).select("centre", F.col("m.w").alias("wm"), F.col("m.doc_id").alias("m")), "least")
+    told = delta.drop("s").join(least, "centre")
+    sure = told.filter("w + wm <= 0 and doc_id != m").select(F.col("doc_id").alias("a"), F.col("m").alias("b"))
+    level = F.floor(F.log2((F.col("w") - F.col("wm")) / F.lit(unit) + 1)).cast("int")
+
+    def need(i):
+        partner = F.col("wm") + (F.pow(F.lit(2.0), i) - 1) * unit
+        other = F.when(F.col("w") + F.col("wm") <= 0, F.greatest(partner, 1 - F.col("wm"))).otherwise(partner)
+        return F.greatest(F.lit(1), F.ceil((F.col("w") + other) / F.lit(unit)))
+
+    needs = common.materialize(told.select("centre", "doc_id", F.transform(F.sequence(F.lit(0), level), need).alias("needs")), "needs")
+    each = common.materialize(hashes(delta), "differences")
+    often = common.materialize(each.groupBy("centre", "h").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    # a hash that half of a star has is a hot key of two plain exchanges, which adaptive execution can split
+    ranked = each.join(common.few(often), ["centre", "h"], "left").withColumn("pos", F.row_number().over(W.partitionBy("centre", "doc_id").orderBy(F.coalesce("often", F.lit(1)), "h")))
+    first = ranked.filter("often is not null").join(common.few(needs, 100_000), ["centre", "doc_id"])
+    first = first.select("centre", "doc_id", "h", "size", "pos", F.posexplode("needs").alias("level", "need"), (F.size("needs") - 1).alias("own")).filter("pos <= size - need + 1")
+    made = common.materialize(first.select(F.xxhash64("centre", "h", "level").alias("list"), "centre", "doc_id", (F.col("own") == F.col("level")).alias("low")), "lists")
+    real = made.groupBy("list").agg(F.count("*").alias("k"), F.max("low").alias("any")).filter("k > 1 and any").select("list")
+    out = common.materialize(made.join(common.few(common.materialize(real, "real")), "list"), "lists")
+    common.drop(each, often, made)
+    return sure, out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over the edges (a, b), for all ids in them.
 
@@ -332,21 +414,32 @@ def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         size = common.materialize(size, "sizes")
         rest = common.materialize(rest.join(size, "centre").withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int")), "members")
 
-        def compare(rows):
+        def join(links):
             nonlocal comp
-            good = block_links(rows.join(sets, "doc_id"))
-            if not good.isEmpty():
-                comp = components(good.union(comp.toDF("a", "b")))
+            if not links.isEmpty():
+                comp = components(links.union(comp.toDF("a", "b")))
 
         # each block within itself: what is outside the star's largest component is held against all
-        both = F.explode(F.when(F.col("c") != F.col("largest"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
-        compare(rest.withColumn("asks", both))
-        # what is still apart in stars of several blocks: against the other blocks
-        wide = rest.filter("pieces > 1").select("centre", "doc_id", "pieces", "piece")
+        asks = F.explode(F.when(F.col("c") != F.col("largest"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+        join(block_links(rest.withColumn("asks", asks).join(sets.withColumn("w", PERCENT * (F.octet_length("s") / 8).cast("long")), "doc_id"), 100 + PERCENT))
+        # what is still apart in stars of several blocks meets by the differences that it shares
+        wide = rest.filter("pieces > 1").select("centre", "doc_id")
         if not wide.isEmpty():
             wide = parted(wide)
-            asking = wide.filter("c != largest").withColumn("own", F.col("piece")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter("piece != own").drop("own").withColumn("asks", F.lit(True))
-            compare(wide.withColumn("asks", F.lit(False)).unionByName(asking))
+        if not wide.isEmpty():
+            # stars that share a document are one group, so that each document is sent once, not once for each of its stars
+            group = components(wide.filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+            wide = common.materialize(wide.select("doc_id").distinct().join(group, F.col("doc_id") == F.col("id")).select(F.col("component").alias("centre"), "doc_id"), "groups")
+            delta = deltas(wide, sets)
+            sure, met = lists(delta)
+            join(common.materialize(sure, "links"))
+            met = parted(met.select(F.col("list").alias("centre"), F.col("centre").alias("star"), "doc_id", "low"))
+            # a link's one set is low, and its one set is outside the largest component: of these, the fewer ask
+            facts = met.join(delta.select(F.col("centre").alias("star"), "doc_id", F.octet_length("s").alias("size")), ["star", "doc_id"]).groupBy("centre").agg(F.ceil(F.sum(F.col("size") + SET) / block).cast("int").alias("pieces"), (F.count_if("low") < F.count_if(F.col("c") != F.col("largest"))).alias("by_low"))
+            met = met.join(common.few(common.materialize(facts, "sizes")), "centre").join(delta.select(F.col("centre").alias("star"), "doc_id", "w", "s"), ["star", "doc_id"])
+            held = met.withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int")).withColumn("asks", F.lit(False))
+            asking = met.filter(F.when(F.col("by_low"), F.col("low")).otherwise(F.col("c") != F.col("largest"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("asks", F.lit(True))
+            join(block_links(held.unionByName(asking), 2 * (100 + PERCENT)))
         out = told.select("doc_id", "n_shingles").join(member.select("doc_id", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("c")), "doc_id", "left")
         return keep(out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component")), "linked")
 
@@ -367,9 +460,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Equal sets are made one class first, by aggregation, so copies cost a row each. The classes' bands make buckets, and
     the buckets of one centre, their least member, a star. Each class is compared with its least centre, and the confirmed
     pairs make components. What a star then still holds apart is compared exactly, in blocks of about ``block`` bytes of
-    sets (:func:`block_links`): what is outside the star's largest component is held against all of its own block, then
-    what is still apart against the star's other blocks. A block gives only links that join components, so every pair of
-    a bucket was compared or is in one component: no link within a bucket is lost, and no group sends out its pairs.
+    sets (:func:`block_links`): what is outside the star's largest component is held against all of its own block. What is
+    still apart in stars of several blocks, taken together where they share documents, meets in lists of differences from what most of the star has (:func:`lists`):
+    only such as share a rare one are held against each other, by their differences alone. A block gives only links that
+    join components, so every pair of a bucket was compared, can't be linked, or is in one component: no link within a
+    bucket is lost. Sets that differ each in its own way share no list, so they send no more rows, however many they are;
+    where many share the same differences, a list of several blocks goes block by block.
     """
     docs = common.columns(docs, doc_id="long", text="string")
     if plain(docs):
