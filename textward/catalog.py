@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import sql as sql_functions
 from textward.functions.prefilter import n_tests, prefilter
-from textward.functions.spans import cut, flags, top_score
+from textward.functions.spans import cut, field, flags, found, top_score
 from textward.operators import models, redactor, scanners, screen
 from textward.plans import config as conf
 from textward.plans import guard
@@ -107,6 +107,23 @@ PHRASE_ROWS = [(f"phrase_{i:03d}", t) for i, t in enumerate(fixtures.PHRASES)]
 ALL_ROWS = CODE_ROWS + PII_ROWS + SECRET_ROWS + PHRASE_ROWS
 CASES = "case_id string, text string"
 
+#: Where the rows beside the seed rows come from: the table, its key as case_id, its text.
+BESIDE = {"documents": ("'doc_' || doc_id", "text"), "pages": ("'page_' || page_id", "html"), "conversations": ("'turn_' || conv_id || '_' || turn", "text")}
+
+
+def seeded_sql(rows: list[tuple], name: str, cte: str = "c") -> str:
+    """``cte``(case_id, text): the seed rows, which fire where the tables don't, and all rows of a table."""
+    key, text = BESIDE[name]
+    return values_sql(f"seed_{cte}", ["case_id", "text"], rows) + f", {cte} as (select case_id, text from seed_{cte} union all select {key} as case_id, coalesce({text}, '') as text from {name})"
+
+
+def seeded(spark, sf_dir, rows: list[tuple], name: str):
+    """The same as a DataFrame."""
+    key, text = BESIDE[name]
+    df = spark.createDataFrame(rows, CASES).unionByName(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.expr(key).alias("case_id"), F.coalesce(text, F.lit("")).alias("text")))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 # ---- personal data
 
@@ -155,15 +172,15 @@ for _style in ("full", "partial", "hash"):
     _redact(_style)
 
 
-@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS) + f" select case_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('c', 'case_id', 'text', C.PII)})")
+@query("with " + seeded_sql(PII_ROWS, "documents") + f" select case_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('c', 'case_id', 'text', C.PII)})")
 def pii_cases(spark, sf_dir):
-    rows = guard.findings_table(spark.createDataFrame(PII_ROWS, CASES), "case_id", kinds=("pii",), style="partial")
+    rows = guard.findings_table(seeded(spark, sf_dir, PII_ROWS, "documents"), "case_id", kinds=("pii",), style="partial")
     return rows.select("case_id", "type", F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
 
 
-@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS) + f" select case_id, {score_sql('text', C.fallback_pii())} as score from c")
+@query("with " + seeded_sql(PII_ROWS, "documents") + f" select case_id, {score_sql('text', C.fallback_pii())} as score from c")
 def pii_fallback_cases(spark, sf_dir):
-    return spark.createDataFrame(PII_ROWS, CASES).select("case_id", top_score(F.col("text"), C.fallback_pii()).alias("score"))
+    return seeded(spark, sf_dir, PII_ROWS, "documents").select("case_id", top_score(F.col("text"), C.fallback_pii()).alias("score"))
 
 
 # ---- code
@@ -178,9 +195,9 @@ def code_findings_by_type(spark, sf_dir):
     return guard.findings_by_type(table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", "code_injection").select("type", "category", "severity", "n")
 
 
-@query("with " + values_sql("c", ["case_id", "text"], CODE_ROWS) + f" select case_id, type, category, start_, end_, case when length(value) > 100 then substr(value, 1, 100) || '...' else value end as value from ({spans_sql('c', 'case_id', 'text', C.CODE)})")
+@query("with " + seeded_sql(CODE_ROWS, "pages") + f" select case_id, type, category, start_, end_, case when length(value) > 100 then substr(value, 1, 100) || '...' else value end as value from ({spans_sql('c', 'case_id', 'text', C.CODE)})")
 def code_cases(spark, sf_dir):
-    rows = guard.findings_table(spark.createDataFrame(CODE_ROWS, CASES), "case_id", kinds=("code_injection",))
+    rows = guard.findings_table(seeded(spark, sf_dir, CODE_ROWS, "pages"), "case_id", kinds=("code_injection",))
     return rows.select("case_id", "type", F.col("detail").alias("category"), F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
 
 
@@ -191,10 +208,10 @@ def _categories_sql(col):
     return "array_to_string(list_filter([" + ", ".join(f"case when {' or '.join(by[c])} then {q(c)} end" for c in sorted(by)) + "], lambda x: x is not null), ',')"
 
 
-@query("with " + values_sql("c", ["case_id", "text"], CODE_ROWS) + f" select case_id, {_categories_sql('text')} as categories, {score_sql('text', C.CODE)} as score, {score_sql('text', C.fallback_code())} as fallback_score from c")
+@query("with " + seeded_sql(CODE_ROWS, "pages") + f" select case_id, {_categories_sql('text')} as categories, {score_sql('text', C.CODE)} as score, {score_sql('text', C.fallback_code())} as fallback_score from c")
 def code_categories(spark, sf_dir):
     t = F.col("text")
-    return spark.createDataFrame(CODE_ROWS, CASES).select("case_id", F.array_join(scanners.categories(t), ",").alias("categories"), top_score(t, C.CODE).alias("score"), top_score(t, C.fallback_code()).alias("fallback_score"))
+    return seeded(spark, sf_dir, CODE_ROWS, "pages").select("case_id", F.array_join(scanners.categories(t), ",").alias("categories"), top_score(t, C.CODE).alias("score"), top_score(t, C.fallback_code()).alias("fallback_score"))
 
 
 @query(f"select page_id, {_categories_sql('html')} as categories from pages")
@@ -204,9 +221,9 @@ def code_categories_of_pages(spark, sf_dir):
 
 # ---- credentials (reconstructed)
 
-@query("with " + values_sql("c", ["case_id", "text"], SECRET_ROWS) + f" select case_id, type, category, start_, end_, substr(value, 1, 4) || '***' as value from ({spans_sql('c', 'case_id', 'text', C.SECRETS)})")
+@query("with " + seeded_sql(SECRET_ROWS, "documents") + f" select case_id, type, category, start_, end_, substr(value, 1, 4) || '***' as value from ({spans_sql('c', 'case_id', 'text', C.SECRETS)})")
 def secrets_cases(spark, sf_dir):
-    rows = guard.findings_table(spark.createDataFrame(SECRET_ROWS, CASES), "case_id", kinds=("secrets",))
+    rows = guard.findings_table(seeded(spark, sf_dir, SECRET_ROWS, "documents"), "case_id", kinds=("secrets",))
     return rows.select("case_id", "type", F.col("detail").alias("category"), F.col("start").alias("start_"), F.col("end").alias("end_"), "value")
 
 
@@ -232,11 +249,11 @@ def _phrase_query(name, source, key, col, fill, build):
     return query(fill + sql)(run)
 
 
-_cases = "with " + values_sql("c", ["case_id", "text"], PHRASE_ROWS) + " "
+_turns, _docs = ("with " + seeded_sql(PHRASE_ROWS, name) + " " for name in ("conversations", "documents"))
 _phrase_query("injection_heuristic", ("conversations", lambda s, d: table(s, d, "conversations", "conv_id", "turn", "text")), ["conv_id", "turn"], "text", "", scanners.injection)
 _phrase_query("toxicity_heuristic", ("documents", lambda s, d: table(s, d, "documents", "doc_id", "text")), ["doc_id"], "text", "", scanners.toxicity)
-_phrase_query("injection_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.injection)
-_phrase_query("toxicity_cases", ("c", lambda s, d: s.createDataFrame(PHRASE_ROWS, CASES)), ["case_id"], "text", _cases, scanners.toxicity)
+_phrase_query("injection_cases", ("c", lambda s, d: seeded(s, d, PHRASE_ROWS, "conversations")), ["case_id"], "text", _turns, scanners.injection)
+_phrase_query("toxicity_cases", ("c", lambda s, d: seeded(s, d, PHRASE_ROWS, "documents")), ["case_id"], "text", _docs, scanners.toxicity)
 
 
 @query(f"select toxic, detected, count(*)::bigint as n from (select toxic, {phrase_score_sql('len(m)', 0.3, 0.9)} > 0.5 as detected from (select l.toxic, {phrases_sql('text', C.TOXIC)} as m from documents d join labels l using (doc_id))) group by all")
@@ -274,23 +291,36 @@ def hallucination_simple(spark, sf_dir):
 
 
 CLAIM_ROWS = [(f"claim_{i:03d}", c, t) for i, (c, t) in enumerate(fixtures.CLAIMS)]
+_claims = "with " + values_sql("seed_c", ["case_id", "input_text", "output_text"], CLAIM_ROWS) + f", c as (select * from seed_c union all select 'turn_' || conv_id || '_' || turn, input_text, output_text from ({PAIRS}) where role = 'user' and r = 'assistant')"
 
 
-@query("with " + values_sql("c", ["case_id", "input_text", "output_text"], CLAIM_ROWS) + " select * replace (round(score, 9) as score) from (" + _simple_sql("c", "case_id", "output_text", "input_text") + ")")
+def claims(spark, sf_dir):
+    """Seed claims, and all pairs of the conversations."""
+    pairs = guard.pairs(table(spark, sf_dir, "conversations")).select(F.expr("'turn_' || conv_id || '_' || turn").alias("case_id"), "input_text", "output_text")
+    return spark.createDataFrame(CLAIM_ROWS, "case_id string, input_text string, output_text string").unionByName(pairs)
+
+
+@query(_claims + " select * replace (round(score, 9) as score) from (" + _simple_sql("c", "case_id", "output_text", "input_text") + ")")
 def hallucination_cases(spark, sf_dir):
-    return _simple(spark.createDataFrame(CLAIM_ROWS, "case_id string, input_text string, output_text string"), ["case_id"])
+    return _simple(claims(spark, sf_dir), ["case_id"])
 
 
 JUDGE_ROWS = [(f"judge_{i:03d}", p) for i, p in enumerate(fixtures.JUDGE)]
 
 
-@query("with " + values_sql("c", ["case_id", "payload"], JUDGE_ROWS) + """, j as (select case_id, case when json_valid(payload) then payload else '{}' end as p from c),
-v as (select case_id, coalesce((p->>'$.faithful')::boolean, true) as f, coalesce((p->>'$.confidence')::double, 0.5) as s, coalesce(json_array_length(p->'$.hallucinations'), 0)::bigint as n from j)
-select case_id, round(case when not s between 0 and 1 then 0.0 when f then 1.0 - s else s end, 9)::double as score, case when s between 0 and 1 then n else 0 end as n_findings from v""")
+#: What a judge might say of each document: two thirds have claims, some out of range, some without a field.
+ANSWER = """'{"faithful": ' || case when doc_id % 3 = 0 then 'true' else 'false' end || case when doc_id % 5 = 4 then '' else ', "confidence": ' || cast(doc_id % 13 as string) || 'e-1' end || ', "hallucinations": [' || case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then '{"claim": "' || lang || '", "issue": "' || source || '", "severity": "High"}' else '{"claim": "' || source || '"}, {"issue": "' || lang || '", "severity": "none"}' end || ']}'"""
+
+
+@query("with " + values_sql("s", ["case_id", "payload"], JUDGE_ROWS) + f", c as (select * from s union all select 'doc_' || doc_id, {ANSWER} from documents)" + """, j as (select case_id, case when json_valid(payload) then payload else '{}' end as p from c),
+v as (select case_id, coalesce((p->>'$.faithful')::boolean, true) as f, coalesce((p->>'$.confidence')::double, 0.5) as s, list_transform(coalesce((p->'$.hallucinations')::json[], []), lambda x: struct_pack(claim := coalesce(x->>'$.claim', 'Unknown claim'), issue := coalesce(x->>'$.issue', 'Unknown issue'), severity := case when lower(x->>'$.severity') in ('low', 'medium', 'high', 'critical') then lower(x->>'$.severity') else 'medium' end)) as h from j)
+select case_id, round(case when not s between 0 and 1 then 0.0 when f then 1.0 - s else s end, 9)::double as score, case when s between 0 and 1 then len(h) else 0 end::bigint as n_findings, case when s between 0 and 1 then array_to_string(list_transform(h, lambda x: x.severity || ': ' || x.claim || ' (' || x.issue || ')'), '; ') else '' end as findings from v""")
 def judge_parse(spark, sf_dir):
-    df = spark.createDataFrame(JUDGE_ROWS, "case_id string, payload string")
+    """Scores and findings of judges' answers: the seed ones, and one for each document."""
+    df = spark.createDataFrame(JUDGE_ROWS, "case_id string, payload string").unionByName(table(spark, sf_dir, "documents", "doc_id", "lang", "source").select(F.expr("'doc_' || doc_id").alias("case_id"), F.expr(ANSWER).alias("payload")))
     x = scanners.judged(F.lit("source"), F.col("payload"))
-    return df.withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"))
+    shown = F.array_join(F.transform("x.findings", lambda f: F.concat(f["severity"], F.lit(": "), f["value"], F.lit(" ("), f["detail"], F.lit(")"))), "; ")
+    return df.withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"), shown.alias("findings"))
 
 
 # ---- the same for SQL users
@@ -305,11 +335,11 @@ def sql_scores(spark, sf_dir):
 _found = " union all ".join(f"select case_id, '{k}' as catalog, type, severity, start_, end_, value from ({spans_sql('c', 'case_id', 'text', r)})" for k, r in sql_functions.CATALOGS.items())
 
 
-@query("with " + values_sql("c", ["case_id", "text"], ALL_ROWS) + f" {_found}")
+@query("with " + seeded_sql(ALL_ROWS, "documents") + f" {_found}")
 def sql_lateral_findings(spark, sf_dir):
     """The findings by the table function in a LATERAL join."""
     sql_functions.register(spark)
-    return spark.sql("SELECT case_id, catalog, type, severity, start AS start_, end AS end_, value FROM {cases}, LATERAL scan_findings(text)", cases=spark.createDataFrame(ALL_ROWS, CASES))
+    return spark.sql("SELECT case_id, catalog, type, severity, start AS start_, end AS end_, value FROM {cases}, LATERAL scan_findings(text)", cases=seeded(spark, sf_dir, ALL_ROWS, "documents"))
 
 
 # ---- verdicts
@@ -340,20 +370,20 @@ def guard_output_verdict(spark, sf_dir):
     return guard.verdict(table(spark, sf_dir, "documents", "doc_id", "text"), direction="output").select("doc_id", "blocked", "risk_score", "checks_run")
 
 
-@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select * from (" + _verdict_sql("cases", "case_id", "text", "input", conf.Config()) + ")")
+@query("with " + seeded_sql(ALL_ROWS, "documents", "cases") + " select * from (" + _verdict_sql("cases", "case_id", "text", "input", conf.Config()) + ")")
 def early_exit_checks_run(spark, sf_dir):
-    return guard.verdict(spark.createDataFrame(ALL_ROWS, CASES), direction="input").select("case_id", "blocked", "risk_score", "checks_run")
+    return guard.verdict(seeded(spark, sf_dir, ALL_ROWS, "documents"), direction="input").select("case_id", "blocked", "risk_score", "checks_run")
 
 
-@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select * from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config(early_exit=False, sensitivity="strict")) + ")")
+@query("with " + seeded_sql(ALL_ROWS, "documents", "cases") + " select * from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config(early_exit=False, sensitivity="strict")) + ")")
 def strict_verdict_without_exit(spark, sf_dir):
-    df = spark.createDataFrame(ALL_ROWS, CASES)
+    df = seeded(spark, sf_dir, ALL_ROWS, "documents")
     return guard.verdict(df, direction="output", config=conf.Config(early_exit=False, sensitivity="strict")).select("case_id", "blocked", "risk_score", "checks_run")
 
 
-@query("with " + values_sql("cases", ["case_id", "text"], ALL_ROWS) + " select case_id, blocked, risk_score, checks_run from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config()) + ")")
+@query("with " + seeded_sql(ALL_ROWS, "documents", "cases") + " select case_id, blocked, risk_score, checks_run from (" + _verdict_sql("cases", "case_id", "text", "output", conf.Config()) + ")")
 def guard_scan_cases(spark, sf_dir):
-    df = guard.scan(spark.createDataFrame(ALL_ROWS, CASES), direction="output")
+    df = guard.scan(seeded(spark, sf_dir, ALL_ROWS, "documents"), direction="output")
     return df.select("case_id", F.col("scan.blocked").alias("blocked"), F.col("scan.risk_score").alias("risk_score"), F.array_join(F.array_sort(F.map_keys("scan.checks")), ",").alias("checks_run"))
 
 
@@ -364,13 +394,13 @@ def _found_sql(source: str) -> str:
     return " union all ".join([one("secrets", 0, C.SECRETS, 0.9, "substr(value, 1, 4) || '***'"), one("pii", 1, C.PII, 0.9, "'[REDACTED]'"), one("code_injection", 2, C.CODE, 0.85, "case when length(value) > 100 then substr(value, 1, 100) || '...' else value end"), toxic])
 
 
-_ANSWERS = "with " + values_sql("c", ["case_id", "text"], ALL_ROWS) + f", sc as (select case_id, {score_sql('text', C.SECRETS)} as secrets, {score_sql('text', C.PII)} as pii, {score_sql('text', C.CODE)} as code_injection, {phrase_score_sql('len(' + phrases_sql('text', C.TOXIC) + ')', 0.3, 0.9)} as toxicity from c), f as (select f.*, greatest(secrets, pii, code_injection) >= 0.9 as stop, case chk when 'secrets' then secrets >= 0.7 when 'pii' then pii >= 0.6 when 'code_injection' then code_injection >= 0.7 else toxicity >= 0.5 end as fails from ({_found_sql('c')}) f join sc using (case_id)), g as (select *, row_number() over (partition by case_id order by chk_ord, ord, start_) as k from f where not (stop and chk = 'toxicity'))"
+_ANSWERS = "with " + seeded_sql(ALL_ROWS, "documents") + f", sc as (select case_id, {score_sql('text', C.SECRETS)} as secrets, {score_sql('text', C.PII)} as pii, {score_sql('text', C.CODE)} as code_injection, {phrase_score_sql('len(' + phrases_sql('text', C.TOXIC) + ')', 0.3, 0.9)} as toxicity from c), f as (select f.*, greatest(secrets, pii, code_injection) >= 0.9 as stop, case chk when 'secrets' then secrets >= 0.7 when 'pii' then pii >= 0.6 when 'code_injection' then code_injection >= 0.7 else toxicity >= 0.5 end as fails from ({_found_sql('c')}) f join sc using (case_id)), g as (select *, row_number() over (partition by case_id order by chk_ord, ord, start_) as k from f where not (stop and chk = 'toxicity'))"
 
 
 @query(_ANSWERS + " select case_id, (k - 1)::int as pos, type, severity, round(confidence, 9) as confidence, shown as value from g")
 def findings_in_order(spark, sf_dir):
     """All findings of an answer's scan: in the order in which checks run, with their confidence."""
-    df = guard.scan(spark.createDataFrame(ALL_ROWS, CASES), direction="output").select("case_id", F.posexplode("scan.findings").alias("pos", "f"))
+    df = guard.scan(seeded(spark, sf_dir, ALL_ROWS, "documents"), direction="output").select("case_id", F.posexplode("scan.findings").alias("pos", "f"))
     return df.select("case_id", "pos", F.col("f.type").alias("type"), F.col("f.severity").alias("severity"), F.round("f.confidence", 9).alias("confidence"), F.col("f.value").alias("value"))
 
 
@@ -382,23 +412,27 @@ clean as (select case_id, case when found is null then text else list_reduce(fou
 select case_id, coalesce(reasons, '') as reasons, reasons is not null as blocked, block_reason, sanitized, exists(from g where g.case_id = clean.case_id and severity = 'critical') as has_critical from clean left join r using (case_id)""")
 def reasons_and_sanitized(spark, sf_dir):
     """Why answers are blocked, alone and as the answer of a pair; their redacted texts."""
-    df = guard.scan_pairs(spark.createDataFrame(ALL_ROWS, CASES).withColumn("asked", F.lit("")), "asked", "text")
+    df = guard.scan_pairs(seeded(spark, sf_dir, ALL_ROWS, "documents").withColumn("asked", F.lit("")), "asked", "text")
     o = F.col("output_scan")
     return df.select("case_id", F.array_join(o["reasons"], "; ").alias("reasons"), "blocked", "block_reason", o["sanitized_text"].alias("sanitized"), o["has_critical"].alias("has_critical"))
 
 
 LOGIT_ROWS = [(f"logit_{i:03d}", t, None if a is None else " ".join(map(str, a)), None if b is None else " ".join(map(str, b))) for i, (t, a, b) in enumerate(fixtures.LOGITS)]
+#: Logits of each document, by its number; half of the documents have none for toxicity.
+INJ = "cast(doc_id % 7 - 3 as string) || ' ' || cast(doc_id % 5 - 2 as string)"
+TOX = "case when doc_id % 2 = 0 then " + " || ' ' || ".join(f"cast(doc_id * {k} % 11 - {k} as string)" for k in (3, 5, 7, 6, 4, 8)) + " end"
 _LABELS = "[" + ", ".join(map(q, C.TOXIC_LABELS)) + "]"
 
 
-@query("with " + values_sql("c", ["case_id", "text", "inj", "tox"], LOGIT_ROWS) + f""", l as (select *, list_transform(string_split(inj, ' '), lambda x: x::double) as a, list_transform(string_split(tox, ' '), lambda x: 1 / (1 + exp(-(x::double)))) as p from c),
+@query("with " + values_sql("seed_c", ["case_id", "text", "inj", "tox"], LOGIT_ROWS) + f""", c as (select * from seed_c union all select 'doc_' || doc_id, coalesce(text, ''), {INJ}, {TOX} from documents), l as (select *, list_transform(string_split(inj, ' '), lambda x: x::double) as a, list_transform(string_split(tox, ' '), lambda x: 1 / (1 + exp(-(x::double)))) as p from c),
 m as (select *, exp(a[least(2, len(a))]) / list_sum(list_transform(a, lambda x: exp(x))) as mi, list_max(p) as mt, {phrase_score_sql(f"len({phrases_sql('text', C.INJECTION)})", 0.4, 0.95)} as pi, {phrase_score_sql(f"len({phrases_sql('text', C.TOXIC)})", 0.3, 0.9)} as pt from l),
 s as (select *, case when coalesce(mi, 0) > 0 then greatest(mi, pi * 0.8::double) else pi end as si, case when coalesce(mt, 0) > 0 then greatest(mt, pt * 0.7::double) else pt end as st, case when mt is null then 'toxic' else {_LABELS}[list_position(p, mt)] end as prime, list_filter({_LABELS}, lambda x, i: p[i] > 0.5) as high, list_filter({_LABELS}, lambda x, i: p[i] > 0.7) as extra from m)
 select case_id, round(si, 9) as injection, round(st, 9) as toxicity, case when st > 0.3 then {grade_sql('st')} end as severity, case when st > 0.3 then prime end as primary_type,
 case when st > 0.3 then array_to_string(case when len(coalesce(high, [])) > 0 then high else [prime] end, '|') end as toxicity_types, case when st > 0.3 then 1 + len(list_filter(coalesce(extra, []), lambda x: x <> prime)) else 0 end::int as n_findings from s""")
 def model_scores(spark, sf_dir):
     """Models' logits beside phrases: softmax and sigmoid, the combined scores, the types above 0.5, the extra findings."""
-    df = spark.createDataFrame(LOGIT_ROWS, "case_id string, text string, inj string, tox string")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.expr("'doc_' || doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("text"), F.expr(INJ).alias("inj"), F.expr(TOX).alias("tox"))
+    df = spark.createDataFrame(LOGIT_ROWS, "case_id string, text string, inj string, tox string").unionByName(docs)
     inj, tox = (F.split(c, " ").cast("array<double>") for c in ("inj", "tox"))
     df = df.withColumn("i", scanners.injection(F.col("text"), models.softmax_of(inj))).withColumn("t", scanners.toxicity(F.col("text"), models.sigmoid_of(tox)))
     hit_ = F.size("t.findings") > 0
@@ -410,19 +444,20 @@ SWITCHES = [
 ]
 
 
-@query("with " + values_sql("s", ["scanner", "tier", "direction", "judge"], [tuple(x) for x in C.SCANNERS]) + ", " + values_sql("c", ["config", "off", "checks", "judged"], [(n, "pii" if "personal" in n else "secrets" if "off" in n else "", ",".join(k), n == "judged") for n, _, k in SWITCHES]) + """
-select config, d.direction, scanner, tier from s, c, (values ('input'), ('output')) d(direction)
+@query("with " + values_sql("s", ["scanner", "tier", "direction", "judge"], [tuple(x) for x in C.SCANNERS]) + ", " + values_sql("c", ["config", "off", "checks", "judged"], [(n, "pii" if "personal" in n else "secrets" if "off" in n else "", ",".join(k), n == "judged") for n, _, k in SWITCHES]) + """,
+d as (select case role when 'user' then 'input' else 'output' end as direction, count(*)::bigint as n_rows from conversations group by 1)
+select config, d.direction, scanner, tier, n_rows from s, c, d
 where scanner <> off and (s.direction = 'both' or s.direction = d.direction) and (checks = '' or list_contains(string_split(checks, ','), scanner)) and (not judge or judged)""")
 def planned_checks(spark, sf_dir):
-    """Which checks run under which configuration: switches, directions, requested checks, the judge's conditions."""
+    """Which checks run under which configuration, and on how many turns: switches, directions, requested checks, the judge's conditions."""
     rows = [(n, d, i, t) for n, data, checks in SWITCHES for d in ("input", "output") for i, t in guard.planned(conf.from_dict(data), d, checks)]
-    return spark.createDataFrame(rows, "config string, direction string, scanner string, tier string")
+    turns = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", "input").otherwise("output").alias("direction")).groupBy("direction").agg(F.count("*").alias("n_rows"))
+    return turns.join(F.broadcast(spark.createDataFrame(rows, "config string, direction string, scanner string, tier string")), "direction").select("config", "direction", "scanner", "tier", "n_rows")
 
 
-@query("with " + values_sql("c", ["case_id", "context", "answer"], [(f"claim_{i:03d}", c, t) for i, (c, t) in enumerate(fixtures.CLAIMS)]) + f" select case_id, {q(scanners.ASK)} || substr(coalesce(context, ''), 1, 4000) || {q(scanners.ANSWER)} || substr(answer, 1, 4000) as prompt from c")
+@query(_claims + f" select case_id, {q(scanners.ASK)} || substr(coalesce(input_text, ''), 1, 4000) || {q(scanners.ANSWER)} || substr(output_text, 1, 4000) as prompt from c")
 def judge_prompts(spark, sf_dir):
-    df = spark.createDataFrame(CLAIM_ROWS, "case_id string, context string, answer string")
-    return df.select("case_id", scanners.judge_prompt(F.col("context"), F.col("answer")).alias("prompt"))
+    return claims(spark, sf_dir).select("case_id", scanners.judge_prompt(F.col("input_text"), F.col("output_text")).alias("prompt"))
 
 
 @query(f"""with p as (select conv_id, turn, input_text, output_text from ({PAIRS}) where role = 'user' and r = 'assistant'),
@@ -478,20 +513,28 @@ def screen_verdict(spark, sf_dir):
     return _screened(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
-@query("with " + values_sql("c", ["case_id", "text"], PII_ROWS + SECRET_ROWS) + " select * from (" + _screen_sql("c", "case_id", "text") + ")")
+@query("with " + seeded_sql(PII_ROWS + SECRET_ROWS, "documents") + " select * from (" + _screen_sql("c", "case_id", "text") + ")")
 def screen_cases(spark, sf_dir):
-    return _screened(spark.createDataFrame(PII_ROWS + SECRET_ROWS, CASES), "case_id")
+    return _screened(seeded(spark, sf_dir, PII_ROWS + SECRET_ROWS, "documents"), "case_id")
 
 
 REDACT_ROWS = [(f"value_{i:03d}", k, v) for i, (k, v) in enumerate(fixtures.VALUES)]
+_values = "with " + values_sql("seed_c", ["case_id", "kind", "value"], REDACT_ROWS) + f", c as (select * from seed_c union all select 'doc_' || doc_id || '_' || ord || '_' || start_, type, value from ({spans_sql('documents', 'doc_id', 'text', C.PII)}))"
+
+
+def values(spark, sf_dir):
+    """Seed values, and all personal data in the documents, with their types."""
+    x = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(found(F.col("text"), C.PII)).alias("x"))
+    own = x.select(F.concat_ws("_", F.lit("doc"), "doc_id", "x.ord", "x.start").alias("case_id"), field(C.PII, 0, F.col("x.ord")).alias("kind"), F.col("x.value").alias("value"))
+    return spark.createDataFrame(REDACT_ROWS, "case_id string, kind string, value string").unionByName(own)
 
 
-@query("with " + values_sql("c", ["case_id", "kind", "value"], REDACT_ROWS) + """ select case_id, '[' || upper(kind) || ':' || substr(sha256(value), 1, 8) || ']' as hashed, case
+@query(_values + """ select case_id, '[' || upper(kind) || ':' || substr(sha256(value), 1, 8) || ']' as hashed, case
 when length(value) <= 4 then repeat('*', length(value)) when kind = 'ssn' then '***-**-' || right(value, 4) when starts_with(kind, 'credit_card') then '****-****-****-' || right(value, 4)
 when starts_with(kind, 'phone') then '(***) ***-' || right(value, 4) when kind = 'email' then substr(value, 1, 1) || case when strpos(value, '@') > 1 then '***@***.***' else '***' end
 when length(value) > 6 then substr(value, 1, 2) || repeat('*', length(value) - 4) || right(value, 2) else repeat('*', length(value) - 2) || right(value, 2) end as partial from c""")
 def redactor_defaults(spark, sf_dir):
-    df = spark.createDataFrame(REDACT_ROWS, "case_id string, kind string, value string")
+    df = values(spark, sf_dir)
     v, k = F.col("value"), F.col("kind")
     return df.select("case_id", redactor.redact_value(v, k, "hash").alias("hashed"), redactor.redact_value(v, k, "partial").alias("partial"))
 
@@ -505,9 +548,9 @@ def redact_pattern(spark, sf_dir):
 TEMPLATES = ["***-**-{last4}", "{first}***{last4}", "{first_char}.", "gone"]
 
 
-@query("with " + values_sql("c", ["case_id", "kind", "value"], REDACT_ROWS) + ", " + values_sql("t", ["template"], [(t,) for t in TEMPLATES]) + " select case_id, template, replace(replace(case when length(value) >= 4 then replace(template, '{last4}', right(value, 4)) else template end, '{first}', substr(value, 1, 1)), '{first_char}', substr(value, 1, 1)) as redacted from c, t")
+@query(_values + ", " + values_sql("t", ["template"], [(t,) for t in TEMPLATES]) + " select case_id, template, replace(replace(case when length(value) >= 4 then replace(template, '{last4}', right(value, 4)) else template end, '{first}', substr(value, 1, 1)), '{first_char}', substr(value, 1, 1)) as redacted from c, t")
 def redactor_templates(spark, sf_dir):
-    df = spark.createDataFrame(REDACT_ROWS, "case_id string, kind string, value string")
+    df = values(spark, sf_dir)
     each = F.array(*(F.struct(F.lit(t).alias("template"), redactor.redact_value(F.col("value"), F.col("kind"), "partial", t).alias("redacted")) for t in TEMPLATES))
     return df.select("case_id", F.explode(each).alias("x")).select("case_id", "x.*")
 
@@ -532,19 +575,23 @@ def worst_sources(spark, sf_dir):
 LABELLED = [(t, s, d) for s, t, d in fixtures.LABELLED]
 
 
-@query("with " + values_sql("c", ["text", "scanner", "expected"], LABELLED) + f""", s as (select scanner, expected, case scanner when 'pii' then {score_sql('text', C.PII)} when 'code_injection' then {score_sql('text', C.CODE)} when 'secrets' then {score_sql('text', C.SECRETS)}
+@query("with " + values_sql("seed_c", ["text", "scanner", "expected"], LABELLED) + f""", c as (select * from seed_c union all select text, 'toxicity', toxic = 1 from documents join labels using (doc_id)), s as (select scanner, expected, case scanner when 'pii' then {score_sql('text', C.PII)} when 'code_injection' then {score_sql('text', C.CODE)} when 'secrets' then {score_sql('text', C.SECRETS)}
 when 'injection' then {phrase_score_sql(f'len({phrases_sql("text", C.INJECTION)})', 0.4, 0.95)} else {phrase_score_sql(f'len({phrases_sql("text", C.TOXIC)})', 0.3, 0.9)} end > 0.3 as detected from c)
 select scanner, count(*)::bigint as n, count(*) filter (where detected = expected)::bigint as n_right from s group by all""")
 def harness_accuracy(spark, sf_dir):
-    df = spark.createDataFrame(LABELLED, "text string, scanner string, expected boolean")
+    labelled = table(spark, sf_dir, "documents", "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.lit("toxicity").alias("scanner"), (F.col("toxic") == 1).alias("expected"))
+    df = spark.createDataFrame(LABELLED, "text string, scanner string, expected boolean").unionByName(labelled)
     t = F.col("text")
     score = F.when(F.col("scanner") == "pii", top_score(t, C.PII)).when(F.col("scanner") == "code_injection", top_score(t, C.CODE)).when(F.col("scanner") == "secrets", top_score(t, C.SECRETS)).when(F.col("scanner") == "injection", scanners.injection(t)["score"]).otherwise(scanners.toxicity(t)["score"])
     return df.withColumn("detected", score > 0.3).groupBy("scanner").agg(F.count("*").alias("n"), F.count_if(F.col("detected") == F.col("expected")).alias("n_right"))
 
 
-@query("with " + values_sql("c", ["scanner_id", "tier", "direction", "needs_judge", "threshold"], [(i, t, d, j, C.THRESHOLDS["balanced"][i]) for i, t, d, j in C.SCANNERS]) + " select scanner_id, tier, direction, needs_judge, threshold::double as threshold from c")
+@query("with " + values_sql("c", ["scanner_id", "tier", "direction", "needs_judge", "threshold"], [(i, t, d, j, C.THRESHOLDS["balanced"][i]) for i, t, d, j in C.SCANNERS]) + " select scanner_id, tier, direction, needs_judge, threshold::double as threshold, (select count(*) from conversations where direction = 'both' or direction = case role when 'user' then 'input' else 'output' end)::bigint as n_rows from c")
 def scanner_info(spark, sf_dir):
-    return C.scanners(spark)
+    """What there is to scan for, and how many turns each scanner would see."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.when(F.col("role") == "user", "input").otherwise("output").alias("side")).agg(F.count("*").alias("n"))
+    each = C.scanners(spark).withColumn("side", F.explode(F.when(F.col("direction") == "both", F.array(F.lit("input"), F.lit("output"))).otherwise(F.array("direction"))))
+    return each.join(turns, "side", "left").groupBy("scanner_id", "tier", "direction", "needs_judge", "threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 @query(f"select conv_id, turn, case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as shown from conversations")
