@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from textward.functions import sql as sql_functions
 from textward.functions.prefilter import n_tests, prefilter
 from textward.functions.spans import cut, field, flags, found, top_score
-from textward.operators import models, redactor, scanners, screen
+from textward.operators import models, redactor, scanners, screen, watchlist
 from textward.plans import config as conf
 from textward.plans import guard
 from textward.sources import catalogs as C
 from textward.sources import fixtures
+from textward.streaming.conversations import running_risk_stream
+from textward.streaming.pairs import scanned_pairs
+from textward.streaming.replay import CLOSING, Replay, drain
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -183,6 +186,28 @@ def pii_fallback_cases(spark, sf_dir):
     return seeded(spark, sf_dir, PII_ROWS, "documents").select("case_id", top_score(F.col("text"), C.fallback_pii()).alias("score"))
 
 
+# ---- catalogs as tables
+
+_CATALOGS = [(f"{k}_{r[0]}", r[1]) for k, rows in (("pii", C.PII), ("code", C.CODE), ("secrets", C.SECRETS)) for r in rows]
+
+
+def watched(spark, sf_dir):
+    """Every run of three words of the benchmark as a pattern, and all rows of the catalogs."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").withColumn("w", w).filter("size(w) > 2").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("k"))
+    rows = rows.select(F.concat_ws("_", F.lit("bench"), "item_id", "k").alias("pattern_id"), F.concat(F.lit("(?i)"), F.array_join(F.slice("w", F.col("k"), 3), "[ \n]+")).alias("pattern"))
+    return rows.unionByName(spark.createDataFrame(_CATALOGS, "pattern_id string, pattern string"))
+
+
+@query("with " + values_sql("own", ["pattern_id", "pattern"], _CATALOGS) + """, b as (select item_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark),
+k as (select item_id, w, unnest(range(1, len(w) - 1)) as k from b),
+p as (select 'bench_' || item_id || '_' || k as pattern_id, '(?i)' || array_to_string(w[k : k + 2], '[ ' || chr(10) || ']+') as pattern from k union all select * from own)
+select doc_id, pattern_id, len(regexp_extract_all(text, pattern))::bigint as n from documents join p on regexp_matches(text, pattern)""")
+def watchlist_matches(spark, sf_dir):
+    """Which of thousands of patterns, a table, match which documents."""
+    return watchlist.matches(table(spark, sf_dir, "documents", "doc_id", "text"), watched(spark, sf_dir))
+
+
 # ---- code
 
 @query(f"select page_id, score, score >= 0.7 as blocked from (select page_id, {score_sql('html', C.CODE)} as score from pages)")
@@ -607,6 +632,52 @@ def stream_scan_counts(spark, sf_dir):
     return drained(spark, f"{sf_dir}/conversations.parquet").groupBy("role", "blocked").agg(F.count("*").alias("n"))
 
 
+#: The turns have no times: half an hour and more lies between every third turn and the next.
+TS = "timestamp_seconds(1704067200 + turn * 600 + (turn div 3) * 3600 + conv_id % 300)"
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").withColumn("ts", F.expr(TS)).select("conv_id", "turn", "ts", "role", "text")
+
+
+_RISK = _verdict_sql("(select conv_id, turn, coalesce(text, '') as text from conversations)", "conv_id, turn", "text", "input", conf.Config())
+
+
+@query(f"""with v as (select conv_id, turn, risk_score as risk, 1704067200 + turn * 600 + (turn // 3) * 3600 + conv_id % 300 as ts from ({_RISK})),
+g as (select *, case when ts - lag(ts) over (partition by conv_id order by ts, turn) > 1800 then 1 else 0 end as new from v),
+s as (select *, sum(new) over (partition by conv_id order by ts, turn)::bigint as session from g),
+e as (select *, coalesce(max(risk >= 0.9) over (partition by conv_id, session order by ts, turn rows between unbounded preceding and 1 preceding), false) as stopped from s),
+r as (select *, case when not stopped then risk end as own from e)
+select conv_id, turn, session, own as risk, max(own) over w as running_risk, (count(*) filter (where own >= 0.9) over w)::bigint as criticals, stopped from r window w as (partition by conv_id, session order by ts, turn)""")
+def conversation_risk_stream(spark, sf_dir):
+    """The risk of each conversation so far, by a stream with state: turns arrive in slices, neighbours in another order."""
+    rows = turns(spark, sf_dir).drop("role")
+    replay = Replay(spark, rows.schema)
+    replay.slices(rows, F.expr("cast(turn div 4 as int)"), 3)
+    replay.close("ts", "conv_id")
+    return drain(spark, lambda: running_risk_stream(replay.stream()))[0]
+
+
+@query(f"""with t as (select * from conversations), p as (select p.conv_id, p.turn, coalesce(p.text, '') as input_text, coalesce(a.text, '') as output_text, a.conv_id is not null as answered from t p left join t a on a.conv_id = p.conv_id and a.turn = p.turn + 1 and a.role = 'assistant' where p.role = 'user'),
+i as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, input_text as text from p)', 'conv_id, turn', 'text', 'input', conf.Config())})),
+o as (select conv_id, turn, blocked from ({_verdict_sql('(select conv_id, turn, output_text as text from p)', 'conv_id, turn', 'text', 'output', conf.Config())}))
+select conv_id, turn, answered, i.blocked as input_blocked, o.blocked as output_blocked, i.blocked or o.blocked as blocked from p join i using (conv_id, turn) join o using (conv_id, turn)""")
+def pairs_on_streams(spark, sf_dir):
+    """Prompts and answers as two streams; prompts without an answer come out by themselves."""
+    rows = turns(spark, sf_dir)
+    sides = []
+    for role in ("user", "assistant"):
+        own = rows.filter(F.col("role") == role).drop("role")
+        side = Replay(spark, own.schema)
+        side.slices(own, F.expr("cast(turn div 4 as int)"), 3)
+        side.close("ts", "conv_id", "turn")
+        sides.append(side)
+    # an hour and a half lies between a third turn and the fourth
+    out = drain(spark, lambda: scanned_pairs(*(s.stream() for s in sides), within="3 hours"))[0]
+    out = out.filter(F.col("conv_id") != CLOSING)
+    return out.select("conv_id", "turn", "answered", F.col("input_scan.blocked").alias("input_blocked"), F.col("output_scan.blocked").alias("output_blocked"), "blocked")
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 
