@@ -572,6 +572,26 @@ def test_wrappers_see_all_pages(spark):
     assert got[201] == "A long paragraph that both of the copies have, word for word\n1"
 
 
+def test_wrappers_grow_with_their_layouts_alone(spark):
+    def made(layouts):
+        page = lambda k, i: f'<div class="l{k}"><p>Layout {k} says hello to its readers</p><h2 class="x{k}">Always the same</h2><p class="own">page {k} {i} tells what no other tells</p></div>'
+        return spark.createDataFrame([(k * 8 + i, f"http://host/{k}/{i}", page(k, i), "") for k in range(layouts) for i in range(8)], PAGES)
+
+    sizes = {}
+    for layouts in (20, 80):
+        rows = common.columns(made(layouts), page_id="long", url="string", html="string").withColumn("host", htmltext.host_of(F.col("url"))).withColumn("h", F.xxhash64("html"))
+        sizes[layouts] = htmltext.wrappers(rows, htmltext.parsed(rows)).agg(F.count("*"), F.sum(F.size("fixed")), F.max(F.size("fixed"))).first()
+        got = htmltext.extract(made(layouts)).collect()
+        assert all(re.fullmatch(r"page \d+ \d+ tells what no other tells", r.text) for r in got) and len(got) == 8 * layouts
+    assert tuple(sizes[20]) == (20, 40, 2) and tuple(sizes[80]) == (80, 160, 2)
+
+
+@pytest.mark.parametrize("inner", ['<section class="social-impact"><p>{}</p></section>', '<section id="respond-to-crisis"><p>{}</p></section>', '<p class="related">{}</p>', '<figure class="widget"><p>{}</p></figure>'])
+def test_names_of_what_an_article_is_about_stay(inner):
+    page = "<article><h1>Title</h1><p>" + "An article has text. " * 20 + "</p>" + inner.format("This belongs to it.") + "</article>"
+    assert htmltext.main_text(page).endswith("This belongs to it.")
+
+
 def test_names_alone_take_no_article():
     m = htmltext.main_text
     assert m('<div class="widget-container"><article><p>The story goes on and on</p></article></div>') == "The story goes on and on"
