@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from textward.functions import sql as sql_functions
 from textward.functions.prefilter import n_tests, prefilter
 from textward.functions.spans import cut, field, flags, found, top_score
-from textward.operators import models, redactor, scanners, screen, watchlist
+from textward.operators import judging, models, redactor, scanners, screen, thresholds, watchlist
+from textward.plans import asof, guard
 from textward.plans import config as conf
-from textward.plans import guard
 from textward.sources import catalogs as C
 from textward.sources import fixtures
 from textward.streaming.conversations import running_risk_stream
 from textward.streaming.pairs import scanned_pairs
 from textward.streaming.replay import CLOSING, Replay, drain
+from textward.streaming.table import folder
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -348,6 +349,23 @@ def judge_parse(spark, sf_dir):
     return df.withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"), shown.alias("findings"))
 
 
+def brief(prompt: str) -> str:
+    """A judge that knows nothing but how long the question is."""
+    n = len(prompt)
+    return f'{{"faithful": {"true" if n % 2 else "false"}, "confidence": {n % 10 / 10}, "hallucinations": [{", ".join(["{}"] * (n % 3))}]}}'
+
+
+@query(_claims + f""", p as (select case_id, coalesce(input_text, '') as context, length({q(scanners.ASK)} || substr(coalesce(input_text, ''), 1, 4000) || {q(scanners.ANSWER)} || substr(output_text, 1, 4000)) as n from c)
+select case_id, round(case when context = '' then 0.0 when n % 2 = 1 then 1 - (n % 10) / 10 else (n % 10) / 10 end, 9)::double as score, case when context = '' then 0 else n % 3 end::bigint as n_findings, case when context = '' then 'no context' end as error from p""")
+def judge_scores(spark, sf_dir):
+    """A judge's scores of all pairs, by the store of answers: equal questions are asked once."""
+    store = folder(spark) + "/answers"
+    rows = claims(spark, sf_dir).withColumn("prompt", F.when(F.coalesce("input_text", F.lit("")) != "", scanners.judge_prompt(F.col("input_text"), F.col("output_text"))))
+    judging.ask_all(rows, "brief", lambda: brief, store)
+    x = scanners.judged(F.col("input_text"), F.col("judge"))
+    return judging.with_answers(rows, store).withColumn("x", x).select("case_id", F.round("x.score", 9).alias("score"), F.size("x.findings").cast("long").alias("n_findings"), "x.error")
+
+
 # ---- the same for SQL users
 
 @query("select doc_id, " + ", ".join(f"{score_sql('text', r)} as {k}" for k, r in (("pii", C.PII), ("code", C.CODE), ("secrets", C.SECRETS))) + " from (select doc_id, coalesce(text, '') as text from documents)")
@@ -520,6 +538,31 @@ def tenant_config(spark, sf_dir):
     return rows.select("doc_id", "org_id", "score", (conf.tenant_enabled(c, "pii") & (F.col("score") >= F.coalesce(conf.tenant_threshold(c, "pii"), F.lit(0.6)))).alias("blocked"))
 
 
+@query("""with v as (select user_id, ts as since, max(value) as config from events where event_type = 'signup' group by all)
+select event_id, e.user_id, v.config, coalesce(e.value >= v.config, false) as blocked from (select * from events where event_type <> 'signup') e asof left join v on e.user_id = v.user_id and e.ts >= v.since""")
+def config_as_of(spark, sf_dir):
+    """Each event under its user's last configuration before it: a limit, set anew by each signup."""
+    events = table(spark, sf_dir, "events")
+    versions = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("value").alias("config"))
+    rows = asof.as_of(events.filter("event_type != 'signup'").select("event_id", "user_id", "ts", "value"), versions, "user_id", "ts")
+    return rows.select("event_id", "user_id", "config", F.coalesce(F.col("value") >= F.col("config"), F.lit(False)).alias("blocked"))
+
+
+_SCORED = f"select toxic, {phrase_score_sql('len(m)', 0.3, 0.9)} + len(m) / (1 + length(text)) as score from (select l.toxic, text, {phrases_sql('text', C.TOXIC)} as m from documents d join labels l using (doc_id) where text is not null)"
+
+
+@query(f"""with s as (select score as threshold, count(*) filter (where toxic <> 0) as p, count(*) filter (where toxic = 0) as n from ({_SCORED}) group by 1),
+c as (select *, (sum(p) over w)::bigint as tp, (sum(n) over w)::bigint as fp, (sum(p) over ())::bigint as pos, (sum(n) over ())::bigint as neg from s window w as (order by threshold desc)),
+f as (select *, 2 * tp / (tp + fp + pos) as f1, sum(n * (2 * tp - p)) over () / (2.0::double * pos * neg) as auc from c)
+select round(threshold, 12) as threshold, tp, fp, pos - tp as fn, neg - fp as tn, tp / (tp + fp) as precision, tp / pos as recall, f1, f1 = max(f1) over () as best, auc from f""")
+def threshold_sweep(spark, sf_dir):
+    """Every threshold of a toxicity score against the labels, and the area under its curve. Longer texts with as many phrases score a little less."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null").withColumn("x", scanners.toxicity(F.col("text")))
+    docs = docs.select("doc_id", (F.col("x.score") + F.size("x.matched") / (1 + F.length("text"))).alias("score"))
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return thresholds.sweep(rows, "score", "toxic").withColumn("threshold", F.round("threshold", 12))
+
+
 # ---- the second screen, the general redactor
 
 def _screen_sql(source: str, key: str, col: str) -> str:
