@@ -10,7 +10,7 @@ from textward.functions import sql as sql_functions
 from textward.functions.prefilter import n_tests, prefilter
 from textward.functions.spans import cut, field, flags, found, top_score
 from textward.operators import judging, models, redactor, scanners, screen, thresholds, watchlist
-from textward.plans import asof, guard
+from textward.plans import asof, guard, observed, profiles
 from textward.plans import config as conf
 from textward.sources import catalogs as C
 from textward.sources import fixtures
@@ -176,6 +176,21 @@ for _style in ("full", "partial", "hash"):
     _redact(_style)
 
 
+_GRAVE = "case " + " ".join(f"when ord = {k} then {C.SEVERITY[r[2]]}" for k, r in enumerate(C.PII)) + " end"
+
+
+@query("with " + seeded_sql(PII_ROWS, "documents") + f""", s as ({spans_sql("c", "case_id", "text", C.PII)}),
+n as (select *, case when start_ < max(end_) over (partition by case_id order by start_, end_, ord rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from s),
+g as (select *, sum(new) over (partition by case_id order by start_, end_, ord rows between unbounded preceding and current row) as u from n),
+u as (select case_id, min(start_) as s, max(end_) as e, first(ord order by {_GRAVE} desc, ord) as ord from g group by case_id, u),
+t as (select u.*, (select any_value(type) from s where s.ord = u.ord) as type, substr(text, s + 1, e - s) as value from u join c using (case_id)),
+l as (select case_id, list(struct_pack(s := s, e := e, n := {masked_sql("hash", "value", C.PII)}, t := '') order by s desc) as found from t group by case_id)
+select case_id, case when found is null then text else list_reduce(found, lambda a, x: struct_pack(s := 0, e := 0, n := '', t := substr(a.t, 1, x.s) || x.n || substr(a.t, x.e + 1)), struct_pack(s := 0, e := 0, n := '', t := text)).t end as covered from c left join l using (case_id)""")
+def pii_covered(spark, sf_dir):
+    """Texts in which matches that overlap are replaced as one."""
+    return seeded(spark, sf_dir, PII_ROWS, "documents").select("case_id", scanners.pii_covered(F.col("text"), "hash").alias("covered"))
+
+
 @query("with " + seeded_sql(PII_ROWS, "documents") + f" select case_id, type, start_, end_, {masked_sql('partial', 'value', C.PII)} as value from ({spans_sql('c', 'case_id', 'text', C.PII)})")
 def pii_cases(spark, sf_dir):
     rows = guard.findings_table(seeded(spark, sf_dir, PII_ROWS, "documents"), "case_id", kinds=("pii",), style="partial")
@@ -385,6 +400,17 @@ def sql_lateral_findings(spark, sf_dir):
     return spark.sql("SELECT case_id, catalog, type, severity, start AS start_, end AS end_, value FROM {cases}, LATERAL scan_findings(text)", cases=seeded(spark, sf_dir, ALL_ROWS, "documents"))
 
 
+_found_docs = " union all ".join(f"select doc_id::varchar as key, '{k}' as catalog, type, severity, start_, end_, value from ({spans_sql('documents', 'doc_id', 'text', r)})" for k, r in sql_functions.CATALOGS.items())
+
+
+@query(_found_docs)
+def sql_table_findings(spark, sf_dir):
+    """The findings of all documents by the Arrow table function over a table."""
+    sql_functions.register(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").selectExpr("cast(doc_id as string) as key", "text")
+    return spark.sql("SELECT key, catalog, type, severity, start AS start_, end AS end_, value FROM scan_table(TABLE(SELECT key, text FROM {docs}))", docs=docs)
+
+
 # ---- verdicts
 
 def _verdict_sql(source: str, key: str, col: str, direction: str, config: conf.Config) -> str:
@@ -625,6 +651,31 @@ def redactor_templates(spark, sf_dir):
 
 # ---- analytics
 
+@query(f"""with s as (select doc_id, type, count(*) as n from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by all)
+select lang, type, sum(n)::bigint as n, count(distinct doc_id)::bigint as n_keys from s join documents using (doc_id) group by all union all select lang, null, count(*)::bigint, count(distinct doc_id)::bigint from documents group by lang""")
+def merged_profile(spark, sf_dir):
+    """Findings by language, merged from stored profiles of each source; distinct documents by sketches."""
+    at = folder(spark) + "/profiles"
+    profiles.profile(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), "doc_id", ["source", "lang"]).write.parquet(at)
+    return profiles.read(profiles.merge(spark.read.parquet(at), ["lang"])).select("lang", "type", "n", "n_keys")
+
+
+def _observed_sql() -> str:
+    score = {"secrets": score_sql("text", C.SECRETS), "pii": score_sql("text", C.PII), "code_injection": score_sql("text", C.CODE), "toxicity": phrase_score_sql(f"len({phrases_sql('text', C.TOXIC)})", 0.3, 0.9)}
+    limit = {i: conf.Config().threshold(i) for i in score}
+    rows = [f"select '{i}_{f}' as metric, count(*) filter (where {c})::bigint as value from v" for i in score for f, c in (("ran", f"{i} is not null"), ("spared", f"{i} is null"), ("hits", f"{i} > 0"), ("failed", f"{i} >= {limit[i]}"))]
+    rows += ["select 'n_rows', count(*)::bigint from v", "select 'n_blocked', count(*) filter (where " + " or ".join(f"coalesce({i} >= {limit[i]}, false)" for i in score) + ")::bigint from v"]
+    return f"with r as (select {', '.join(f'{c} as {i}' for i, c in score.items())} from (select coalesce(text, '') as text from documents)), v as (select * replace (case when greatest(secrets, pii, code_injection) >= 0.9 then null else toxicity end as toxicity) from r) " + " union all ".join(rows)
+
+
+@query(_observed_sql())
+def observed_metrics(spark, sf_dir):
+    """What a scan tells of itself while it writes: rows run, spared by early exit, hit and failed for each check."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    told = observed.timed(docs, lambda df: df.select("doc_id", "scan.blocked").write.parquet(folder(spark) + "/verdicts"), direction="output")
+    return spark.createDataFrame([(k, v) for k, v in told.items() if k not in ("seconds", "ms_per_row")], "metric string, value long")
+
+
 @query(f"select lang, type, count(*)::bigint as n from (select d.lang, s.type from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) s join documents d using (doc_id)) group by rollup (lang, type)")
 def corpus_profile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(scanners.pii_findings(F.col("text"))).alias("f"))

@@ -107,6 +107,28 @@ def splice(text: Column, found: Column) -> Column:
     return F.aggregate(order, text, lambda a, x: F.concat(F.substring(a, F.lit(1), -x["k"]), x["new"], F.substring(a, x["end"] + 1, F.lit(2**31 - 1))))
 
 
+def unions(found: Column, rank: Column | None = None) -> Column:
+    """array<struct(start, end, ord)>: the found spans (start, end, ord), those that overlap as one, in order.
+
+    A union has the ord of its gravest span: the one whose place in ``rank`` (an array of numbers) is largest, of equal ones
+    the least ord. Spans that only touch stay two. One sweep over the sorted spans.
+    """
+    weight = lambda o: F.lit(0.0) if rank is None else F.get(rank, o).cast("double")
+    span = "struct<start:int,end:int,ord:int,w:double>"
+    order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["ord"].cast("int").alias("ord"), weight(x["ord"]).alias("w"))))
+    begin = F.struct(F.lit(None).cast(span).alias("cur"), F.array().cast(f"array<{span}>").alias("out"))
+
+    def step(s, x):
+        cur = s["cur"]
+        graver = (x["w"] > cur["w"]) | ((x["w"] == cur["w"]) & (x["ord"] < cur["ord"]))
+        both = F.struct(cur["start"].alias("start"), F.greatest(cur["end"], x["end"]).alias("end"), F.when(graver, x["ord"]).otherwise(cur["ord"]).alias("ord"), F.greatest(cur["w"], x["w"]).alias("w"))
+        over = cur.isNotNull() & (x["start"] < cur["end"])
+        return F.struct(F.when(over, both).otherwise(x).cast(span).alias("cur"), F.when(over | cur.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(cur))).alias("out"))
+
+    merged = F.aggregate(order, begin, step, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
+    return F.transform(merged, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["ord"].alias("ord")))
+
+
 def masked(value: Column, style: str, template: str) -> Column:
     """A finding's value under a style: full, partial (by the pattern's template) or hash."""
     if style == "full":

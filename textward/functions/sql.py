@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from textward.functions.prefilter import DIGIT, prefilter
 from textward.functions.spans import java
 from textward.sources import catalogs as C
 
@@ -39,8 +42,33 @@ class ScanFindings:
                 yield k, i, s, m.start(), m.end(), m.group()
 
 
+TABLE = "key string, " + FINDINGS
+
+
+class ScanTable:
+    """scan_table(TABLE(SELECT key, text ...)): the same for whole Arrow batches of a table; patterns read only texts that hold their literals."""
+
+    def __init__(self):
+        self.catalogs = [(k, [(i, s, re.compile(p)) for i, p, s, *_ in rows], prefilter([r[1] for r in rows])) for k, rows in CATALOGS.items()]
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        out: list[tuple] = []
+        for key, text in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not text:
+                continue
+            low, odd = text.lower(), not text.isascii()
+            digit = any(c.isdigit() for c in low)
+            for name, rows, made in self.catalogs:
+                has = {n for n in made.needles if (digit if n == DIGIT else n in low)}
+                for (i, s, p), clauses, folds in zip(rows, made.clauses, made.odd, strict=True):
+                    if odd and folds or all(c & has for c in clauses):
+                        out += [(key, name, i, s, m.start(), m.end(), m.group()) for m in p.finditer(text)]
+        kinds = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()]
+        yield pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[c.split()[0] for c in TABLE.split(", ")])
+
+
 def register(spark: SparkSession) -> None:
-    """Makes pii_score(text), code_score(text), secrets_score(text) and the table function scan_findings(text) known to the session.
+    """Makes pii_score(text), code_score(text), secrets_score(text) and the table functions scan_findings(text) and scan_table(TABLE(...)) known to the session.
 
     The scores are SQL functions, which the optimizer replaces by their expression. The table function runs in Python, for
     LATERAL joins; over whole corpora :func:`textward.plans.guard.findings_table` gives the same rows without it.
@@ -48,3 +76,4 @@ def register(spark: SparkSession) -> None:
     for name, rows in CATALOGS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_score(t STRING) RETURNS DOUBLE RETURN {score_expression('t', rows)}")
     spark.udtf.register("scan_findings", F.udtf(ScanFindings, returnType=FINDINGS))
+    spark.udtf.register("scan_table", F.arrow_udtf(ScanTable, returnType=TABLE))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textward.functions.prefilter import guarded
-from textward.functions.spans import cut, field, found, hit, let, masked, score_of, splice
+from textward.functions.spans import cut, field, found, hit, let, masked, score_of, splice, unions
 from textward.sources import catalogs as C
 
 FINDING = "struct<type:string,value:string,start:int,end:int,severity:string,confidence:double,detail:string>"
@@ -58,6 +58,28 @@ def pii_redacted(text: Column, style: str = "full", rows: list[tuple] = C.PII) -
     return let(found(text, rows), lambda hits: redacted_by(text, hits, style, rows))
 
 
+def covered_by(text: Column, hits: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
+    """The text with each union of overlapping matches replaced once, by the gravest one's form; as it is without any.
+
+    Nothing outside a match is lost, and of a match nothing stays but what its style shows. :func:`redacted_by` replaces
+    overlapping matches one after another, at the places that they had before.
+    """
+    rank = F.array(*(F.lit(C.SEVERITY[r[2]]) for r in rows))
+
+    def build(u):
+        ends = F.concat(F.array(F.lit(0)), F.transform(u, lambda x: x["end"]))
+        piece = lambda x, i: F.concat(F.substring(text, F.get(ends, i) + 1, x["start"] - F.get(ends, i)), masked_value(F.substring(text, x["start"] + 1, x["end"] - x["start"]), x["ord"], style, rows))
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.lit(2**31 - 1))
+        return F.when(F.size(u) == 0, text).otherwise(F.concat(F.array_join(F.transform(u, piece), ""), rest))
+
+    return let(unions(hits, rank), build)
+
+
+def pii_covered(text: Column, style: str = "full", rows: list[tuple] = C.PII) -> Column:
+    """As :func:`covered_by`, of all personal data."""
+    return let(found(text, rows), lambda hits: covered_by(text, hits, style, rows))
+
+
 def matched_of(hits: Column, rows: list[tuple], confidence: float, mask: bool = False) -> Column:
     """The findings of matches of a catalog with categories; the value is cut to 100 characters, or masked."""
     show = (lambda v: F.concat(F.substring(v, 1, 4), F.lit("***"))) if mask else (lambda v: cut(v, 100))
