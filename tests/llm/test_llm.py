@@ -461,7 +461,7 @@ def brute_neighbours(rows, every, k=10):
 
 def test_windows_over_many_partitions(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    run = lambda **x: sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(vectors, every=20, **x).collect())
+    run = lambda **x: sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(vectors, every=20, wider=(1,), target=0.0, **x).collect())
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in vectors.collect()]
     want = brute_neighbours(rows, 20)
     narrow = run(half=6, part=400)
@@ -479,13 +479,56 @@ def test_work_for_a_query_is_the_same_in_larger_tables(spark, monkeypatch):
         # clusters, so that neighbours are near
         v = rng.normal(size=(n // 20, 8)).repeat(20, 0) + 0.05 * rng.normal(size=(n, 8))
         rows = [(i, v[i].tolist()) for i in range(n)]
-        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, half=20, curves=8, part=2000)
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, half=20, curves=8, part=2000, wider=(1,), target=0.0)
         got = sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect())
         want = brute_neighbours(rows, 50)
         seen.append(len(set((q, i) for q, _, i in got) & set((q, i) for q, _, i in want)) / len(want))
     assert min(seen) >= 0.9  # 8 windows of 41 rows, whatever the table's size
 
 
+def found_of(got, want):
+    return len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i in want}) / len(want)
+
+
+def unstructured(n, dim=24, seed=11):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    return v, [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)]
+
+
+def test_registered_windows_find_neighbours_of_unstructured_vectors(spark):
+    v, rows = unstructured(20_000)
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = []
+    for q in range(0, 20_000, 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        want += [(q, 0, int(i)) for i in np.argsort(d)[:10]]
+    assert found_of(got, want) >= 0.9
+
+
+@pytest.mark.parametrize(("wider", "target"), [((1, 4, 16), 0.9), ((1,), 0.97)])
+def test_windows_widen_until_recall_holds(spark, wider, target):
+    _, rows = unstructured(1500, 16)
+    want = brute_neighbours(rows, 20)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    narrow = ann.search(frame, every=20, half=5, curves=8, wider=(1,), target=0.0).collect()
+    got = ann.search(frame, every=20, half=5, curves=8, wider=wider, target=target).collect()
+    assert found_of(narrow, want) < 0.7 and found_of(got, want) >= target - 0.03
+    if wider == (1,):  # no window will do: all rows, exactly
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LENGTHS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=2 + i % 9 if i % 3 else 4).tolist()) for i in range(400)] + [(500, [1e-170, 1e-170]), (600, [2e-170, 0.0]), (501, [-1e200, 1e200])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+    usual = [r for r in rows if r[0] < 500]
+    assert found_of([r for r in got if r.query_id < 500], [x for x in brute_neighbours(usual, 10)]) >= 0.9
+    assert [r.vec_id for r in got if r.query_id == 500 and r["rank"] == 1] == [600]
+
+
 def test_neighbours_far_from_the_origin(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (1e6 + 1e-3 * rng.normal(size=6)).tolist()) for i in range(300)]
