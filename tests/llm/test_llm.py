@@ -125,6 +125,20 @@ def test_unigram_viterbi_is_the_best_score():
         assert sum(m.scores[i] for i in ids) == pytest.approx(sum(best(w) for w in m.cut(word)))
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_a_long_word_takes_little_memory(kind):
+    import tracemalloc
+
+    names = ["▁", "a", "b", "c", "ab", "bc", "abc"]
+    m = sentencepiece.Model(unigram([("<unk>", 0, 2), *((n, -1.0, 1) for n in names)]) if kind == "unigram" else open(public.path("piece_bpe_32k.model"), "rb").read())
+    word = "▁" + "abcX" * 100_000
+    tracemalloc.start()
+    flat = m.segment(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(word) and len(flat) > 100_000  # 10 MB of base64 within 500 MB
+
+
 def test_sentencepiece_queries(spark, odd, empty):
     path = public.path("piece_bpe_32k.model")
     rows = sentencepiece.round_trip(odd, path).collect()
@@ -563,6 +577,22 @@ def test_languages(spark, sf, odd, empty):
     assert langid.keep(odd).columns == odd.columns
 
 
+def test_the_most_frequent_languages_are_learned(spark, sf, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    often = [r.lang for r in langid.learnable(langid.split(docs)).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert langid.train(langid.split(docs)).classes == sorted(often)
+
+
+def test_files_go_by_bytes(spark, sf, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert tokenids.files_for(docs) is None and tokenids.files_for(spark.createDataFrame([(1, "x")], "doc_id long, text string")) is None
+    want = sorted(map(tuple, tokenids.read(tokenids.write(docs, f"file://{tmp_path}/a", public.path("word_bpe_49k.json"))).collect()))
+    monkeypatch.setattr(tokenids, "FILE", 20_000)
+    manifest = tokenids.write(docs, f"file://{tmp_path}/b", public.path("word_bpe_49k.json"))
+    assert manifest.count() > 4 and sorted(map(tuple, tokenids.read(manifest).collect())) == want
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a>menu</a></nav><header>top</header><div class="cookie-notice">ok?</div><article><header><h1>Head &amp; more</h1></header><p>one\n two<br>three<p>four <b>bold</b> x<script>var a="<p>";</script> y<div class="ad">buy</div><ul><li>a<li>b</ul><section id="comments"><p>nice</section><form>f</form></article><aside>side</aside><footer>f</footer>'
     assert htmltext.main_text(page) == "Head & more\none two three\nfour bold x y\na\nb"

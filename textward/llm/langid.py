@@ -18,6 +18,8 @@ SAMPLE, TOTAL = 1500, 100_000
 #: Texts of more code points reach the driver as counts of their n-grams, which DIM bounds.
 LONG = 20_000
 UND = "und"
+#: So many languages are learned at most: the weights are two numbers for each n-gram and language.
+LANGS = 100
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -143,12 +145,15 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on learnable documents: document frequencies over all, weights on ``sample`` of each language at most."""
+    """Fits on learnable documents: document frequencies over all, weights on ``sample`` of each language at most.
+
+    The LANGS most frequent languages are learned, ties by name; texts in others are predicted as what they are likest to.
+    """
     known = learnable(docs)
     df, n = document_frequencies(known)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
     # how many there are of each language gives a share by hash, so that what reaches the driver is bounded
-    sizes = common.materialize(known.groupBy("lang").agg(F.count("*").alias("m")), "languages")
+    sizes = common.materialize(known.groupBy("lang").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "lang").limit(LANGS), "languages")
     share = F.least(F.lit(1.0), F.lit(float(min(sample, TOTAL // max(1, sizes.count())))) / F.col("m"))
     sizes = sizes.select("lang", (F.floor(share * (1 << 20)) + 1).alias("below"))
     taken = known.join(common.few(sizes, 100_000), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("below"))

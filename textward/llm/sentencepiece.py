@@ -26,6 +26,8 @@ from .encode import Store, by_text, parts, ragged
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: At a position that no piece reaches.
+NONE = -2
 #: What the score of an unknown character is below the least of the pieces.
 PENALTY = 10.0
 ROW = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, round_trip boolean"
@@ -141,39 +143,50 @@ class Model:
         return [self.bytes[x] for x in raw] if self.fallback and all(x in self.bytes for x in raw) else [self.unk]
 
     def segment(self, word: str) -> list[int]:
-        """One pass: at each position the pieces that end there, by the automaton's output links."""
+        """One pass: at each position the pieces that end there, by the automaton's output links.
+
+        Of a position two numbers are kept, its piece (-1: a character without one, NONE: no way here) and the piece's length;
+        of a unigram model the score, too. So a word of any length takes some 16 bytes a character, and its ids.
+        """
         n = len(word)
-        last, ends = [None] * (n + 1), [[] for _ in range(n + 1)]
-        for end, (i, size) in self.auto.iter(word) if len(self.auto) else ():
-            ends[end + 1].append((i, size))
-        best = [0.0] + [float("-inf")] * n
+        piece, size = array("i", [NONE]) * (n + 1), array("i", [1]) * (n + 1)
+        unigram = self.kind == UNIGRAM
+        best = array("d", [float("-inf")]) * (n + 1 if unigram else 1)
+        best[0] = 0.0
+        events = iter(self.auto.iter(word)) if len(self.auto) else iter(())
+        held = next(events, None)
         for at in range(1, n + 1):
-            if self.kind == UNIGRAM:
-                for i, size in ends[at]:
-                    if (s := best[at - size] + self.scores[i]) > best[at]:
-                        best[at], last[at] = s, (i, size)
-                if not any(size == 1 for _, size in ends[at]) and (s := best[at - 1] + self.least) > best[at]:
-                    best[at], last[at] = s, (-1, 1)
+            here = []
+            while held is not None and held[0] + 1 == at:
+                here.append(held[1])
+                held = next(events, None)
+            if unigram:
+                for i, k in here:
+                    if (s := best[at - k] + self.scores[i]) > best[at]:
+                        best[at], piece[at], size[at] = s, i, k
+                if not any(k == 1 for _, k in here) and (s := best[at - 1] + self.least) > best[at]:
+                    best[at], piece[at], size[at] = s, -1, 1
             else:
-                for i, size in ends[at]:
-                    before = last[at - size]
-                    if at == size or before is not None and (before[0] < 0 or self.fits(before[0], i)):
-                        last[at] = (i, size)
+                for i, k in here:
+                    before = piece[at - k]
+                    if at == k or before != NONE and (before < 0 or self.fits(before, i)):
+                        piece[at], size[at] = i, k
                         break
                 else:
                     # a character without a piece takes no part in merges; inside a word a prefix always has its pieces
-                    last[at] = (-1, 1) if word[at - 1] not in self.id else None
-        out: list[list[int]] = []
-        at = n
+                    if word[at - 1] not in self.id:
+                        piece[at] = -1
+        out, at = array("i"), n  # from the last to the first
+        joined = unigram and not self.fallback  # runs of unknown characters are one
         while at:
-            if last[at] is None:
+            if piece[at] == NONE:
                 return self.unlinked(word)
-            i, size = last[at]
-            out.append([i] if i >= 0 else self.unknown(word[at - 1]))
-            at -= size
-        if self.kind == UNIGRAM and not self.fallback:  # runs of unknown characters are one
-            out = [x for k, x in enumerate(out) if x != [self.unk] or k == 0 or out[k - 1] != [self.unk]]
-        return [i for own in reversed(out) for i in own]
+            for i in (piece[at],) if piece[at] >= 0 else reversed(self.unknown(word[at - 1])):
+                if not (joined and i == self.unk and len(out) and out[-1] == self.unk):
+                    out.append(i)
+            at -= size[at]
+        out.reverse()
+        return out.tolist()
 
     def unlinked(self, word: str) -> list[int]:
         """The merges themselves, for the case that a prefix had no compatible piece."""

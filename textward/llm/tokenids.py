@@ -18,16 +18,29 @@ MANIFEST = "part long, path string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Bytes of the table, as the plan estimates them, for each file at most.
+FILE = 256 << 20
+
+
+def files_for(rows: DataFrame) -> int | None:
+    """How many files a table needs beyond what the session's shuffles have; None if those do, or its size isn't known."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    need = -(-size // FILE)
+    return need if size < 1 << 60 and need > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def write(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int | None = 1, parts: int | None = None) -> DataFrame:
     """Encodes each whole ``text`` and writes one file for each range of ``doc_id``; returns the manifest of the files.
 
     Null and empty texts give no ids but ``end_id`` (null: none is appended). Rows are ordered by doc_id, nulls first,
     then by text; equal rows are kept, each as a document. An empty table gives no file. Other columns are ignored.
     Equal doc_ids spread over ranges by their text's hash, so a doc_id fills no task; only rows that are equal in both lie in
-    one range. A range's file is written under an attempt's own name and moved into place, so a task may run again.
+    one range. ``parts`` is how many files there are; if not told, as many as shuffles have, or one for each FILE bytes if
+    those are more. A range's file is written under an attempt's own name and moved into place, so a task may run again.
     """
     rows = common.columns(docs, doc_id="long", text="string").withColumn("_h", F.xxhash64("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
+    parts = parts or files_for(docs)
     rows = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
