@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from textward.streaming.conversations import running_risk_stream
 from textward.streaming.pairs import scanned_pairs
 from textward.streaming.replay import CLOSING, Replay, drain
 from textward.streaming.table import folder
+from textward.streaming.wiring import blocked_counts, quarantine, scan_stream
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -772,6 +776,128 @@ def pairs_on_streams(spark, sf_dir):
     return out.select("conv_id", "turn", "answered", F.col("input_scan.blocked").alias("input_blocked"), F.col("output_scan.blocked").alias("output_blocked"), "blocked")
 
 
+@query(f"""with v as (select ts, blocked from ({_verdict_sql('(select conv_id, turn, coalesce(text, chr(32)) as text from conversations)', 'conv_id, turn', 'text', 'input', conf.Config())}) join (select conv_id, turn, 1704067200 + turn * 600 + (turn // 3) * 3600 + conv_id % 300 as ts from conversations) using (conv_id, turn))
+select to_timestamp(ts // 300 * 300)::timestamp as begins, count(*)::bigint as n, count(*) filter (where blocked)::bigint as n_blocked from v group by 1""")
+def blocked_counts_stream(spark, sf_dir):
+    """Turns and blocked turns for each five minutes of event time, by a stream."""
+    rows = turns(spark, sf_dir).drop("role")
+    replay = Replay(spark, rows.schema)
+    replay.slices(rows, F.expr("cast(turn div 4 as int)"), 3)
+    replay.close("ts", "conv_id")
+    out = drain(spark, lambda: blocked_counts(scan_stream(replay.stream()), "ts"))[0]
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("begins"), "n", "n_blocked")
+
+
+# ---- the rest of the surface, over the tables
+
+@query(f"select doc_id, score, 0.6::double as threshold, score > 0.6 as detected, coalesce(n, 0)::bigint as n_findings from (select doc_id, {score_sql('text', C.PII)} as score from documents) left join (select doc_id, count(*) as n from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by doc_id) using (doc_id)")
+def single_scanner_test(spark, sf_dir):
+    """One scanner alone, as a user tries it."""
+    rows = guard.test_scanner(table(spark, sf_dir, "documents", "doc_id", "text"), "pii")
+    return rows.select("doc_id", "score", "threshold", "detected", F.size("findings").cast("long").alias("n_findings"))
+
+
+@query("select doc_id, false as blocked, 0.0::double as risk_score, '' as checks_run, text as sanitized from documents")
+def empty_plan(spark, sf_dir):
+    """With every scanner off nothing is blocked, scored or redacted."""
+    off = conf.Config(scanners=dict.fromkeys(conf.IDS, False))
+    rows = guard.scan(guard.verdict(table(spark, sf_dir, "documents", "doc_id", "text"), direction="output", config=off), direction="output", config=off)
+    return rows.select("doc_id", "blocked", "risk_score", "checks_run", F.col("scan.sanitized_text").alias("sanitized"))
+
+
+OWN_PATTERNS = [("word_the", r"(?i)\bthe\b", "low", "words"), ("broken", "[", "critical", "words"), ("long_number", r"[0-9]{6}", "high", "numbers")]
+_OWN = [r for r in OWN_PATTERNS if r[0] != "broken"]
+
+
+@query(f"select doc_id, score >= 0.5 as blocked, score as risk_score, 'house_rules' as checks_run from (select doc_id, {score_sql('text', _OWN)} as score from (select doc_id, coalesce(text, '') as text from documents))")
+def own_scanner(spark, sf_dir):
+    """A registered scanner of patterns of one's own; what doesn't compile is left out."""
+    scanners.register_patterns("house_rules", OWN_PATTERNS)
+    try:
+        return guard.verdict(table(spark, sf_dir, "documents", "doc_id", "text"), checks=["house_rules"]).select("doc_id", "blocked", "risk_score", "checks_run")
+    finally:
+        del scanners.registered["house_rules"]
+
+
+@query(f"select doc_id, {score_sql('text', _OWN)} as score from documents where text is not null")
+def catalog_from_json(spark, sf_dir):
+    """A catalog read from a JSON file."""
+    with tempfile.TemporaryDirectory() as d:  # read on the driver, before the query runs
+        path = os.path.join(d, "catalog.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({"patterns": [dict(zip(("id", "pattern", "severity", "category"), r, strict=True)) for r in OWN_PATTERNS]}, f)
+        rows = C.from_json(path, "category")
+    return table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null").select("doc_id", top_score(F.col("text"), rows).alias("score"))
+
+
+def _configs() -> dict[str, conf.Config]:
+    """Configurations that went through a file, an environment and a nested dict."""
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "config.json")
+        conf.Config(sensitivity="strict", scanners={"pii": False}).save(path)
+        saved = conf.from_file(path)
+    env = conf.from_env("X_", {"X_SENSITIVITY": "low", "X_ENABLE_TOXICITY": "false"})
+    return {"file": saved, "env": env, "dict": conf.from_dict({"scanners": {"pii": {"enabled": True, "threshold": 0.3}, "injection": False}, "early_exit": False})}
+
+
+_TOLD = {"file": conf.Config(sensitivity="strict", scanners={"pii": False}), "env": conf.Config(sensitivity="low", scanners={"toxicity": False}), "dict": conf.Config(thresholds={"pii": 0.3}, scanners={"injection": False, "pii": True}, early_exit=False)}
+_TURNS = "(select conv_id, turn, coalesce(text, '') as text from conversations)"
+
+
+@query(" union all ".join(f"select '{n}' as source, checks_run, count(*)::bigint as n, count(*) filter (where blocked)::bigint as n_blocked from ({_verdict_sql(_TURNS, 'conv_id, turn', 'text', 'input', c)}) group by all" for n, c in _TOLD.items()))
+def config_sources(spark, sf_dir):
+    """Verdicts under configurations from a saved file, the environment and a dict."""
+    docs, out = table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), None
+    for name, c in _configs().items():
+        own = guard.verdict(docs, config=c).groupBy("checks_run").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked")).select(F.lit(name).alias("source"), "checks_run", "n", "n_blocked")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"select conv_id, turn, blocked, risk_score, checks_run from ({_verdict_sql(_TURNS, 'conv_id, turn', 'text', 'input', conf.Config())})")
+def scan_as_json(spark, sf_dir):
+    """A scan's result as JSON for sinks of text, read again."""
+    rows = guard.as_json(guard.scan(table(spark, sf_dir, "conversations", "conv_id", "turn", "text")))
+    at = F.from_json("scan_json", "blocked boolean, risk_score double, checks map<string,struct<score:double>>")
+    return rows.withColumn("j", at).select("conv_id", "turn", "j.blocked", "j.risk_score", F.array_join(F.array_sort(F.map_keys("j.checks")), ",").alias("checks_run"))
+
+
+@query(f"select blocked, count(*)::bigint as n, count(distinct conv_id)::bigint as n_conversations from ({_verdict_sql(_TURNS, 'conv_id, turn', 'text', 'input', conf.Config())}) group by 1")
+def quarantined(spark, sf_dir):
+    """A stream that parts what passes from what is blocked, into two tables."""
+    rows = turns(spark, sf_dir).drop("role")
+    replay, at = Replay(spark, rows.schema), folder(spark)
+    replay.slices(rows, F.expr("cast(turn div 4 as int)"), 3)
+    quarantine(scan_stream(replay.stream()), f"{at}/passed", f"{at}/blocked", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/passed").unionByName(spark.read.parquet(f"{at}/blocked")).groupBy("blocked").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_conversations"))
+
+
+_level = lambda x: f"case when {x} > 0.9 then 'critical' when {x} > 0.7 then 'high' else 'medium' end"
+_screened_pii = ", ".join(f"case when {matches('text', screen.pattern(p, i))} then 'pii_{n}:{lv}' end" for n, p, i, lv in C.SCREEN)
+
+
+@query(f"""with m as (select doc_id, text, doc_id % 100 / 100.0::double as i, doc_id % 37 / 37.0::double as h from documents),
+t as (select *, list_filter([case when i > 0.5 then 'prompt_injection:' || {_level('i')} end, case when h > 0.5 then 'harmful_content:' || {_level('h')} end, {_screened_pii}], lambda x: x is not null) as t, len(list_filter([{_screened_pii}], lambda x: x is not null)) > 0 as p from m)
+select doc_id, p or greatest(i, h) >= 0.7 as blocked, round(case when p then 1.0 else greatest(i, h) end, 9)::double as risk_score, array_to_string(t, '|') as threats from t""")
+def screen_models(spark, sf_dir):
+    """The second screen with two models' scores beside its patterns."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = screen.screen(docs, injection=F.col("doc_id") % 100 / F.lit(100.0), harmful=F.col("doc_id") % 37 / F.lit(37.0))
+    shown = F.array_join(F.transform("screen.threats", lambda t: F.concat(t["type"], F.lit(":"), t["level"])), "|")
+    return rows.select("doc_id", "screen.blocked", F.round("screen.risk_score", 9).alias("risk_score"), shown.alias("threats"))
+
+
+def broken_model():
+    raise OSError("no such model")
+
+
+@query(f"select conv_id, turn, {phrase_score_sql('len(m)', 0.4, 0.95)} as score from (select conv_id, turn, {phrases_sql('text', C.INJECTION)} as m from {_TURNS})")
+def broken_model_lets_pass(spark, sf_dir):
+    """A model that can't be loaded leaves the phrases' score: scans fail open."""
+    rows = guard.scan(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), checks=["injection"], models={"injection": models.probability("broken", lambda: broken_model())})
+    return rows.select("conv_id", "turn", F.col("scan.checks")["injection"]["score"].alias("score"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 
