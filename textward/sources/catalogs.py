@@ -103,6 +103,55 @@ SECRETS = [
     ("password_assignment", r"""(?i)\b(?:password|passwd|pwd)\s*[=:]\s*['"]?[^\s'"]{4,}""", "high", "password"),
     ("api_key_assignment", r"""(?i)\b(?:api[_-]?key|apikey|secret[_-]?key|access[_-]?token)\s*[=:]\s*['"]?[\w-]{20,}""", "high", "token"),
 ]
+# The smaller catalogs that are used where the main ones can't be read, in the same columns.
+FALLBACK_PII = [
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "critical", "***-**-{last4}"),
+    ("credit_card_visa", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "critical", "****-****-****-{last4}"),
+    ("credit_card_mastercard", r"\b5[1-5][0-9]{14}\b", "critical", "****-****-****-{last4}"),
+    ("credit_card_amex", r"\b3[47][0-9]{13}\b", "critical", "****-******-*{last4}"),
+    ("credit_card_discover", r"\b6(?:011|5[0-9]{2})[0-9]{12}\b", "critical", "****-****-****-{last4}"),
+    ("phone_us", r"\b(?:\+1[-.\s]?)?(?:\([0-9]{3}\)|[0-9]{3})[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b", "medium", "(***) ***-{last4}"),
+    ("email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "medium", "{first}***@***.***"),
+    ("ip_address", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "low", "***.***.***.***"),
+    ("date_of_birth", r"(?i)\b(?:dob|birth\s*date|date\s*of\s*birth)[:\s]+\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "high", "[DOB REDACTED]"),
+    ("drivers_license", r"(?i)\b(?:driver'?s?\s*license|dl)[:\s#]*[A-Z0-9]{5,15}\b", "high", "[DL REDACTED]"),
+    ("passport", r"(?i)\b(?:passport)[:\s#]*[A-Z0-9]{6,12}\b", "high", "[PASSPORT REDACTED]"),
+    ("bank_account", r"(?i)\b(?:account|acct)[:\s#]*\d{8,17}\b", "critical", "[ACCOUNT REDACTED]"),
+    ("routing_number", r"(?i)\b(?:routing|aba)[:\s#]*\d{9}\b", "high", "[ROUTING REDACTED]"),
+]
+FALLBACK_CODE = [
+    ("sql_select", r"(?i)\bSELECT\b.+\bFROM\b", "medium", "sql"),
+    ("sql_union", r"(?i)\bUNION\s+(ALL\s+)?SELECT\b", "critical", "sql"),
+    ("sql_drop", r"(?i)\bDROP\s+(TABLE|DATABASE|INDEX|VIEW)\b", "critical", "sql"),
+    ("sql_delete", r"(?i)\bDELETE\s+FROM\b", "high", "sql"),
+    ("sql_insert", r"(?i)\bINSERT\s+INTO\b", "medium", "sql"),
+    ("sql_update", r"(?i)\bUPDATE\b.+\bSET\b", "medium", "sql"),
+    ("sql_truncate", r"(?i)\bTRUNCATE\s+(TABLE\s+)?\w+", "critical", "sql"),
+    ("sql_comment", r";\s*--", "high", "sql"),
+    ("sql_or_true", r"""(?i)\bOR\s+['"]?\d+['"]?\s*=\s*['"]?\d+['"]?""", "critical", "sql"),
+    ("sql_and_true", r"""(?i)\bAND\s+['"]?\d+['"]?\s*=\s*['"]?\d+['"]?""", "high", "sql"),
+    ("xss_script", "(?i)<script[^>]*>", "critical", "xss"),
+    ("xss_javascript", "(?i)javascript:", "critical", "xss"),
+    ("xss_event_handler", r"(?i)\bon\w+\s*=", "high", "xss"),
+    ("xss_iframe", "(?i)<iframe[^>]*>", "high", "xss"),
+    ("xss_embed", "(?i)<embed[^>]*>", "high", "xss"),
+    ("xss_object", "(?i)<object[^>]*>", "high", "xss"),
+    ("xss_expression", r"(?i)expression\s*\(", "high", "xss"),
+    ("xss_vbscript", "(?i)vbscript:", "critical", "xss"),
+    ("cmd_semicolon", r";\s*(rm|cat|ls|wget|curl|bash|sh|python|perl|ruby|chmod|chown|kill|pkill)\b", "critical", "command"),
+    ("cmd_pipe", r"\|\s*(bash|sh|zsh|cat|grep|awk|sed|python|perl)\b", "critical", "command"),
+    ("cmd_backtick", "`[^`]+`", "high", "command"),
+    ("cmd_subshell", r"\$\([^)]+\)", "high", "command"),
+    ("cmd_and", r"&&\s*(rm|cat|wget|curl|bash|sh)\b", "critical", "command"),
+    ("cmd_or", r"\|\|\s*(rm|cat|wget|curl|bash|sh)\b", "critical", "command"),
+    ("path_traversal_unix", r"\.\./", "high", "path"),
+    ("path_traversal_windows", r"\.\.\\", "high", "path"),
+    ("path_etc_passwd", "/etc/passwd", "critical", "path"),
+    ("path_etc_shadow", "/etc/shadow", "critical", "path"),
+    ("path_windows_system", r"(?i)c:\\windows", "high", "path"),
+    ("ldap_injection", r"[()&|*\\]", "medium", "ldap"),
+    ("xxe_entity", r"<!ENTITY\s+\w+\s+SYSTEM", "critical", "xml"),
+]
 # Phrases, in order, and labels.
 INJECTION = ["ignore previous instructions", "ignore all previous", "disregard previous", "forget previous", "ignore your instructions", "ignore the above", "do not follow", "override your", "you are now", "act as if you", "pretend you are", "from now on you", "you will now", "new instructions:", "system prompt:", "reveal your prompt", "show your instructions", "what are your instructions", "repeat your prompt", "dan mode", "jailbreak", "developer mode", "sudo mode", "maintenance mode"]
 JAILBREAK = ["dan mode", "jailbreak", "developer mode"]
@@ -126,28 +175,13 @@ SCANNERS = [("secrets", "fast", "both", False), ("pii", "fast", "both", False),
 
 
 def fallback_pii() -> list[tuple]:
-    """The smaller catalog used where the main one can't be read: fewer kinds, two other names, another telephone pattern."""
-    gone = {"ssn_no_dashes", "credit_card_diners", "phone_international", "ip_address_v6", "iban", "medicare_id", "us_address", "zip_code"}
-    other = {
-        "phone_us": ("phone_us", r"\b(?:\+1[-.\s]?)?(?:\([0-9]{3}\)|[0-9]{3})[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"),
-        "ip_address_v4": ("ip_address", None),
-        "passport_us": ("passport", r"(?i)\b(?:passport)[:\s#]*[A-Z0-9]{6,12}\b"),
-    }
-    return [(other.get(i, (i,))[0], other.get(i, (i, None))[1] or p, s, t) for i, p, s, t in PII if i not in gone]
+    """The smaller catalog used where the main one can't be read."""
+    return list(FALLBACK_PII)
 
 
 def fallback_code() -> list[tuple]:
     """The smaller code catalog."""
-    gone = {"sql_alter", "sql_create", "sql_exec", "sql_waitfor", "xss_script_close", "xss_svg_onload", "xss_img_onerror", "xss_data_uri", "cmd_newline", "xxe_parameter_entity", "ssti_jinja", "ssti_freemarker"}
-    less = {"sql_drop": ["|SCHEMA"], "cmd_semicolon": ["|nc|netcat"], "cmd_pipe": ["|nc|netcat"], "cmd_and": ["|python|nc"], "cmd_or": ["|python|nc"]}
-    out = []
-    for i, p, s, c in CODE:
-        if i in gone:
-            continue
-        for x in less.get(i, []):
-            p = p.replace(x, "")
-        out.append((i, r"[()&|*\\]", "medium", c) if i == "ldap_injection" else (i, p, s, c))
-    return out
+    return list(FALLBACK_CODE)
 
 
 def valid(rows: list[tuple]) -> list[tuple]:
