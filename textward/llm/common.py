@@ -75,6 +75,7 @@ def scratch(spark: SparkSession):
         _scopes.remove(own)
         for path in own:
             delete(spark, path)
+        collect_garbage(spark)
 
 
 def numbered(df: DataFrame, *keys: str, name: str) -> DataFrame:
@@ -88,6 +89,16 @@ def numbered(df: DataFrame, *keys: str, name: str) -> DataFrame:
     return rows.join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets the driver forget what no plan holds any more: Spark then drops its broadcasts and shuffle files on all executors.
+
+    Otherwise that waits until the driver's heap is full; an operator of many jobs would fill it with plans that are done.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    tidy()
+
+
 def few(written: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written narrow table, to be broadcast if its rows are no more than this, else to be joined by a shuffle."""
     return F.broadcast(written) if written.count() <= rows else written

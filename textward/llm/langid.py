@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,9 +103,7 @@ def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], idf: np.ndarray,
     if not classes:
         return Model([], idf, np.zeros((DIM, 0)), 1.0)
     y = np.array([classes.index(lang) for _, lang in rows])
-    x = []
-    for (at, n), _ in rows:
-        x.append((at, weights(at, n, idf)))
+    x = lambda i: (rows[i][0][0], weights(*rows[i][0], idf))  # noqa: E731 - made anew, since all weights together are large
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     hold, train = order[: len(rows) // 5], order[len(rows) // 5 :]
@@ -116,7 +116,7 @@ def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], idf: np.ndarray,
 
     for _ in range(epochs):
         for i in rng.permutation(train):
-            at, v = x[i]
+            at, v = x(i)
             w = current(at)
             s = v @ w
             p = np.exp(s - s.max())
@@ -129,7 +129,7 @@ def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], idf: np.ndarray,
             q[at] = qq + g * g
     w = current(np.arange(DIM))
     # the temperature that makes the held rows likeliest
-    s, best = np.array([x[i][1] @ w[x[i][0]] for i in hold]).reshape(len(hold), k), (np.inf, 1.0)
+    s, best = np.array([v @ w[at] for at, v in map(x, hold)]).reshape(len(hold), k), (np.inf, 1.0)
     for t in np.exp(np.linspace(np.log(0.02), np.log(5), 60)) if len(hold) else []:
         u = s / t
         u = u - u.max(1, keepdims=True)
@@ -165,10 +165,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text if at is None else None], pa.string()), pa.array([None if at is None else at.astype("<i4").tobytes()], pa.binary()), pa.array([None if at is None else n.astype("<i8").tobytes()], pa.binary())], names=["lang", "text", "at", "n"])
 
     rows = []
-    for r in taken.select("lang", "text").mapInArrow(count, "lang string, text string, at binary, n binary").collect():
-        got = counts(r["text"]) if r["at"] is None else (np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i8"))
-        rows.append(((r["lang"], len(got[0]), int(got[1].sum()), got[0].tobytes(), got[1].tobytes()), got))
-    return fit([(got, key[0]) for key, got in sorted(rows, key=lambda x: x[0])], idf)
+    told = taken.select("lang", "text").mapInArrow(count, "lang string, text string, at binary, n binary").collect()
+    while told:
+        r = told.pop()
+        at, n = counts(r["text"]) if r["at"] is None else (np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8"))
+        rows.append(((r["lang"], len(at), int(n.sum())), (at.astype("<u2"), n.astype("<u4"))))
+    rows.sort(key=lambda x: x[0])
+    # a fixed order: rows alike in these by their n-grams, too
+    ordered = [x for _, own in itertools.groupby(rows, key=lambda x: x[0]) for x in sorted(own, key=lambda x: (x[1][0].tobytes(), x[1][1].tobytes()))]
+    rows.clear()
+    model = fit([(got, key[0]) for key, got in ordered], idf)
+    ordered.clear()
+    common.tidy()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -364,6 +364,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    common.collect_garbage(edges.sparkSession)
     now = clean(edges.select("a", "b"))
     before = None
     while (after := state(now)) != before:
@@ -425,6 +426,7 @@ def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         # what is still apart in stars of several blocks meets by the differences that it shares
         wide = rest.filter("pieces > 1").select("centre", "doc_id")
         if not wide.isEmpty():
+            common.collect_garbage(spark)
             wide = parted(wide)
         if not wide.isEmpty():
             # stars that share a document are one group, so that each document is sent once, not once for each of its stars
