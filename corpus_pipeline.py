@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all that is left, in sequences. Executors still hold memory of earlier stages: fewer words are remembered, less text is encoded at once."""
     with common.batches(spark, 2000):
-        return common.materialize(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=400_000, chunk=2 << 20), "pieces")
+        return common.materialize(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=100_000, chunk=1 << 20), "pieces")
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("packing", pack)]
