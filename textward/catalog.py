@@ -805,7 +805,7 @@ def empty_plan(spark, sf_dir):
     return rows.select("doc_id", "blocked", "risk_score", "checks_run", F.col("scan.sanitized_text").alias("sanitized"))
 
 
-OWN_PATTERNS = [("word_the", r"(?i)\bthe\b", "low", "words"), ("broken", "[", "critical", "words"), ("long_number", r"[0-9]{6}", "high", "numbers")]
+OWN_PATTERNS = [("word_the", r"(?i)[ \n]the[ \n]", "low", "words"), ("broken", "[", "critical", "words"), ("long_number", r"[0-9]{6}", "high", "numbers")]
 _OWN = [r for r in OWN_PATTERNS if r[0] != "broken"]
 
 
