@@ -39,10 +39,10 @@ def new_dir(spark: SparkSession, label: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage ends there and lost executors cost nothing."""
     path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if _scopes:
         _scopes[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
