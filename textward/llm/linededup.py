@@ -59,8 +59,10 @@ def without(lines, gone):
         def runs(starts_):
             ends = F.concat(F.slice(starts_, F.lit(2), F.size(starts_)), F.array(F.size(all_)))
             kept = F.filter(F.arrays_zip(starts_.alias("a"), ends.alias("b")), lambda r: F.get(all_, r["a"])["i"] >= 0)
-            rows = F.flatten(F.transform(kept, lambda r: F.slice(all_, r["a"] + 1, r["b"] - r["a"])))
-            return F.transform(F.sort_array(F.transform(rows, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))), lambda x: x["line"])
+            # places, not slices: each slice would copy all
+            at = F.flatten(F.transform(kept, lambda r: F.sequence(r["a"], r["b"] - 1)))
+            rows = F.transform(at, lambda k: F.struct(F.get(all_, k)["i"].alias("i"), F.get(all_, k)["line"].alias("line")))
+            return F.transform(F.sort_array(rows), lambda x: x["line"])
 
         return F.transform(F.array(starts), runs)[0]
 
