@@ -39,10 +39,10 @@ def new_dir(spark: SparkSession, label: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage ends there and lost executors cost nothing."""
     path = new_dir(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -58,12 +58,12 @@ def drop(*written: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables written within go when it ends, but for those of ``keep(df, label)``, which may read the others."""
+    """Tables written within go when it ends, but for those of ``keep``: ``keep(df, label)`` writes one, which may read the others, ``keep(written)`` spares one."""
     own: list[str] = []
     _scopes.append(own)
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        out = materialize(df, label)
+    def keep(df: DataFrame, label: str | None = None) -> DataFrame:
+        out = materialize(df, label) if label else df
         own.remove(out.written)
         if len(_scopes) > 1:
             _scopes[-2].append(out.written)
