@@ -65,3 +65,25 @@ def test_too_many_patterns_without_literals_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(watchlist, "BARE", 2)
     with pytest.raises(ValueError, match="more than 2"):
         run(spark, [(1, "x")], [(str(i), f"[ab]{{{i + 1}}}") for i in range(3)])
+
+
+def test_any_number_of_patterns_with_short_words_or_none(spark, monkeypatch):
+    # several hundred runs of short words, which have no literal of 3 characters, aren't bare
+    words = ["ci", "n", "de", "la", "os", "a"]
+    short = [f"(?i){a}[ \n]+{b}[ \n]+{c}" for a in words for b in words for c in words]
+    assert len(short) > 2 * watchlist.BARE and all(watchlist.runs(p) for p in short)
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice([w, w.upper(), " ", "\n", "  "]) for w in rng.choices(words, k=40))) for i in range(150)]
+    patterns = [(f"s{i}", p) for i, p in enumerate(short)]
+    want = brute(texts, patterns)
+    assert run(spark, texts, patterns) == want and len(want) > 100
+    # and those without any literal are tested in several passes where the caller wants it
+    monkeypatch.setattr(watchlist, "BARE", 2)
+    bare = [(f"b{i}", f"[ab]{{{i + 1}}}") for i in range(5)]
+    left, right = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bare, "pattern_id string, pattern string")
+    assert sorted(map(tuple, watchlist.matches(left, right, limited=False).collect()), key=repr) == brute(texts, bare)
+
+
+@pytest.mark.parametrize(("pattern", "clauses"), [(r"(?i)ci[ \n]+n", [{"ci ", "ci\n"}]), (r"a[bc]?d", []), (r"^ab+c", []), (r"a{1,2}b[xy]", [{"abx", "aby"}]), (r"a\d+bc", []), (r"[^a]bcd", [{"bcd"}]), (r"xyz|abc", []), (r"a{0,3}bc", [])])
+def test_runs(pattern, clauses):
+    assert [c for c in map(set, watchlist.runs(pattern))] == clauses

@@ -7,6 +7,8 @@ matcher. So the work is one scan of the text, and one test for each candidate.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions.columns import col, quoted
-from textward.functions.prefilter import DIGIT, ODD, required
+from textward.functions.prefilter import DIGIT, ODD, members, parser, required, sre
 from textward.functions.spans import flags
 
 #: An automaton has so many patterns at most: beyond, texts are scanned once for each part of the table.
 PART = 100_000
-#: Patterns without a literal of SHORTEST characters are tested on every text: so many at most, else it is an error.
+#: Patterns without a literal of SHORTEST characters are tested on every text: so many at most in one projection, and in all
+#: unless the caller says otherwise.
 BARE, SHORTEST = 100, 3
+#: A run of characters and small classes stands for so many literals at most.
+SPELT = 16
 #: Patterns are broadcast to the tests of candidates up to so many, else joined by a shuffle.
 FEW = 200_000
 PLAIN = str.maketrans(dict(zip(ODD, "skii", strict=True)))
@@ -33,6 +38,31 @@ def small(text: str) -> str:
     return (text if text.isascii() else text.translate(PLAIN)).lower()
 
 
+def runs(pattern: str) -> list[frozenset[str]]:
+    """Clauses of what stands together in a pattern: its characters, and small classes, also the ends of repeated ones.
+
+    ``(?i)ci[ \\n]+n`` has a literal of two characters and one of one, but a match holds one of "ci " and "ci\\n".
+    """
+    out: list[list[frozenset[str]]] = [[]]
+    for op, arg in parser.parse(pattern):
+        one = lambda op, arg: frozenset([chr(arg).lower()]) if op is sre.LITERAL and arg < 128 else members(arg) if op is sre.IN else None
+        if op is sre.AT:
+            continue
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] and len(arg[2]) == 1:
+            chars = one(*arg[2][0])
+            # its first character follows what is before, its last one precedes what is behind
+            if chars and DIGIT not in chars:
+                out[-1].append(chars)
+                out.append([chars])
+                continue
+        chars = one(op, arg)
+        if chars and DIGIT not in chars:
+            out[-1].append(chars)
+        else:
+            out.append([])
+    return [frozenset(map("".join, itertools.product(*r))) for r in out if len(r) >= SHORTEST and math.prod(map(len, r)) <= SPELT]
+
+
 def parsed(patterns: DataFrame) -> DataFrame:
     """(pid, clauses): of each pattern (pid, pattern) that compiles the clauses of long literals; none where there are none."""
 
@@ -41,11 +71,11 @@ def parsed(patterns: DataFrame) -> DataFrame:
             ids, found = [], []
             for pid, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    clauses = required(pattern)
+                    clauses = [c for c in required(pattern) if DIGIT not in c and min(map(len, c)) >= SHORTEST] or runs(pattern)
                 except (re.error, TypeError):  # not a pattern, or null: skipped, as catalogs do
                     continue
                 ids.append(pid)
-                found.append([sorted(c) for c in clauses if DIGIT not in c and min(map(len, c)) >= SHORTEST])
+                found.append([sorted(c) for c in clauses])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["pid", "clauses"])
 
     return patterns.select("pid", "pattern").mapInArrow(run, "pid long, clauses array<array<string>>")
@@ -99,13 +129,14 @@ def candidates(texts: DataFrame, rows: list[tuple[int, list[list[str]]]]) -> Dat
     return texts.select("key", "text").mapInArrow(run, f"key {kind}, text string, pids array<long>")
 
 
-def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", limited: bool = True) -> DataFrame:
     """(key, pattern_id, n): each pattern of ``patterns`` (pattern_id, pattern) that matches a text, and how often.
 
     Equal to testing every text with every pattern. Patterns that don't compile, and null ones, are skipped; null texts
     match nothing; rows with one key, or none, are texts each; rows with one pattern_id are patterns each. Patterns never
     match the empty string. The table of patterns comes to the driver in parts of PART at most, so neither it nor a worker
-    holds more; patterns without a long literal (BARE at most, else an error) are tested on all texts, in one projection.
+    holds more; patterns without a long literal are tested on all texts, BARE in one projection. More of them, which make
+    as many more passes over the texts, are an error if ``limited``.
     There is no cross join; texts are shuffled only where the patterns are more than FEW. Other columns are ignored.
     """
     spark = texts.sparkSession
@@ -114,8 +145,9 @@ def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: st
     listed = patterns.select(F.xxhash64("pattern_id", "pattern").alias("pid"), "pattern_id", "pattern").filter("pattern is not null")
     known = parsed(listed.select("pid", "pattern").distinct()).persist()
     try:
-        bare = [r[0] for r in known.filter("size(clauses) = 0").select("pid").limit(BARE + 1).collect()]
-        if len(bare) > BARE:
+        few = known.filter("size(clauses) = 0").select("pid")
+        bare = sorted(r[0] for r in (few.limit(BARE + 1) if limited else few).collect())
+        if limited and len(bare) > BARE:
             raise ValueError(f"more than {BARE} patterns have no literal of {SHORTEST} characters")
         n = known.filter("size(clauses) > 0").count()
         parts = max(1, -(-n // PART))
@@ -131,8 +163,8 @@ def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: st
     table = listed.withColumn("p", compiled)
     table = F.broadcast(table) if n + len(bare) <= FEW else table
     out = []
-    if bare:
-        own = [tuple(r) for r in listed.filter(F.col("pid").isin(bare)).select("pid", "pattern").distinct().collect()]
+    for lo in range(0, len(bare), BARE):
+        own = [tuple(r) for r in listed.filter(F.col("pid").isin(bare[lo : lo + BARE])).select("pid", "pattern").distinct().collect()]
         told = flags(F.col("text"), [(f"b{i}", p, "", "") for i, (_, p) in enumerate(own)])
         hit = F.filter(F.array(*(F.when(F.col("f")[f"b{i}"], F.lit(pid)) for i, (pid, _) in enumerate(own))), lambda x: x.isNotNull())
         sides.append(slim.withColumn("f", told).select("key", "text", F.explode(hit).alias("pid")))
