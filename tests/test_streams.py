@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from textward import catalog
 from textward.plans import guard
 from textward.streaming import conversations, pairs
 from textward.streaming.replay import CLOSING, Replay, drain, lost
@@ -86,3 +87,24 @@ def test_gaps(spark, gap):
     rows = made(80, 3)
     got = conversations.running_risk(spark.createDataFrame(rows, TURNS), gap).collect()
     assert len(got) == len(rows) and (max(r.session for r in got) == 0) == (gap == 10_000)
+
+
+def in_files(spark, at, rows, n=16):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(n).write.parquet(f"{at}/conversations.parquet")
+    return f"file://{at}"
+
+
+def test_turns_in_many_files_are_all_counted(spark, tmp_path):
+    at = in_files(spark, tmp_path, [(c, t, "user", TEXTS[(c + t) % len(TEXTS)]) for c in range(60) for t in range(12)])
+    rows = catalog.turns(spark, at)
+    assert rows.rdd.getNumPartitions() > 2  # more files for a slice than a batch took
+    got = catalog.queries()["blocked_counts_stream"](spark, at).collect()
+    want = guard.verdict(rows, "text").groupBy(F.window("ts", "5 minutes").start.cast("timestamp_ntz").alias("begins")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.n for r in got) == 720
+
+
+def test_a_turn_at_the_watermark_itself_comes_out(spark, tmp_path):
+    # turn 7 of conversation 599 moves the watermark to the last turn of conversation 299
+    at = in_files(spark, tmp_path, [(c, t, "user", "a") for c, n in ((299, 7), (599, 9), (1, 8), (2, 12)) for t in range(n)])
+    got = catalog.queries()["conversation_risk_stream"](spark, at)
+    assert rows_of(got) == rows_of(conversations.running_risk(catalog.turns(spark, at))) and got.count() == 36

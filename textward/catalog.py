@@ -19,7 +19,7 @@ from textward.sources import catalogs as C
 from textward.sources import fixtures
 from textward.streaming.conversations import running_risk_stream
 from textward.streaming.pairs import scanned_pairs
-from textward.streaming.replay import CLOSING, Replay, drain
+from textward.streaming.replay import CLOSING, Replay, in_turn
 from textward.streaming.table import folder
 from textward.streaming.wiring import blocked_counts, quarantine, scan_stream
 
@@ -730,6 +730,8 @@ def stream_scan_counts(spark, sf_dir):
     return drained(spark, f"{sf_dir}/conversations.parquet").groupBy("role", "blocked").agg(F.count("*").alias("n"))
 
 
+#: The slices in which turns arrive.
+SLICE = "cast(turn div 4 as int)"
 #: The turns have no times: half an hour and more lies between every third turn and the next.
 TS = "timestamp_seconds(1704067200 + turn * 600 + (turn div 3) * 3600 + conv_id % 300)"
 
@@ -750,10 +752,8 @@ select conv_id, turn, session, own as risk, max(own) over w as running_risk, (co
 def conversation_risk_stream(spark, sf_dir):
     """The risk of each conversation so far, by a stream with state: turns arrive in slices, neighbours in another order."""
     rows = turns(spark, sf_dir).drop("role")
-    replay = Replay(spark, rows.schema)
-    replay.slices(rows, F.expr("cast(turn div 4 as int)"), 3)
-    replay.close("ts", "conv_id")
-    return drain(spark, lambda: running_risk_stream(replay.stream()))[0]
+    replay = Replay(spark, rows.schema, None)
+    return in_turn(spark, [(replay, rows)], F.expr(SLICE), 3, "ts", ("conv_id",), lambda: running_risk_stream(replay.stream()))[0]
 
 
 @query(f"""with t as (select * from conversations), p as (select p.conv_id, p.turn, coalesce(p.text, '') as input_text, coalesce(a.text, '') as output_text, a.conv_id is not null as answered from t p left join t a on a.conv_id = p.conv_id and a.turn = p.turn + 1 and a.role = 'assistant' where p.role = 'user'),
@@ -766,12 +766,9 @@ def pairs_on_streams(spark, sf_dir):
     sides = []
     for role in ("user", "assistant"):
         own = rows.filter(F.col("role") == role).drop("role")
-        side = Replay(spark, own.schema)
-        side.slices(own, F.expr("cast(turn div 4 as int)"), 3)
-        side.close("ts", "conv_id", "turn")
-        sides.append(side)
+        sides.append((Replay(spark, own.schema, None), own))
     # an hour and a half lies between a third turn and the fourth
-    out = drain(spark, lambda: scanned_pairs(*(s.stream() for s in sides), within="3 hours"))[0]
+    out = in_turn(spark, sides, F.expr(SLICE), 3, "ts", ("conv_id", "turn"), lambda: scanned_pairs(*(s.stream() for s, _ in sides), within="3 hours"))[0]
     out = out.filter(F.col("conv_id") != CLOSING)
     return out.select("conv_id", "turn", "answered", F.col("input_scan.blocked").alias("input_blocked"), F.col("output_scan.blocked").alias("output_blocked"), "blocked")
 
@@ -781,10 +778,8 @@ select to_timestamp(ts // 300 * 300)::timestamp as begins, count(*)::bigint as n
 def blocked_counts_stream(spark, sf_dir):
     """Turns and blocked turns for each five minutes of event time, by a stream."""
     rows = turns(spark, sf_dir).drop("role")
-    replay = Replay(spark, rows.schema)
-    replay.slices(rows, F.expr("cast(turn div 4 as int)"), 3)
-    replay.close("ts", "conv_id")
-    out = drain(spark, lambda: blocked_counts(scan_stream(replay.stream()), "ts"))[0]
+    replay = Replay(spark, rows.schema, None)
+    out = in_turn(spark, [(replay, rows)], F.expr(SLICE), 3, "ts", ("conv_id",), lambda: blocked_counts(scan_stream(replay.stream()), "ts"))[0]
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("begins"), "n", "n_blocked")
 
 

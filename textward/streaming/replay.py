@@ -1,4 +1,8 @@
-"""A table replayed as a stream: its rows arrive in slices, a closing row moves the watermark past the last of them."""
+"""A table replayed as a stream: its rows arrive in slices, a closing row moves the watermark past the last of them.
+
+A watermark moves from batch to batch. So slices that are in order of time lose no row if each is one batch, however many
+files it has (:func:`in_turn`); of one batch for every few files, the later ones of a slice may be too late.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ def settings(spark: SparkSession, **values: str):
 class Replay:
     """``arrive(rows)`` adds files to the stream; ``close(ts, keys)`` adds a row that is later than all; ``stream`` reads them."""
 
-    def __init__(self, spark: SparkSession, schema, per_batch: int = 2):
+    def __init__(self, spark: SparkSession, schema, per_batch: int | None = 2):
         self.spark, self.schema, self.per_batch = spark, schema, per_batch
         self.path = folder(spark) + "/in"
 
@@ -44,10 +48,14 @@ class Replay:
 
     def slices(self, rows: DataFrame, by: Column, n: int) -> None:
         """All rows, in n slices: 0, 1, ..., what is above in the last."""
-        (name,) = unused(rows, "slice")
         for k in range(n):
-            own = F.least(by, F.lit(n - 1)) == k
-            self.arrive(rows.withColumn(name, own).filter(col(name)).drop(name))
+            self.slice(rows, by, n, k)
+
+    def slice(self, rows: DataFrame, by: Column, n: int, k: int) -> None:
+        """One of the n slices."""
+        (name,) = unused(rows, "slice")
+        own = F.least(by, F.lit(n - 1)) == k
+        self.arrive(rows.withColumn(name, own).filter(col(name)).drop(name))
 
     def close(self, ts: str, *keys: str) -> None:
         """The keys are CLOSING, not null: a join drops null keys before the watermark sees their times."""
@@ -55,7 +63,8 @@ class Replay:
         self.arrive(self.spark.range(1).select(*(value(f).alias(f.name) for f in self.schema.fields)).coalesce(1))
 
     def stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.per_batch).parquet(self.path)
+        reader = self.spark.readStream.schema(self.schema)
+        return (reader.option("maxFilesPerTrigger", self.per_batch) if self.per_batch else reader).parquet(self.path)
 
 
 def drain(spark: SparkSession, build: Callable[[], DataFrame], at: str | None = None) -> tuple[DataFrame, list[dict]]:
@@ -71,6 +80,20 @@ def drain(spark: SparkSession, build: Callable[[], DataFrame], at: str | None =
     return spark.read.schema(stream.schema).parquet(f"{at}/rows"), [dict(p) for p in query.recentProgress]
 
 
+def in_turn(spark: SparkSession, sides: list[tuple[Replay, DataFrame]], by: Column, n: int, ts: str, keys: tuple[str, ...], build: Callable[[], DataFrame]) -> tuple[DataFrame, list[dict]]:
+    """Each slice of all sides arrives when the stream, which goes on where it was, has read the one before; then the closing rows.
+
+    Without ``per_batch`` a slice is a batch. The table, and the progress of all batches.
+    """
+    at, told = folder(spark), []
+    for k in range(n + 1):
+        for side, rows in sides:
+            side.slice(rows, by, n, k) if k < n else side.close(ts, *keys)
+        out, progress = drain(spark, build, at)
+        told += progress
+    return out, told
+
+
 def lost(progress: list[dict]) -> int:
     """How many rows came too late for the state of any operator."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", []))
