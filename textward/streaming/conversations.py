@@ -63,8 +63,9 @@ class Sessions(StatefulProcessor):
         # numpy's integers aren't the state's
         new = [(int(t), int(n), float(r)) for pdf in rows for t, n, r in zip(pdf["ms"], pdf["turn"], pdf["risk"], strict=True)]
         self.waiting.appendList(new)
+        # a timer ends when the watermark reaches it, a turn is due when the watermark has passed it
         for ms in {t for t, _, _ in new}:
-            self.handle.registerTimer(ms)
+            self.handle.registerTimer(ms + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
