@@ -125,6 +125,16 @@ def test_profiles_of_parts_are_the_whole_ones(spark):
         assert amounts[int((0.5 - 0.03) * len(amounts))] <= r.q0_5 <= amounts[int((0.5 + 0.03) * len(amounts))]
 
 
+def test_distinct_keys_of_a_large_group_are_exact(spark, tmp_path):
+    from textward import catalog
+
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('s', id % 7) as source", "if(id % 3 = 0, null, 'en') as lang", "if(id % 2 = 0, 'zip 90210', 'plain') as text")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["merged_profile"](spark, f"file://{tmp_path}").collect()), key=repr)
+    assert got == sorted([("en", None, 20_000, 20_000), (None, None, 10_000, 10_000), ("en", "zip_code", 10_000, 10_000), (None, "zip_code", 5_000, 5_000)], key=repr)
+
+
 # ---- the table functions
 
 def test_table_function_gives_findings_faster(spark, sf):

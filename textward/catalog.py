@@ -658,10 +658,15 @@ def redactor_templates(spark, sf_dir):
 @query(f"""with s as (select doc_id, type, count(*) as n from ({spans_sql('documents', 'doc_id', 'text', C.PII)}) group by all)
 select lang, type, sum(n)::bigint as n, count(distinct doc_id)::bigint as n_keys from s join documents using (doc_id) group by all union all select lang, null, count(*)::bigint, count(distinct doc_id)::bigint from documents group by lang""")
 def merged_profile(spark, sf_dir):
-    """Findings by language, merged from stored profiles of each source; distinct documents by sketches."""
-    at = folder(spark) + "/profiles"
-    profiles.profile(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), "doc_id", ["source", "lang"]).write.parquet(at)
-    return profiles.read(profiles.merge(spark.read.parquet(at), ["lang"])).select("lang", "type", "n", "n_keys")
+    """Findings by language, merged from stored profiles of each source; distinct documents from the stored findings, exactly."""
+    at = folder(spark)
+    by = ["source", "lang"]
+    profiles.findings(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), "doc_id", by).write.parquet(f"{at}/findings")
+    found = spark.read.parquet(f"{at}/findings")
+    profiles.summed(found, by).write.parquet(f"{at}/profiles")
+    merged = profiles.read(profiles.merge(spark.read.parquet(f"{at}/profiles"), ["lang"])).drop("n_keys").alias("m")
+    keys = profiles.exact_keys(found, ["lang"]).alias("k")
+    return merged.join(keys, F.col("m.lang").eqNullSafe(F.col("k.lang")) & F.col("m.type").eqNullSafe(F.col("k.type"))).select("m.lang", "m.type", "n", "n_keys")
 
 
 def _observed_sql() -> str:

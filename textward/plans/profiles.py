@@ -1,4 +1,7 @@
-"""Profiles that add up: sketches of what scans found, stored by part, merged without reading a text again."""
+"""Profiles that add up: sketches of what scans found, stored by part, merged without reading a text again.
+
+Where distinct keys must be counted exactly the rows that a profile sums up (:func:`findings`) are stored beside it.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +21,28 @@ LG_K = 16
 KLL_K = 400
 
 
+def findings(df: DataFrame, key: str, by: list[str], text: str = "text", kind: str = "pii") -> DataFrame:
+    """What a profile sums up: for each row of ``df`` one of type null and one for each type found: ``by``, _key, all, type, top, n."""
+    rows = CATALOGS[kind]
+    heads = F.array(*(F.struct(F.lit(r[0]).alias("type"), F.lit(C.SEVERITY[r[2]]).alias("top")) for r in rows))
+    found = F.filter(F.transform(counts(col(text), rows), lambda n, i: F.struct(F.get(heads, i)["type"].alias("type"), F.get(heads, i)["top"].alias("top"), n.alias("n"))), lambda x: x["n"] > 0)
+    total = F.struct(F.lit(None).cast("string").alias("type"), F.coalesce(F.array_max(F.transform("found", lambda x: x["top"])), F.lit(0.0)).alias("top"), F.lit(1).cast("long").alias("n"))
+    each = df.select(*map(col, by), col(key).alias("_key"), found.alias("found"))
+    each = each.select(*map(col, by), "_key", F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("all"), F.explode(F.concat(F.array(total), F.col("found"))).alias("x"))
+    return each.select(*map(col, by), "_key", "all", "x.*")
+
+
+def summed(found: DataFrame, by: list[str]) -> DataFrame:
+    """The profile of :func:`findings`."""
+    amount = F.when(F.col("type").isNull(), F.col("all")).otherwise(F.col("n")).cast("double")
+    return found.groupBy(*map(col, by), "type").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.hll_sketch_agg(F.xxhash64("_key"), LG_K).alias("keys"), F.kll_sketch_agg_double(amount, KLL_K).alias("amounts"))
+
+
+def exact_keys(found: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, type and n_keys: how many different keys have findings of a type, exactly; null keys don't count."""
+    return found.groupBy(*map(col, by), "type").agg(F.count_distinct("_key").alias("n_keys"))
+
+
 def profile(df: DataFrame, key: str, by: list[str], text: str = "text", kind: str = "pii") -> DataFrame:
     """A row for each group of ``by`` and type found, and one of type null for the group itself: n, top, keys, amounts.
 
@@ -25,14 +50,7 @@ def profile(df: DataFrame, key: str, by: list[str], text: str = "text", kind: st
     that have some, ``amounts`` one of how many a key has. To be stored, for each day or batch, and merged. Null texts
     count as rows, with nothing in them.
     """
-    rows = CATALOGS[kind]
-    heads = F.array(*(F.struct(F.lit(r[0]).alias("type"), F.lit(C.SEVERITY[r[2]]).alias("top")) for r in rows))
-    found = F.filter(F.transform(counts(col(text), rows), lambda n, i: F.struct(F.get(heads, i)["type"].alias("type"), F.get(heads, i)["top"].alias("top"), n.alias("n"))), lambda x: x["n"] > 0)
-    total = F.struct(F.lit(None).cast("string").alias("type"), F.coalesce(F.array_max(F.transform("found", lambda x: x["top"])), F.lit(0.0)).alias("top"), F.lit(1).cast("long").alias("n"))
-    each = df.select(*map(col, by), col(key).alias("_key"), found.alias("found"))
-    each = each.select(*map(col, by), F.xxhash64("_key").alias("k"), F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("all"), F.explode(F.concat(F.array(total), F.col("found"))).alias("x"))
-    amount = F.when(F.col("x.type").isNull(), F.col("all")).otherwise(F.col("x.n")).cast("double")
-    return each.groupBy(*map(col, by), F.col("x.type").alias("type")).agg(F.sum("x.n").alias("n"), F.max("x.top").alias("top"), F.hll_sketch_agg("k", LG_K).alias("keys"), F.kll_sketch_agg_double(amount, KLL_K).alias("amounts"))
+    return summed(findings(df, key, by, text, kind), by)
 
 
 def merge(profiles: DataFrame, by: list[str]) -> DataFrame:
