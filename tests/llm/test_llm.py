@@ -667,6 +667,40 @@ def test_wrappers_see_all_pages(spark):
     assert got[201] == "A long paragraph that both of the copies have, word for word\n1"
 
 
+def test_one_rule_at_every_number_of_pages(spark):
+    own = "page {0} of {1} tells of things that no other page of this site tells of"
+    sizes = (2, 3, 4, 5, 6, 7, 8, 12, 20, 120)
+    rows, want = [], {}
+    for n in sizes:
+        for i in range(n):
+            said = own.format(i, n)
+            # one page varies the boilerplate: it is on SHARE of the pages from 4 on
+            varied = "Read us weekly" if i == 1 else "Read us daily"
+            # the same words on every page, but nowhere in the same place of the list
+            items = [f"item {k} of {i} and {n}" for k in range(n)]
+            items.insert(i, "Berlin")
+            for kind, body, text in (
+                ("vary", f"<p>{varied}</p><p>{said}</p>", said if n >= 4 and i != 1 else f"{varied}\n{said}"),
+                ("list", "<ul>" + "".join(f"<li>{t}</li>" for t in items) + f"</ul><p>{said}</p>", "\n".join([*items, said])),
+                ("tell", f"<h2>Every reader of ours is told so</h2><p>{said}</p>", said),
+            ):
+                want[len(rows)] = kind, n, i, text
+                rows.append((len(rows), f"http://{kind}{n}/{i}", f"<div>{body}</div>", ""))
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k: (*want[k][:3], got[k]) for k in want} == want
+
+
+def test_rows_of_neighbours_lose_no_pair(spark, monkeypatch):
+    """Two pages that are neighbours across the end of a row; and the rule for pages at hand is the same."""
+    page = "<div><h2>Every reader of ours is told so</h2><p>page {0} of {1} tells of things that no other page of this site tells of</p></div>"
+    monkeypatch.setattr(htmltext, "ROW", 1)
+    pages = spark.createDataFrame([(100 * n + i, f"http://h{n}/{i}", page.format(i, n), "") for n in (2, 3, 7) for i in range(n)], PAGES)
+    assert all(r.text.startswith("page ") for r in htmltext.extract(pages).collect())
+    for n in (2, 3, 7):
+        assert len(htmltext.learn([page.format(i, n) for i in range(n)])) == 1
+    assert htmltext.learn(["<p>A long paragraph of two copies, word for word</p><p>0</p>", "<p>A long paragraph of two copies, word for word</p><p>1</p>"]) == []
+
+
 def test_wrappers_grow_with_their_layouts_alone(spark):
     def made(layouts):
         page = lambda k, i: f'<div class="l{k}"><p>Layout {k} says hello to its readers</p><h2 class="x{k}">Always the same</h2><p class="own">page {k} {i} tells what no other tells</p></div>'
@@ -759,6 +793,36 @@ def test_alignment_is_the_best(data):
     assert all(x < y for x, y in zip(pairs, pairs[1:])) and len({j for _, j in pairs}) == len(pairs)
 
 
+def test_short_ways_of_matching_change_no_pair(spark, sf, monkeypatch):
+    """Alignments that names force, and matches within some elements alone, against matches of everything."""
+    pages = [r.html.replace("<article>", "<article><p>Read us daily</p>") for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(30).collect()]
+    short = htmltext.by_names
+    n = 0
+    for one, two in zip(pages, pages[1:]):
+        known, trees = {}, [htmltext.tree(htmltext.parse(p)) for p in (one, two)]
+        for t in trees:
+            htmltext.number(t, known)
+        monkeypatch.setattr(htmltext, "by_names", lambda a, b: None)
+        full = [(id(x), id(y)) for x, y in htmltext.match(*trees, known, {})]
+        monkeypatch.setattr(htmltext, "by_names", short)
+        assert sorted((id(x), id(y)) for x, y in htmltext.match(*trees, known, {})) == sorted(full)
+        leaf, todo = [], [trees[0]]
+        while todo:
+            e = todo.pop()
+            todo += e.kids
+            leaf += [e] if e.text is not None else []
+        for some in (leaf[:1], leaf[-1:], leaf[len(leaf) // 2 :][:1]):
+            within = {id(trees[0]), *(id(e) for e in some)}
+            for e in some:
+                while e.up is not None:
+                    e = e.up
+                    within.add(id(e))
+            got = {(id(x), id(y)) for x, y in htmltext.match(*trees, known, {}, within)}
+            assert got == {p for p in full if p[0] in {id(e) for e in some}}
+            n += len(got)
+    assert n > 30
+
+
 def test_text_of_all_pages(spark, sf):
     """Against the article's markup, cut by hand: the test pages have all their text in one article."""
     got = {r.page_id: r.text for r in queries.op2_html_text(spark, sf).collect()}

@@ -1,13 +1,13 @@
-"""Main text of web pages: wrappers of a host from all its pages, by counts or tree matching, applied to every page."""
+"""Main text of web pages: wrappers of a host from all its pages, by counts and tree matching, applied to every page."""
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages of different content from which on texts are counted: a text on SHARE of them is template. Fewer pages are matched
-#: as trees and must all agree.
-MANY, SHARE = 6, 0.75
+#: A text may be template if it is on SHARE of the pages that could have it, on two at least; trees must align it in SHARE of
+#: the pairs of neighbouring pages that both have it. The same holds for any number of pages.
+SHARE = 0.75
 #: How many other pages must agree on a text in :func:`induce`, if not told.
 AGREE = 5
-#: If more than this part of the text would be template, the pages are copies of one article: with MANY pages, with fewer.
-COPIES, FEW_COPIES = 0.9, 0.5
+#: If more than this part of the text would be template, the pages are copies of one article. Of d pages it is :func:`most` of
+#: it: each page is held against the d - 1 others.
+COPIES = 0.9
+#: How many neighbouring pages are matched with each other in one go.
+ROW = 50
 PARSED = "page_id long, url string, host string, h long, content long, sig long, found array<struct<path:long,key:long,len:long>>, keys array<long>, texts array<string>"
+MATCHED = pa.schema([("host", pa.string()), ("key", pa.int64()), ("both", pa.int64()), ("same", pa.int64())])
 SURVEYED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("h", pa.int64()), ("content", pa.int64()), ("sig", pa.int64()), ("found", pa.list_(pa.struct([("path", pa.int64()), ("key", pa.int64()), ("len", pa.int64())]))), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
 
 # Names of HTML elements and of common page furniture.
@@ -318,12 +322,13 @@ def number(root: Element, known: dict) -> None:
 EQUAL = 0.25
 
 
-def align(w_of, a: list[int], b: list[int], shapes: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+def align(w_of, a: list[int], b: list[int], shapes: tuple[list[int], list[int]], need: list[int] | None = None) -> list[tuple[int, int]]:
     """The places (i, j) of an order-keeping alignment of a and b of the largest weight, in linear memory.
 
     Equal heads and tails are aligned at once: no alignment is better; where nothing equal is left, those of equal
     ``shapes``. ``w_of(i, j0, j1)``: the weights of a[i] with b[j0:j1], 0 where names differ. The rest goes by halves
-    (Hirschberg), a row at a time.
+    (Hirschberg), a row at a time. ``need``: the places of a that are asked for, if not all; where heads and tails hold them
+    the rest is left out.
     """
     lo, tail, n, m = 0, 0, len(a), len(b)
     for x, y in ((a, b), shapes):
@@ -334,7 +339,7 @@ def align(w_of, a: list[int], b: list[int], shapes: tuple[list[int], list[int]])
         if not set(a[lo : n - tail]).isdisjoint(b[lo : m - tail]):
             break
     out = [(k, k) for k in range(lo)]
-    todo = [(lo, n - tail, lo, m - tail)]
+    todo = [(lo, n - tail, lo, m - tail)] if need is None or any(lo <= i < n - tail for i in need) else []
     while todo:
         i0, i1, j0, j1 = todo.pop()
         if i0 >= i1 or j0 >= j1:
@@ -369,21 +374,49 @@ def rows_of(a: list[Element], b: list[Element], weight: dict):
     return row
 
 
-def match(a: Element, b: Element, known: dict, weight: dict) -> list[tuple[Element, Element]]:
+def weights_of(a: list[Element], b: list[Element], known: dict, weight: dict):
+    """:func:`rows_of` with the weights it needs, made when first asked."""
+    row = None
+
+    def w_of(i, j0, j1):
+        nonlocal row
+        if row is None:
+            shape_weights({k.shape for k in a}, {k.shape for k in b}, known, weight)
+            row = rows_of(a, b, weight)
+        return row(i, j0, j1)
+
+    return w_of
+
+
+def by_names(a: list[Element], b: list[Element]) -> list[tuple[int, int]] | None:
+    """The alignment, if every name is once at most in a and in b and those in both keep their order: no other has more pairs."""
+    at = {e.name: j for j, e in enumerate(b)}
+    if len(at) < len(b) or len({e.name for e in a}) < len(a):
+        return None
+    pairs = [(i, at[e.name]) for i, e in enumerate(a) if e.name in at]
+    return pairs if all(x[1] < y[1] for x, y in zip(pairs, pairs[1:])) else None
+
+
+def match(a: Element, b: Element, known: dict, weight: dict, within: set[int] | None = None) -> list[tuple[Element, Element]]:
     """Simple tree matching: the pairs of leaves that a largest order-keeping match of two numbered trees aligns.
 
     Of elements of one name a match counts 1 and the largest alignment of their kids; equal subtrees are aligned first.
-    The weight goes by shapes, so a list of thousands of items of few shapes costs few matches. No recursion.
+    The weight goes by shapes, so a list of thousands of items of few shapes costs few matches. No recursion. ``within``: the
+    ids of the elements of a that are looked into, if not all.
     """
     out = []
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
+        if within is not None and id(x) not in within:
+            continue
         if x.text is not None:
             out.append((x, y))
             continue
-        shape_weights({k.shape for k in x.kids}, {k.shape for k in y.kids}, known, weight)
-        pairs = align(rows_of(x.kids, y.kids, weight), *([k.whole for k in z.kids] for z in (x, y)), tuple([k.shape for k in z.kids] for z in (x, y)))
+        pairs = by_names(x.kids, y.kids)
+        if pairs is None:
+            need = None if within is None else [i for i, k in enumerate(x.kids) if id(k) in within]
+            pairs = align(weights_of(x.kids, y.kids, known, weight), *([k.whole for k in z.kids] for z in (x, y)), tuple([k.shape for k in z.kids] for z in (x, y)), need)
         todo += [(x.kids[i], y.kids[j]) for i, j in pairs]
     return out
 
@@ -481,14 +514,51 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
     return "\n".join(t for _, t in own)
 
 
+def aligned(rows):
+    """For each two neighbours of one group: the group, the wanted keys that both pages have, and those of them that tree matching aligns.
+
+    ``rows``: (group, page, wanted keys), neighbours one after another.
+    """
+    group, before = None, None
+    for now, page, wanted in rows:
+        if now != group:
+            group, before, known, weight = now, None, {}, {}
+        elif len(weight) > 1_000_000:
+            weight.clear()
+        root = tree(parse(page))
+        number(root, known)
+        within, keys, todo = {id(root)}, {}, [root]
+        while todo:
+            e = todo.pop()
+            todo += e.kids
+            if e.text is not None and (k := text_key(e.up.key, e.text)) in wanted:
+                keys[id(e)] = k
+                while e.up is not None and id(e) not in within:
+                    within.add(id(e))
+                    e = e.up
+        if before and (both := set(before[2].values()).intersection(keys.values())):
+            yield group, both, {keys[id(y)] for x, y in match(before[0], root, known, weight, before[1]) if id(y) in keys and before[2].get(id(x)) == keys[id(y)]}
+        before = root, within, keys
+
+
+def most(d):
+    """What part of the text of d pages may be template."""
+    return COPIES * (1 - 1 / d)
+
+
 def learn(pages: list[str]) -> list[int]:
-    """Keys of the template of a few pages that are all there are: what all of them have where their trees align."""
-    clean = [[(text_key(e.key, t), len(t)) for e, t in blocks(p)] for p in pages]
-    fixed = {text_key(path_key(p), t) for p, t in induce(pages, len(pages) - 1)["template"]}
-    for found in clean:
-        if sum(n for k, n in found if k in fixed) > FEW_COPIES * sum(n for _, n in found):
-            return []
-    return sorted({k for k, _ in clean[0] if k in fixed})
+    """Keys of the template of pages of one layout, in the order in which they are neighbours: the rule of :func:`wrappers` for pages at hand."""
+    clean = [{text_key(e.key, t): (e.key, len(t)) for e, t in blocks(p)} for p in pages]
+    on = Counter(k for found in clean for k in found)
+    having = Counter(path for found in clean for path in {path for path, _ in found.values()})
+    size = {k: on[k] * n for found in clean for k, (path, n) in found.items() if on[k] >= max(2, SHARE * having[path])}
+    if not size or sum(size.values()) > most(len(pages)) * sum(n for found in clean for _, n in found.values()):
+        return []
+    both, same = Counter(), Counter()
+    for _, there, equal in aligned((0, p, size.keys()) for p in pages):
+        both.update(there)
+        same.update(equal)
+    return sorted(k for k in size if same[k] and same[k] >= SHARE * both[k])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -514,49 +584,75 @@ def parsed(pages: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame, read: DataFrame) -> DataFrame:
     """(host, sig, fixed): the template's keys on the pages of a layout, from every page of a host; pages that differ only in furniture or not at all count once.
 
-    A text is template if SHARE of the pages that have its path, or of the pages of its layout, have it there. Equal texts
-    that trees would align have equal paths, so counts miss none of them; all are sums of partial counts, whatever a host's
-    share of the pages. Hosts and layouts of fewer than MANY pages are matched as trees, all pages of them. A row has but
+    A text is template if SHARE of the pages that have its path, or of the pages of its layout, have it there, two at least,
+    and :func:`matched` trees align it. Equal texts that trees would align have equal paths, so counts miss none of them; all
+    are sums of partial counts, whatever a host's share of the pages. One rule holds for any number of pages. A row has but
     the keys that occur in its layout, so it is no larger than the blocks of such a page, however many layouts a host has.
     """
     seen = read.filter("host != '' and size(keys) > 0").groupBy("host", "content").agg(F.min("h").alias("h"), F.first("sig").alias("sig"), F.first("found").alias("found"))
     seen = common.materialize(seen, "blocks")
     flat = seen.select("host", "sig", F.explode("found").alias("b")).select("host", "sig", "b.*")
-    often = common.materialize(flat.groupBy("host", "path", "key").agg(F.count("*").alias("c"), F.max("len").alias("len")).filter(F.col("c") >= MANY * SHARE), "repeated")
+    often = common.materialize(flat.groupBy("host", "path", "key").agg(F.count("*").alias("c"), F.max("len").alias("len")).filter("c >= 2"), "repeated")
     layouts = common.materialize(seen.groupBy("host", "sig").agg(F.count("*").alias("d"), F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda t, b: t + b["len"])).alias("total")), "layouts")
     hosts = layouts.groupBy("host").agg(F.sum("d").alias("d"), F.sum("total").alias("total"))
     having = seen.select("host", F.explode(F.array_distinct("found.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("d"))
 
-    def constant(counted: DataFrame, *by: str) -> DataFrame:
-        kept = counted.filter((F.col("d") >= MANY) & (F.col("c") >= SHARE * F.col("d")))
-        return kept.groupBy(*by).agg(F.sum(F.col("c") * F.col("len")).alias("fixed"), F.collect_list("key").alias("keys"))
+    def constant(counted: DataFrame, all_of: DataFrame, *by: str) -> DataFrame:
+        """Of what is on SHARE of d: the groups of which it is no copy of one article."""
+        fixed = counted.groupBy(*by).agg(F.sum(F.col("c") * F.col("len")).alias("fixed"))
+        return fixed.join(all_of, [*by]).filter(F.col("fixed") <= most(F.col("d")) * F.col("total")).select(*by)
 
-    copies = F.col("fixed") <= COPIES * F.col("total")
+    enough = (F.col("c") >= 2) & (F.col("c") >= SHARE * F.col("d"))
     own = flat.join(common.few(often.select("host", "path", "key")), ["host", "path", "key"]).groupBy("host", "sig", "path", "key").agg(F.count("*").alias("c"), F.max("len").alias("len"))
     own = common.materialize(own, "repeated-in-layouts")
     # of the texts that are template wherever their path is: those that a layout has
-    wide = often.join(having, ["host", "path"]).filter((F.col("d") >= MANY) & (F.col("c") >= SHARE * F.col("d")))
-    right = wide.groupBy("host").agg(F.sum(F.col("c") * F.col("len")).alias("fixed")).join(hosts.drop("d"), "host").filter(copies).select("host")
-    wide = wide.join(right, "host", "left_semi").select("host", "path", "key").join(own.select("host", "sig", "path", "key"), ["host", "path", "key"]).select("host", "sig", "key")
-    narrow = constant(own.join(layouts, ["host", "sig"]).drop("total"), "host", "sig").join(layouts.drop("d"), ["host", "sig"]).filter(copies).select("host", "sig", F.explode("keys").alias("key"))
-
-    # hosts of a few pages as one group, whatever their layouts; elsewhere the layouts of a few pages
-    small = hosts.filter(F.col("d").between(2, MANY - 1)).select("host", F.lit(True).alias("whole"))
-    rare = layouts.filter(F.col("d").between(2, MANY - 1)).select("host", "sig", F.lit(True).alias("part"))
-    few = seen.select("host", "sig", "h").join(common.few(common.materialize(small, "small")), "host", "left").join(rare, ["host", "sig"], "left").filter("whole or part")
-    few = common.materialize(few.select("host", "h", F.when(F.col("whole"), F.lit(None).cast("long")).otherwise(F.col("sig")).alias("sig")), "few")
-    rows = pages.join(common.few(few), ["host", "h"]).dropDuplicates(["host", "h"]).select("host", "sig", "h", "html")
-
-    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "sig": [pdf["sig"].iloc[0]], "keys": [learn(pdf.sort_values("h")["html"].tolist())]})
-
-    # as text: a layout's key doesn't fit the floats that pandas makes of a column with nulls
-    trees = rows.withColumn("sig", F.col("sig").cast("string")).groupBy("host", "sig").applyInPandas(matched, "host string, sig string, keys array<long>").withColumn("sig", F.col("sig").cast("long"))
-    trees = trees.filter(F.size("keys") > 0).select("host", "sig", F.explode("keys").alias("key"))
-    # a host of a few pages has a few layouts
-    whole = trees.filter("sig is null").drop("sig").join(layouts.select("host", "sig"), "host").select("host", "sig", "key")
-    known = wide.unionByName(narrow).unionByName(trees.filter("sig is not null")).unionByName(whole)
-    return common.materialize(known.groupBy("host", "sig").agg(F.collect_set("key").alias("fixed")), "wrappers")
+    wide = often.join(having, ["host", "path"]).filter(enough)
+    wide = wide.join(constant(wide, hosts, "host"), "host", "left_semi").select("host", "path", "key").join(own.select("host", "sig", "path", "key"), ["host", "path", "key"]).select("host", "sig", "key")
+    narrow = own.join(layouts.drop("total"), ["host", "sig"]).filter(enough)
+    narrow = narrow.join(constant(narrow, layouts, "host", "sig"), ["host", "sig"], "left_semi").select("host", "sig", "key")
+    counted = common.materialize(wide.unionByName(narrow).distinct(), "counted")
+    right = counted.join(matched(pages, seen, counted), ["host", "key"], "left_semi")
+    return common.materialize(right.groupBy("host", "sig").agg(F.collect_set("key").alias("fixed")), "wrappers")
+
+
+def matched(pages: DataFrame, seen: DataFrame, counted: DataFrame) -> DataFrame:
+    """(host, key) of the ``counted`` texts that tree matching aligns in SHARE of the pairs of neighbours that both have them, in one at least.
+
+    All pages of layouts with counted texts are in one order, by host, layout and hash; each is matched with the next one of
+    its host, ROW pages in a row. A row's last page is the next one's first, so no pair is lost and no host fills a task.
+    """
+    wanted = common.materialize(counted.groupBy("host", "sig").agg(F.collect_set("key").alias("wanted")), "wanted")
+    order = common.numbered(seen.select("host", "sig", "h").join(common.few(wanted.select("host", "sig"), 100_000), ["host", "sig"]), "host", "sig", "h", name="n")
+    row = F.floor(F.col("n") / ROW)
+    order = order.withColumn("row", F.explode(F.when(F.col("n") % ROW == 0, F.array(row - 1, row)).otherwise(F.array(row)))).join(wanted, ["host", "sig"])
+    html = pages.select("host", "h", "html").join(common.few(common.materialize(order.select("host", "h").distinct(), "compared")), ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
+    rows = order.join(html, ["host", "h"]).repartition("row").sortWithinPartitions("row", "n").select("row", "host", "html", "wanted")
+
+    def run(batches):
+        def read():
+            for batch in batches:
+                for row, host, html, wanted in zip(*batch.columns, strict=True):
+                    yield (row.as_py(), host.as_py()), html.as_py(), set(wanted.as_py())
+
+        both, same = Counter(), Counter()
+
+        def out():
+            keys = list(both)
+            table = pa.RecordBatch.from_pydict({"host": [h for h, _ in keys], "key": [k for _, k in keys], "both": [both[k] for k in keys], "same": [same[k] for k in keys]}, schema=MATCHED)
+            both.clear()
+            same.clear()
+            return table
+
+        for (_, host), there, equal in aligned(read()):
+            both.update((host, k) for k in there)
+            same.update((host, k) for k in equal)
+            if len(both) > 10_000:
+                yield out()
+        yield out()
+
+    with common.batches(pages.sparkSession, 2 * ROW):
+        pairs = common.materialize(rows.mapInArrow(run, "host string, key long, both long, same long"), "matched")
+    return pairs.groupBy("host", "key").agg(F.sum("both").alias("both"), F.sum("same").alias("same")).filter(F.col("same") >= SHARE * F.col("both")).filter("same > 0").select("host", "key")
 
 
 def extract(pages: DataFrame, broadcast: int = 16 << 20, split: int = 20_000) -> DataFrame:
