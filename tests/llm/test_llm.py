@@ -63,6 +63,34 @@ def test_cut_texts_have_the_librarys_ids(texts):
         assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text(st.sampled_from("aBéÉÀŠıİΣςσǅµªŉ\u0301\u0338<|>_'.,=s9ᄀ각日"), max_size=6), max_size=12), max_size=4))
+def test_words_and_their_punctuation_have_the_librarys_ids(texts):
+    e = _coder("word_bpe_49k.json")
+    texts = [" ".join(t) for t in texts] + ["It's Σ, ΑΣ. a<|endoftext|>, İ, =\u0338 a\u0301, A|| don't's!"]
+    flat, n = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_follows_it():
+    e, told = encode.Encoder(public.path("word_bpe_49k.json")), []
+
+    class Told:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **how):
+            told.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    e.tokenizer = Told(e.tokenizer)
+    texts = ["qwertz qwertz, qwertz; Qwertz QWERTZ!! éqa", "qwertz. Éqa, éqa... (qwertz"]
+    got = [e.encode(pa.array([t]))[0].tolist() for t in texts]
+    assert got == [e.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    said = " ".join(told).split()
+    assert said.count("qwertz") == said.count("éqa") == 1 and not {"qwertz,", "Qwertz", "éqa,", "QWERTZ!!"} & set(said)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 60), max_size=30), max_size=12))
 def test_forgetting_words_changes_no_ids(calls):

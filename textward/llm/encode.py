@@ -23,6 +23,8 @@ CHUNK = 8 << 20
 LOOSE = r"[\s\x1c-\x1f\x{85}\p{Z}] | [\s\x1c-\x1f\x{85}\p{Z}]|^ | $"
 #: Stands between pieces that are encoded together. Pieces that hold it are encoded alone.
 BAR = "|"
+#: ASCII characters that are neither letters, digits nor white space, at a piece's end.
+TAIL = re.compile(r"[!-/:-@\[-`{-~]+\Z")
 
 
 def cut_rule(spec: dict) -> str:
@@ -63,7 +65,7 @@ class Store:
 
     def slots(self, coded: pa.DictionaryArray, make) -> np.ndarray:
         """The slot of each value; ``make`` gives ids and sizes of a list of new ones."""
-        unique = coded.dictionary.to_pylist()
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slot) > self.kept:
             self.forget()
         n, got = len(self.sizes), list(map(self.slot.get, unique))
@@ -113,6 +115,37 @@ class Encoder:
         return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
 
     def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces; with the rule "word" of letters and the punctuation after them by themselves, each encoded once."""
+        if self.rule == "space":
+            return self.joined(new)
+        units: dict[str, int] = {}
+        two = np.full((len(new), 2), -1, np.int64)
+        for i, p in enumerate(new):
+            # letters end where ASCII punctuation begins, and nothing composes across: no token spans that cut
+            tail = "" if p.isalpha() else m[0] if (m := TAIL.search(p)) else ""
+            word = p[: len(p) - len(tail)]
+            if not word or not word.isalpha() or "İ" in word:
+                two[i, 0] = units.setdefault(p, len(units))
+                continue
+            if not word.islower() and max(word) < "İ":  # there case is a matter of single characters
+                word = word.lower()
+            two[i, 0] = units.setdefault(word, len(units))
+            if tail:
+                two[i, 1] = units.setdefault(tail, len(units))
+        store, names = self.store, list(units)
+        slots = [store.slot.get(u, -1) for u in names]
+        gaps = [u for u, k in zip(names, slots, strict=True) if k < 0]
+        flat, own = self.joined(gaps)
+        slots = np.array(slots, np.int64)
+        there, fresh = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        sizes, starts = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)  # the last is no unit
+        sizes[fresh], sizes[there] = own, store.sizes[slots[there]]
+        starts[fresh] = np.cumsum(own) - own
+        starts[there] = len(flat) + np.cumsum(sizes[there]) - sizes[there]
+        flat = np.concatenate([flat, ragged(store.flat, store.starts[slots[there]], sizes[there])])
+        return ragged(flat, starts[two.ravel()], sizes[two.ravel()]), sizes[two].sum(axis=1)
+
+    def joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many pieces in few calls, parted again by the ids at their edges.
 
         With the rule "space" each piece's first id, and no other, begins with a space. With the rule "word" a piece of
