@@ -29,7 +29,7 @@ def of_sql(name, at):
     return rows([x[0] for x in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["merged_profile", "pii_redact_full", "pii_redact_hash", "pii_redact_partial"])
+@pytest.mark.parametrize("name", ["merged_profile", "pii_redact_full", "pii_redact_hash", "pii_redact_partial", "sql_lateral_findings"])
 def test_letters_beside_a_match(spark, beside, name):
     assert of_spark(catalog.queries()[name](spark, beside)) == of_sql(name, beside)
 

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textward.functions.prefilter import DIGIT, prefilter
-from textward.functions.spans import java
+from textward.functions.spans import java, python
 from textward.sources import catalogs as C
 
 CATALOGS = {"pii": C.PII, "code": C.CODE, "secrets": C.SECRETS}
@@ -34,7 +34,7 @@ class ScanFindings:
     """scan_findings(text): a row for each match of each catalog's patterns; null gives none."""
 
     def __init__(self):
-        self.rows = [(k, i, s, re.compile(p)) for k, rows in CATALOGS.items() for i, p, s, *_ in rows]
+        self.rows = [(k, i, s, re.compile(python(p))) for k, rows in CATALOGS.items() for i, p, s, *_ in rows]
 
     def eval(self, text: str):
         for k, i, s, p in self.rows:
@@ -49,7 +49,7 @@ class ScanTable:
     """scan_table(TABLE(SELECT key, text ...)): the same for whole Arrow batches of a table; patterns read only texts that hold their literals."""
 
     def __init__(self):
-        self.catalogs = [(k, [(i, s, re.compile(p)) for i, p, s, *_ in rows], prefilter([r[1] for r in rows])) for k, rows in CATALOGS.items()]
+        self.catalogs = [(k, [(i, s, re.compile(python(p))) for i, p, s, *_ in rows], prefilter([r[1] for r in rows])) for k, rows in CATALOGS.items()]
 
     def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         out: list[tuple] = []

@@ -7,6 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textward.functions.spans import python
+
 SCHEMA = "key long, type string, start int, end int, value string"
 
 
@@ -15,7 +17,7 @@ def spans_table(df: DataFrame, key: str, text: str, rows: list[tuple]) -> DataFr
     listed = [(r[0], r[1]) for r in rows]
 
     def run(batches):
-        compiled = [(i, re.compile(p)) for i, p in listed]
+        compiled = [(i, re.compile(python(p))) for i, p in listed]
         for batch in batches:
             out = [(k, i, m.start(), m.end(), m.group()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, p in compiled for m in p.finditer(t)]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
