@@ -87,3 +87,10 @@ def test_any_number_of_patterns_with_short_words_or_none(spark, monkeypatch):
 @pytest.mark.parametrize(("pattern", "clauses"), [(r"(?i)ci[ \n]+n", [{"ci ", "ci\n"}]), (r"a[bc]?d", []), (r"^ab+c", []), (r"a{1,2}b[xy]", [{"abx", "aby"}]), (r"a\d+bc", []), (r"[^a]bcd", [{"bcd"}]), (r"xyz|abc", []), (r"a{0,3}bc", [])])
 def test_runs(pattern, clauses):
     assert [c for c in map(set, watchlist.runs(pattern))] == clauses
+
+
+def test_words_of_a_run_are_candidates_only_together():
+    pattern = "(?i)of[ \\n]+the[ \\n]+sea"
+    assert watchlist.phrase(pattern) == "of the sea" and watchlist.phrase(r"a\s+b[xy]c") == "a b" and watchlist.phrase(r"[ab]+") == ""
+    automaton = watchlist.Automaton([(1, [[watchlist.phrase(pattern)]])])
+    assert [automaton.candidates(t) for t in ("Of \n the\nSEA", "the sea of", "of the  seas")] == [[1], [], [1]]

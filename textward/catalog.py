@@ -225,7 +225,7 @@ p as (select 'bench_' || item_id || '_' || k as pattern_id, '(?i)' || array_to_s
 select doc_id, pattern_id, len(regexp_extract_all(text, pattern))::bigint as n from documents join p on regexp_matches(text, pattern)""")
 def watchlist_matches(spark, sf_dir):
     """Which of thousands of patterns, a table, match which documents."""
-    return watchlist.matches(table(spark, sf_dir, "documents", "doc_id", "text"), watched(spark, sf_dir), limited=False)
+    return watchlist.matches(table(spark, sf_dir, "documents", "doc_id", "text"), watched(spark, sf_dir), limited=False, unicode=False)
 
 
 # ---- code

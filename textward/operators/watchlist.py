@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textward.functions.columns import col, quoted
 from textward.functions.prefilter import DIGIT, ODD, members, parser, required, sre
-from textward.functions.spans import flags
+from textward.functions.spans import flags, java
 
 #: An automaton has so many patterns at most: beyond, texts are scanned once for each part of the table.
 PART = 100_000
@@ -38,6 +38,34 @@ def small(text: str) -> str:
     return (text if text.isascii() else text.translate(PLAIN)).lower()
 
 
+def narrow(text: str) -> str:
+    """The text with each run of white space as one space, and one at both ends."""
+    return f" {' '.join(text.split())} "
+
+
+def needle(literal: str) -> str:
+    """A literal as :func:`narrow` leaves it in a text."""
+    return re.sub(r"\s+", " ", literal)
+
+
+def phrase(pattern: str) -> str:
+    """The longest literal that a narrow text has for each match: characters, and repeated classes of white space as one space.
+
+    ``(?i)of[ \\n]+the[ \\n]+sea`` needs "of the sea", not only its three words anywhere.
+    """
+    best, now = "", ""
+    for op, arg in parser.parse(pattern):
+        if op is sre.AT:
+            continue
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] and len(arg[2]) == 1:
+            op, arg = arg[2][0]
+            now += " " if op is sre.IN and all(o is sre.LITERAL and a < 128 and chr(a).isspace() or (o, a) == (sre.CATEGORY, sre.CATEGORY_SPACE) for o, a in arg) else "\0"
+        else:
+            now += chr(arg).lower() if op is sre.LITERAL and 0 < arg < 128 else "\0"
+    best = max(map(needle, now.split("\0")), key=len)
+    return best if len(best.strip()) >= SHORTEST else ""
+
+
 def runs(pattern: str) -> list[frozenset[str]]:
     """Clauses of what stands together in a pattern: its characters, and small classes, also the ends of repeated ones.
 
@@ -72,6 +100,8 @@ def parsed(patterns: DataFrame) -> DataFrame:
             for pid, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     clauses = [c for c in required(pattern) if DIGIT not in c and min(map(len, c)) >= SHORTEST] or runs(pattern)
+                    if whole := phrase(pattern):
+                        clauses = [c for c in clauses if not any(needle(x) in whole for x in c)] + [[whole]]
                 except (re.error, TypeError):  # not a pattern, or null: skipped, as catalogs do
                     continue
                 ids.append(pid)
@@ -92,7 +122,7 @@ class Automaton:
         for pid, clauses in rows:
             for k, clause in enumerate(clauses):
                 for literal in clause:
-                    users[literal].append((pid, k))
+                    users[needle(literal)].append((pid, k))
         self.users = list(users.values())
         self.automaton = ahocorasick.Automaton()
         for i, literal in enumerate(users):
@@ -103,7 +133,7 @@ class Automaton:
     def candidates(self, text: str) -> list[int]:
         if not self.users:
             return []
-        seen = {i for _, i in self.automaton.iter(small(text))}
+        seen = {i for _, i in self.automaton.iter(narrow(small(text)))}
         if not seen:
             return []
         got: dict[int, set[int]] = defaultdict(set)
@@ -129,7 +159,7 @@ def candidates(texts: DataFrame, rows: list[tuple[int, list[list[str]]]]) -> Dat
     return texts.select("key", "text").mapInArrow(run, f"key {kind}, text string, pids array<long>")
 
 
-def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", limited: bool = True) -> DataFrame:
+def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", limited: bool = True, unicode: bool = True) -> DataFrame:
     """(key, pattern_id, n): each pattern of ``patterns`` (pattern_id, pattern) that matches a text, and how often.
 
     Equal to testing every text with every pattern. Patterns that don't compile, and null ones, are skipped; null texts
@@ -137,6 +167,7 @@ def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: st
     match the empty string. The table of patterns comes to the driver in parts of PART at most, so neither it nor a worker
     holds more; patterns without a long literal are tested on all texts, BARE in one projection. More of them, which make
     as many more passes over the texts, are an error if ``limited``.
+    Classes and word boundaries are Python's if ``unicode``, else SQL's (:func:`textward.functions.spans.java`).
     There is no cross join; texts are shuffled only where the patterns are more than FEW. Other columns are ignored.
     """
     spark = texts.sparkSession
@@ -159,13 +190,13 @@ def matches(texts: DataFrame, patterns: DataFrame, key: str = "doc_id", text: st
                 sides.append(candidates(slim, rows).select("key", "text", F.explode("pids").alias("pid")))
     finally:
         known.unpersist()
-    compiled = F.concat(F.when(F.col("pattern").startswith("(?i)"), F.lit("(?idU)")).otherwise(F.lit("(?dU)")), F.when(F.col("pattern").startswith("(?i)"), F.substring("pattern", 5, 2**31 - 1)).otherwise(F.col("pattern")))
+    compiled = F.udf(lambda p: java(p, unicode), "string")("pattern")
     table = listed.withColumn("p", compiled)
     table = F.broadcast(table) if n + len(bare) <= FEW else table
     out = []
     for lo in range(0, len(bare), BARE):
         own = [tuple(r) for r in listed.filter(F.col("pid").isin(bare[lo : lo + BARE])).select("pid", "pattern").distinct().collect()]
-        told = flags(F.col("text"), [(f"b{i}", p, "", "") for i, (_, p) in enumerate(own)])
+        told = flags(F.col("text"), [(f"b{i}", p, "", "") for i, (_, p) in enumerate(own)], unicode)
         hit = F.filter(F.array(*(F.when(F.col("f")[f"b{i}"], F.lit(pid)) for i, (pid, _) in enumerate(own))), lambda x: x.isNotNull())
         sides.append(slim.withColumn("f", told).select("key", "text", F.explode(hit).alias("pid")))
     for side in sides:
